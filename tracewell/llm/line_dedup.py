@@ -27,7 +27,11 @@ LEAST_WORDS = 5
 NEAR_WORDS = 10
 
 KEY = ("doc_id", "_th")
-PLACE = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_th").alias("_th"), F.col("_ln").alias("_ln"))
+
+
+def _place() -> Column:
+    """Where a line stands; null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_th"), F.col("_ln"))
 
 
 def _xor(values: Column) -> Column:
@@ -114,14 +118,14 @@ def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     h1, h2 = hash2(F.col("_line"))
     lines = _lines(narrow).select(*KEY, "_ln", h1.alias("_h1"), h2.alias("_h2"), F.when(F.col("_m") >= NEAR_WORDS, _halves()).alias("_halves"))
     lines = stored(lines)
-    reps = stored(lines.groupBy("_h1", "_h2").agg(F.min(PLACE).alias("_place"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves")))
+    reps = stored(lines.groupBy("_h1", "_h2").agg(F.min(_place()).alias("_place"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves")))
     sharing = _sharing(reps.filter(F.col("_halves").isNotNull()))
     wanted = reps.join(sharing, "_h1", "left_semi").select("_h1", "_h2", "_place", F.col("_place.doc_id").alias("doc_id"), F.col("_place._th").alias("_th"), F.col("_place._ln").alias("_ln"))
     texts = _by_document(narrow, wanted.groupBy(*KEY).agg(F.collect_list(F.struct("_ln", "_h1", "_h2", "_place")).alias("_want")), "inner").dropDuplicates([*KEY])
     near = texts.select(F.split("_text", "\n", -1).alias("_l"), F.explode("_want").alias("_w")).select("_w._h1", "_w._h2", "_w._place", F.regexp_extract_all(F.get("_l", F.col("_w._ln")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("_words"))
     edits = stored(_edits(stored(near)))
     acts = reps.select("_h1", "_h2", "_place", "_n").join(edits.withColumn("_near", F.lit(True)), ["_h1", "_h2"], "left").filter("_n > 1 or _near")
-    gone = salted_join(lines.select(*KEY, "_ln", "_h1", "_h2"), acts, ["_h1", "_h2"]).filter(F.col("_near") | (PLACE != F.col("_place")))
+    gone = salted_join(lines.select(*KEY, "_ln", "_h1", "_h2"), acts, ["_h1", "_h2"]).filter(F.col("_near") | (_place() != F.col("_place")))
     gone = gone.groupBy(*KEY).agg(F.collect_set(F.struct("_ln", F.coalesce("_near", F.lit(False)).alias("_near"))).alias("_gone"))
     out = _by_document(base.select(*KEY, F.when(F.col(f"_all.{text}").isNotNull(), F.col("_text")).alias("_text"), "_all"), gone, "left")
     out = out.withColumn("_drop", F.coalesce(F.transform("_gone", lambda x: x["_ln"]), F.array().cast("array<int>"))).withColumn("_l", F.split("_text", "\n", -1))
