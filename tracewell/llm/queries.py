@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules, simhash
+from . import line_dedup, mixing, quality_rules, simhash
 
 _ALL = {
     "op3_quality_rules": quality_rules,
+    "op4_mixing": mixing,
     "op8_simhash": simhash,
     "op9_line_dedup": line_dedup,
 }
