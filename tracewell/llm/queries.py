@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules, simhash
+from . import line_dedup, mixing, quality_rules, sentencepieces, simhash
 
 _ALL = {
+    "op1_sentencepieces": sentencepieces,
     "op3_quality_rules": quality_rules,
     "op4_mixing": mixing,
     "op8_simhash": simhash,

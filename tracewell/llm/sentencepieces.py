@@ -35,24 +35,44 @@ REMEMBERED = 50_000
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _BLANK = "▁"
 _WHOLE = (1 << 64) - 1
-
-
-class _Memory(dict):
-    """Chunk to ids as bytes; what isn't in the two youngest generations is encoded again."""
-
-    def __init__(self, encode):
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self.encode(chunk)
-        if len(chunk) <= 64:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
+#: The order of a candidate that is none.
+_LAST = (1 << 31) - 1
+#: Characters that are encoded together.
+_SLICE = 2_000_000
+
+
+class _Pairs:
+    """Which piece two neighbouring pieces make, and its place in the agenda: a hash table over arrays."""
+
+    def __init__(self, left: list[int], right: list[int], piece: list[int], order: list[int], n: int):
+        self.n, keys = np.uint64(n), np.array(left, np.uint64) * np.uint64(n) + np.array(right, np.uint64)
+        bits = max(4, len(keys).bit_length() + 2)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, _WHOLE, np.uint64)
+        self.piece, self.order = np.zeros(1 << bits, np.int32), np.full(1 << bits, _LAST, np.int32)
+        todo, at = np.arange(len(keys)), self._at(keys)
+        while len(todo):
+            free = self.key[at] == _WHOLE
+            slot, who = np.unique(at[free], return_index=True)
+            won = todo[free][who]
+            self.key[slot], self.piece[slot], self.order[slot] = keys[won], np.array(piece, np.int32)[won], np.array(order, np.int32)[won]
+            rest = ~np.isin(todo, won)
+            todo, at = todo[rest], at[rest] + 1 & self.mask
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order (_LAST where there is no such piece) and piece."""
+        keys = left.astype(np.uint64) * self.n + right.astype(np.uint64)
+        at = self._at(keys)
+        rest = np.flatnonzero((self.key[at] != keys) & (self.key[at] != _WHOLE))
+        while len(rest):
+            at[rest] = at[rest] + 1 & self.mask
+            k = self.key[at[rest]]
+            rest = rest[(k != keys[rest]) & (k != _WHOLE)]
+        none = (left < 0) | (right < 0) | (self.key[at] != keys)
+        return np.where(none, _LAST, self.order[at]), self.piece[at]
 
 
 class Pieces:
@@ -70,13 +90,103 @@ class Pieces:
                 self.text.append(piece.replace(_BLANK, " ").encode())
                 if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                     self.rank[piece.replace(_BLANK, " ")] = (-p.get_score(i), i)
-        self.skip, self.seed = int(dropout * (1 << 32)), seed
-        self.memory = [_Memory(lambda chunk, v=v: self._chunk(chunk, v)) for v in range(VARIANTS if dropout else 1)]
+        self.skip, self.seed, self.ways = int(dropout * (1 << 32)), seed, VARIANTS if dropout else 1
+        order = {score: k for k, score in enumerate(sorted({score for score, _ in self.rank.values()}))}
+        self.char = np.full(0x110000, -1, np.int32)
+        pairs = []
+        for piece, (score, i) in self.rank.items():
+            if len(piece) == 1:
+                self.char[ord(piece)] = i
+            for k in range(1, len(piece)):
+                if piece[:k] in self.rank and piece[k:] in self.rank:
+                    pairs.append((self.rank[piece[:k]][1], self.rank[piece[k:]][1], i, order[score]))
+        self.pairs = _Pairs(*map(list, zip(*pairs, strict=True)), n=len(self.text))
+        self.young: list[dict[str, bytes]] = [{} for _ in range(self.ways)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.ways)]
 
     def _bytes(self, chars: str) -> list[int]:
         return [self.byte[b] for b in chars.encode()]
 
+    def _drawn(self, chunk: str, variant: int) -> int:
+        return xxhash.xxh64_intdigest(chunk.encode(), self.seed * VARIANTS + variant & _WHOLE)
+
+    def _chunks(self, chunks: list[str], variant: int) -> list[bytes]:
+        """Ids of many chunks: they merge in step, each its first candidate, which gives what agendas give."""
+        out: list[bytes] = [b""] * len(chunks)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        below = 0
+        for width in (4, 8, 12, 16, 24, 40, 64):
+            picked = np.flatnonzero((lengths > below) & (lengths <= width))
+            below = width
+            for at in range(0, len(picked), 50_000):
+                some = picked[at : at + 50_000].tolist()
+                for i, ids in zip(some, self._in_step([chunks[i] for i in some], lengths[some], width, variant), strict=True):
+                    out[i] = ids
+        for i in np.flatnonzero(lengths > below).tolist():
+            out[i] = self._chunk(chunks[i], variant)
+        return out
+
+    def _in_step(self, chunks: list[str], lengths: np.ndarray, width: int, variant: int) -> list[bytes]:
+        n = len(chunks)
+        chars = np.frombuffer("".join(x.ljust(width) for x in chunks).encode("utf-32-le"), np.uint32).reshape(n, width)
+        symbol = np.where(np.arange(width) < lengths[:, None], self.char[chars], -1)
+        done, there = symbol.copy(), np.zeros((n, width), bool)
+        drawn = np.fromiter((self._drawn(x, variant) for x in chunks), np.uint64, n) if self.skip else None
+        row = np.arange(n)
+        alive = np.arange(width) < lengths[:, None]
+        after = np.tile(np.arange(1, width + 1, dtype=np.int16), (n, 1))
+        before = np.tile(np.arange(-1, width - 1, dtype=np.int16), (n, 1))
+        order = np.full((n, width), _LAST, np.int32)
+        piece = np.zeros((n, width), np.int32)
+
+        def look(r: np.ndarray, at: np.ndarray, nxt: np.ndarray) -> None:
+            found, p = self.pairs.find(symbol[r, at], symbol[r, nxt])
+            if self.skip:
+                mixed = (drawn[r] ^ (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
+                chance = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(24) & np.uint64(0xFFFFFFFF)
+                found = np.where(chance < self.skip, _LAST, found)
+            order[r, at], piece[r, at] = found, p
+
+        r, at = np.nonzero(np.arange(width - 1) < lengths[:, None] - 1)
+        look(r, at, at + 1)
+        while len(row):
+            best = order.argmin(axis=1)
+            all_ = np.arange(len(row))
+            going = order[all_, best] < _LAST
+            if not going.all():
+                over = ~going
+                done[row[over]], there[row[over]] = symbol[over], alive[over]
+                row, best, symbol, alive, after, before, order, piece = (x[going] for x in (row, best, symbol, alive, after, before, order, piece))
+                drawn = drawn[going] if self.skip else None
+                all_ = np.arange(len(row))
+                if not len(row):
+                    break
+            gone = after[all_, best].astype(np.int64)
+            symbol[all_, best] = piece[all_, best]
+            alive[all_, gone], order[all_, gone], order[all_, best] = False, _LAST, _LAST
+            nxt = after[all_, gone].astype(np.int64)
+            after[all_, best] = nxt
+            # Places beyond the chunk hold no symbol, so they end in no piece.
+            k = np.flatnonzero(nxt < width)
+            before[k, nxt[k]] = best[k]
+            look(k, best[k], nxt[k])
+            prev = before[all_, best].astype(np.int64)
+            k = np.flatnonzero(prev >= 0)
+            look(k, prev[k], best[k])
+        counts = there.sum(axis=1)
+        ids, ends = done[there], np.cumsum(counts)
+        data, unknown = ids.astype(np.int32).tobytes(), set(np.unique(np.nonzero(there & (done < 0))[0]).tolist())
+        out = []
+        for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
+            if i in unknown:
+                own = [[s] if s >= 0 else self._bytes(c) for s, c, t in zip(done[i].tolist(), chunks[i], there[i].tolist(), strict=False) if t]
+                out.append(np.array(sum(own, []), np.int32).tobytes())
+            else:
+                out.append(data[4 * a : 4 * b])
+        return out
+
     def _chunk(self, chunk: str, variant: int) -> bytes:
+        """Ids of one chunk, by an agenda."""
         symbols, rank = list(chunk), self.rank
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -85,7 +195,7 @@ class Pieces:
             if found := rank.get(symbols[i] + symbols[i + 1]):
                 agenda.append((found[0], i, i + 1, found[1], 2))
         heapify(agenda)
-        key = xxhash.xxh64_intdigest(chunk.encode(), self.seed * VARIANTS + variant & _WHOLE) if self.skip and agenda else 0
+        key = self._drawn(chunk, variant) if self.skip else 0
         while agenda:
             _, left, right, piece, size = heappop(agenda)
             a, b = symbols[left], symbols[right]
@@ -110,21 +220,44 @@ class Pieces:
             ids += [found[1]] if found else self._bytes(s)
         return np.array(ids, np.int32).tobytes()
 
+    def _learn(self, variant: int, chunks: list[str]) -> dict[str, bytes]:
+        """A dict that has all of the chunks; what isn't in the two youngest generations is encoded."""
+        young, old = self.young[variant], self.old[variant]
+        if len(young) > REMEMBERED:
+            self.old[variant], self.young[variant] = young, {}
+            young, old = self.young[variant], young
+        missing = []
+        for chunk in set(chunks).difference(young):
+            if chunk in old:
+                young[chunk] = old[chunk]
+            else:
+                missing.append(chunk)
+        young.update(zip(missing, self._chunks(missing, variant), strict=True))
+        return young
+
+    def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit numbers; none for an empty text. A key draws the first variant."""
+        # A blank's own sign in a text goes as bytes; as a piece it would come back as a blank.
+        split = [[_CHUNK.findall(part) for part in (" " + t).split(_BLANK)] if t else [] for t in texts]
+        asked: list[list[str]] = [[] for _ in range(self.ways)]
+        for key, parts in zip(keys, split, strict=True):
+            for chunks in parts:
+                for v in range(self.ways):
+                    asked[(key + v) % self.ways] += chunks[v :: self.ways]
+        known = [self._learn(v, chunks) for v, chunks in enumerate(asked)]
+        sign, out = np.array(self._bytes(_BLANK), np.int32).tobytes(), []
+        for key, parts in zip(keys, split, strict=True):
+            done = []
+            for chunks in parts:
+                ids: list[bytes] = [b""] * len(chunks)
+                for v in range(self.ways):
+                    ids[v :: self.ways] = map(known[(key + v) % self.ways].__getitem__, chunks[v :: self.ways])
+                done.append(b"".join(ids))
+            out.append(sign.join(done))
+        return out
+
     def encode(self, text: str, key: int = 0) -> bytes:
-        """The ids as little-endian 32-bit numbers; none for an empty text. key draws the first variant."""
-        if not text:
-            return b""
-        out: list[bytes] = []
-        # A blank's own sign in the text goes as bytes; as a piece it would come back as a blank.
-        for k, part in enumerate((" " + text).split(_BLANK)):
-            if k:
-                out.append(np.array(self._bytes(_BLANK), np.int32).tobytes())
-            chunks, ways = _CHUNK.findall(part), len(self.memory)
-            ids: list[bytes] = [b""] * len(chunks)
-            for v in range(ways):
-                ids[v::ways] = map(self.memory[(key + v) % ways].__getitem__, chunks[v::ways])
-            out += ids
-        return b"".join(out)
+        return self.encode_all([text], [key])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text that was encoded."""
@@ -145,6 +278,20 @@ def read_model(path: str = MODEL) -> bytes:
     return Path(path).read_bytes()
 
 
+def _slices(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, list[str], list[int]]]:
+    """Runs of a batch's (key, text) rows with about _SLICE characters: the first row, texts, keys."""
+    first, texts, keys, total = 0, [], [], 0
+    for i, (d, t) in enumerate(zip(*batch.columns, strict=True)):
+        texts.append(t.as_py() or "")
+        keys.append(_key(d.as_py(), seed))
+        total += len(texts[-1])
+        if total >= _SLICE:
+            yield first, texts, keys
+            first, texts, keys, total = i + 1, [], [], 0
+    if texts:
+        yield first, texts, keys
+
+
 def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int = SEED, text: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids (array<int>) of each row; a null or empty text has no ids.
 
@@ -154,8 +301,8 @@ def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model, dropout, seed)
         for batch in batches:
-            ids = [pieces.encode(t.as_py() or "", _key(d.as_py(), seed)) for d, t in zip(*batch.columns, strict=True)]
-            yield _with_ids(batch.column(0), ids)
+            for first, texts, keys in _slices(batch, seed):
+                yield _with_ids(batch.column(0).slice(first, len(texts)), pieces.encode_all(texts, keys))
 
     return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
 
@@ -188,14 +335,16 @@ def round_trip(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: in
         pieces = _pieces(model, dropout, seed)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            rows = []
-            for d, t in zip(*batch.columns, strict=True):
-                given = t.as_py() or ""
-                ids = pieces.encode(given, _key(d.as_py(), seed))
-                back = pieces.decode(np.frombuffer(ids, np.int32).tolist())
-                rows.append((len(ids) // 4, sha(ids), sha(back.encode()), back == given))
-            cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string(), pa.bool_()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.string(), pa.string(), pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
+            for first, texts, keys in _slices(batch, seed):
+                ids = pieces.encode_all(texts, keys)
+                back = [pieces.decode(np.frombuffer(x, np.int32).tolist()) for x in ids]
+                cols = [
+                    pa.array([len(x) // 4 for x in ids], pa.int32()),
+                    pa.array(list(map(sha, ids))),
+                    pa.array([sha(x.encode()) for x in back]),
+                    pa.array([a == b for a, b in zip(back, texts, strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
 
     return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_tokens int, ids_sha256 string, decoded_sha256 string, lossless boolean")
 
