@@ -19,19 +19,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, hash2, salted_join, stored, table
+from .common import hash2, salted_join, stored, table, words
 
 #: Lines with fewer words always stay: short phrases repeat by chance.
 LEAST_WORDS = 5
 #: Lines with fewer words are only matched word for word.
 NEAR_WORDS = 10
 
-KEY = ("doc_id", "_th")
+#: A document is known by two hashes of its id and text.
+KEY = ("_k1", "_k2")
 
 
 def _place() -> Column:
     """Where a line stands; null ids come last."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_th"), F.col("_ln"))
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_k1"), F.col("_k2"), F.col("_ln"))
 
 
 def _xor(values: Column) -> Column:
@@ -39,11 +40,16 @@ def _xor(values: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One row a line with LEAST_WORDS or more: its place, its words joined by single spaces, their number."""
-    out = docs.select(*KEY, F.posexplode(F.split("_text", "\n", -1)).alias("_ln", "_line"))
-    out = out.withColumn("_line", F.btrim(F.regexp_replace("_line", BLANKS, " ")))
-    out = out.withColumn("_m", F.when(F.col("_line") == "", 0).otherwise(F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1))
-    return out.filter(F.col("_m") >= LEAST_WORDS)
+    """One row a line with LEAST_WORDS or more: its document, place, words joined by single spaces, their number."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    # Most texts have single spaces only, which a search for bytes shows faster than a pattern does.
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    even = F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
+    n_words = lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
+    lines = F.transform(F.split(even, "\n", -1), lambda x: F.btrim(x))
+    lines = F.transform(lines, lambda x, i: F.struct(i.alias("_ln"), x.alias("_line"), n_words(x).alias("_m")))
+    # Short lines fall out in the array: a filter after the explosion would work out the words twice.
+    return docs.select("doc_id", *KEY, F.inline(F.filter(lines, lambda x: x["_m"] >= LEAST_WORDS)))
 
 
 def _head(n: Column) -> Column:
@@ -62,8 +68,8 @@ def _halves() -> Column:
 def _sharing(reps: DataFrame) -> DataFrame:
     """The lines (by their first hash) that share a half with another line."""
     keys = reps.select("_h1", F.explode("_halves").alias("_half"))
-    shared = keys.groupBy("_half").agg(F.min("_h1").alias("a"), F.max("_h1").alias("b")).filter("a <> b").select("_half")
-    return salted_join(keys, shared, ["_half"]).select("_h1").distinct()
+    shared = stored(keys.groupBy("_half").agg(F.min("_h1").alias("a"), F.max("_h1").alias("b")).filter("a <> b").select("_half"))
+    return keys.join(shared, "_half").select("_h1").distinct()
 
 
 def _edits(near: DataFrame) -> DataFrame:
@@ -105,46 +111,38 @@ def _edits(near: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """Drops each line that equals, or is within one word edit of, an earlier line of the corpus.
 
-    Order is by doc_id (null last), then by the text's hash where ids repeat, then by line. White space
+    Order is by doc_id (null last), then by a hash of the text where ids repeat, then by line. White space
     counts only as a separator of words. Lines under LEAST_WORDS words stay, lines under NEAR_WORDS are
     matched exactly. An earlier line counts even if it goes itself. Adds kept_text (lines that stay, joined
     by newlines; null for a null text), n_lines, n_exact and n_near (lines dropped as equal and as near;
     a dropped near line's copies count as near). Rows with one doc_id and one text are one document and
     end alike. Other columns pass through; columns of the added names are replaced.
     """
-    given = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_exact", "n_near", *KEY[1:], "_text", "_all")]
-    base = docs.select(F.col("doc_id"), F.xxhash64(F.col(text), F.length(text)).alias("_th"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.struct(*[F.col(c) for c in given]).alias("_all"))
-    narrow = base.select(*KEY, "_text")
+    given = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_exact", "n_near")]
+    k1, k2 = hash2(F.col("doc_id"), F.col("doc_id").isNull(), F.coalesce(F.col(text), F.lit("")))
+    base = docs.select(*[F.col(c).alias("_text" if c == text else c) for c in given], k1.alias("_k1"), k2.alias("_k2"))
     h1, h2 = hash2(F.col("_line"))
-    lines = _lines(narrow).select(*KEY, "_ln", h1.alias("_h1"), h2.alias("_h2"), F.when(F.col("_m") >= NEAR_WORDS, _halves()).alias("_halves"))
-    lines = stored(lines)
+    lines = stored(_lines(base).select("doc_id", *KEY, "_ln", h1.alias("_h1"), h2.alias("_h2"), F.when(F.col("_m") >= NEAR_WORDS, _halves()).alias("_halves")))
     reps = stored(lines.groupBy("_h1", "_h2").agg(F.min(_place()).alias("_place"), F.count(F.lit(1)).alias("_n"), F.first("_halves").alias("_halves")))
     sharing = _sharing(reps.filter(F.col("_halves").isNotNull()))
-    wanted = reps.join(sharing, "_h1", "left_semi").select("_h1", "_h2", "_place", F.col("_place.doc_id").alias("doc_id"), F.col("_place._th").alias("_th"), F.col("_place._ln").alias("_ln"))
-    texts = _by_document(narrow, wanted.groupBy(*KEY).agg(F.collect_list(F.struct("_ln", "_h1", "_h2", "_place")).alias("_want")), "inner").dropDuplicates([*KEY])
-    near = texts.select(F.split("_text", "\n", -1).alias("_l"), F.explode("_want").alias("_w")).select("_w._h1", "_w._h2", "_w._place", F.regexp_extract_all(F.get("_l", F.col("_w._ln")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("_words"))
+    wanted = reps.join(sharing, "_h1", "left_semi").groupBy("_place._k1", "_place._k2").agg(F.collect_list(F.struct("_h1", "_h2", "_place")).alias("_want"))
+    near = base.select(*KEY, "_text").join(wanted, [*KEY]).select(F.split("_text", "\n", -1).alias("_l"), F.explode("_want").alias("_w"))
+    near = near.select("_w.*", words(F.get("_l", F.col("_w._place._ln"))).alias("_words"))
     edits = stored(_edits(stored(near)))
-    acts = reps.select("_h1", "_h2", "_place", "_n").join(edits.withColumn("_near", F.lit(True)), ["_h1", "_h2"], "left").filter("_n > 1 or _near")
-    gone = salted_join(lines.select(*KEY, "_ln", "_h1", "_h2"), acts, ["_h1", "_h2"]).filter(F.col("_near") | (_place() != F.col("_place")))
+    acts = stored(reps.select("_h1", "_h2", "_place", "_n").join(edits.withColumn("_near", F.lit(True)), ["_h1", "_h2"], "left").filter("_n > 1 or _near").drop("_n"))
+    gone = lines.drop("_halves").join(acts, ["_h1", "_h2"]).filter(F.col("_near") | (_place() != F.col("_place")))
     gone = gone.groupBy(*KEY).agg(F.collect_set(F.struct("_ln", F.coalesce("_near", F.lit(False)).alias("_near"))).alias("_gone"))
-    out = _by_document(base.select(*KEY, F.when(F.col(f"_all.{text}").isNotNull(), F.col("_text")).alias("_text"), "_all"), gone, "left")
-    out = out.withColumn("_drop", F.coalesce(F.transform("_gone", lambda x: x["_ln"]), F.array().cast("array<int>"))).withColumn("_l", F.split("_text", "\n", -1))
-    count = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
+    out = base.join(gone, [*KEY], "left").withColumn("_drop", F.coalesce(F.transform("_gone", lambda x: x["_ln"]), F.array().cast("array<int>"))).withColumn("_l", F.split("_text", "\n", -1))
+    n_near = F.coalesce(F.size(F.filter("_gone", lambda x: x["_near"])), F.lit(0)).cast("long")
     return out.select(
-        *[F.col(f"_all.{c}").alias(c) for c in given],
+        *[F.col("_text" if c == text else c).alias(c) for c in given],
         F.when(F.size("_drop") == 0, F.col("_text")).otherwise(F.array_join(F.filter("_l", lambda x, i: ~F.array_contains("_drop", i)), "\n")).alias("kept_text"),
         F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.size("_l")).cast("long").alias("n_lines"),
-        (count("_drop") - F.coalesce(F.size(F.filter("_gone", lambda x: x["_near"])), F.lit(0))).cast("long").alias("n_exact"),
-        F.coalesce(F.size(F.filter("_gone", lambda x: x["_near"])), F.lit(0)).cast("long").alias("n_near"),
+        (F.size("_drop") - n_near).alias("n_exact"),
+        n_near.alias("n_near"),
     )
 
 
-def _by_document(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    lists = lists.withColumnsRenamed({k: f"{k}_r" for k in KEY})
-    same = reduce(lambda a, b: a & b, [docs[k].eqNullSafe(lists[f"{k}_r"]) for k in KEY])
-    return docs.join(lists, same, how).drop(*[f"{k}_r" for k in KEY])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
