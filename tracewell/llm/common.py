@@ -23,6 +23,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def settled(value: Column) -> Column:
+    """The value as it is, in a projection that filters above it don't pass.
+
+    The optimizer moves a filter below a projection by writing the projection's expressions into it; over a
+    chain of projections that use a column more than once, the work would grow with every step.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def hash2(*cols: Column) -> tuple[Column, Column]:
     """Two XXH64 values under unlike seeds: together a 128-bit name."""
     return F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, table, words
+from .common import WORD, settled, table, words
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -67,7 +67,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     twin = lambda x, k: (F.get("_s", k - 1)["h"] == x["h"]) | (F.get("_s", k + 1)["h"] == x["h"])
     step = step.select(*given, *MEASURES[:-1], F.sort_array(F.transform(F.filter("_s", lambda x, k: F.coalesce(twin(x, k), F.lit(False))), lambda x: x["i"])).alias("_p"))
     new = F.transform("_p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", k + 1) - p, F.lit(WINDOW))).cast("long"))
-    return step.select(*given, *MEASURES[:-1], F.coalesce(F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")).alias("n_repeat_words"))
+    return step.select(*given, *MEASURES[:-1], settled(F.coalesce(F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))).alias("n_repeat_words"))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_repeat_words")
