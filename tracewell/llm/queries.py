@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules, sentencepieces, simhash
+from . import line_dedup, mixing, quality_rules, secret_scan, sentencepieces, simhash
 
 _ALL = {
     "op1_sentencepieces": sentencepieces,
     "op3_quality_rules": quality_rules,
     "op4_mixing": mixing,
+    "op5_secret_scan": secret_scan,
     "op8_simhash": simhash,
     "op9_line_dedup": line_dedup,
 }
