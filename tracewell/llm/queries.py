@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, quality_rules, secret_scan, sentencepieces, simhash
+from . import line_dedup, mixing, parsing, quality_rules, secret_scan, sentencepieces, simhash
 
 _ALL = {
     "op1_sentencepieces": sentencepieces,
     "op3_quality_rules": quality_rules,
     "op4_mixing": mixing,
     "op5_secret_scan": secret_scan,
+    "op7_parsing": parsing,
     "op8_simhash": simhash,
     "op9_line_dedup": line_dedup,
 }
