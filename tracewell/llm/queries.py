@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, parsing, quality_rules, secret_scan, sentencepieces, simhash
+from . import line_dedup, mixing, parsing, quality_rules, secret_scan, sentencepieces, simhash, url_filter
 
 _ALL = {
     "op1_sentencepieces": sentencepieces,
+    "op2_url_filter": url_filter,
     "op3_quality_rules": quality_rules,
     "op4_mixing": mixing,
     "op5_secret_scan": secret_scan,
