@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, parsing, quality_rules, secret_scan, sentencepieces, simhash, url_filter
+from . import chat_windows, line_dedup, mixing, parsing, quality_rules, secret_scan, sentencepieces, simhash, url_filter
 
 _ALL = {
     "op1_sentencepieces": sentencepieces,
@@ -17,6 +17,7 @@ _ALL = {
     "op7_parsing": parsing,
     "op8_simhash": simhash,
     "op9_line_dedup": line_dedup,
+    "op10_chat_windows": chat_windows,
 }
 
 
