@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, line_dedup, mixing, parsing, quality_rules, secret_scan, sentencepieces, simhash, url_filter
+from . import chat_windows, line_dedup, mixing, ordinal, parsing, quality_rules, secret_scan, sentencepieces, simhash, url_filter
 
 _ALL = {
     "op1_sentencepieces": sentencepieces,
@@ -14,6 +14,7 @@ _ALL = {
     "op3_quality_rules": quality_rules,
     "op4_mixing": mixing,
     "op5_secret_scan": secret_scan,
+    "op6_ordinal": ordinal,
     "op7_parsing": parsing,
     "op8_simhash": simhash,
     "op9_line_dedup": line_dedup,
