@@ -1,0 +1,177 @@
+"""Retrieval: scoped BM25, BM25F, hashed embeddings, exact and approximate vectors, fusion, coverage."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tracewell.functions import text as T
+
+K1, B = 1.2, 0.75
+
+
+def top(rows: DataFrame, k: int, score: str = "score", by: tuple[str, ...] = ("query_id", "scope"), tie: str = "doc_id") -> DataFrame:
+    """The k best rows of each group, ties by id; adds rank."""
+    order = Window.partitionBy(*by).orderBy(F.desc(score), tie)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def query_terms(queries: DataFrame, tokenize=T.tokens) -> DataFrame:
+    """query_id, term, n_terms: the distinct terms of each query (query_id, text)."""
+    return queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+
+
+def term_counts(docs: DataFrame, terms: DataFrame | None = None, tokenize=T.tokens) -> DataFrame:
+    """scope, doc_id, dl, term, tf of docs (scope, doc_id, text); only the asked terms are counted and shuffled."""
+    rows = docs.select("scope", "doc_id", tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens")).filter("dl > 0")
+    rows = rows.select("scope", "doc_id", "dl", F.explode("tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("scope", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def scope_stats(docs: DataFrame, tokenize=T.tokens) -> DataFrame:
+    """scope, n, avgdl over documents that have a token."""
+    sizes = docs.select("scope", F.size(tokenize(F.col("text"))).alias("dl")).filter("dl > 0")
+    return sizes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+
+
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, tokenize=T.tokens, digits: int = 6) -> DataFrame:
+    """query_id, scope, doc_id, score, n_matched, n_terms for every document with a term of a query.
+
+    Statistics are those of the document's scope. Scores are rounded so that ranks don't hang on the order
+    of additions.
+    """
+    terms = query_terms(queries, tokenize)
+    found = term_counts(docs, terms, tokenize)
+    df = found.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+    met = found.join(df, ["scope", "term"]).join(scope_stats(docs, tokenize), "scope").join(terms, "term")
+    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return met.groupBy("query_id", "scope", "doc_id").agg(F.round(F.sum(part), digits).alias("score"), F.count(F.lit(1)).alias("n_matched"), F.first("n_terms").alias("n_terms"))
+
+
+def bm25f(docs: DataFrame, queries: DataFrame, weights: dict[str, float], digits: int = 6) -> DataFrame:
+    """BM25 over weighted fields: a token counts its field's weight, in term frequency and in length. One scope."""
+    terms = query_terms(queries, T.symbol_tokens)
+    fields = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), T.symbol_tokens(F.col(c)).alias("tokens")) for c, w in weights.items()])).alias("f")
+    rows = docs.select("doc_id", fields).select("doc_id", "f.w", F.explode("f.tokens").alias("term"))
+    counts = rows.groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
+    sizes = rows.groupBy("doc_id").agg(F.sum("w").alias("dl"))
+    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    asked = counts.join(terms.select("term").distinct(), "term", "left_semi")
+    df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    met = asked.join(df, "term").join(sizes, "doc_id").join(terms, "term").crossJoin(F.broadcast(stats))  # one row
+    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
+
+
+def floor_by_top(hits: DataFrame, ratio: float, by: tuple[str, ...] = ("query_id", "scope")) -> DataFrame:
+    """Hits of at least `ratio` of their query's best score."""
+    return hits.withColumn("_top", F.max("score").over(Window.partitionBy(*by))).filter(F.col("score") >= ratio * F.col("_top")).drop("_top")
+
+
+def coverage() -> Column:
+    """Distinct query terms found over distinct query terms."""
+    return F.coalesce(F.try_divide(F.col("n_matched").cast("double"), F.col("n_terms").cast("double")), F.lit(0.0))
+
+
+def hash_embedding(rows: DataFrame, key: str, dim: int = 256, text: str = "text") -> DataFrame:
+    """key, slot, v: a sparse unit vector of signed token counts by FNV-1a; all-zero texts give no rows."""
+    tokens = rows.select(key, F.explode(T.ascii_tokens(F.col(text))).alias("token"))
+    counts = tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    hashed = counts.withColumn("h", T.fnv1a(F.col("token")))
+    slots = hashed.groupBy(key, (F.col("h") % dim).alias("slot")).agg(F.sum(F.when(F.col("h") % 2 == 0, F.col("n")).otherwise(-F.col("n"))).cast("double").alias("v")).filter("v <> 0")
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
+    return slots.select(key, "slot", (F.col("v") / norm).alias("v"))
+
+
+def sparse_dot(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, doc_id, score of sparse vectors that share a slot."""
+    met = right.withColumnRenamed("v", "w").join(left, "slot")
+    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("v") * F.col("w")), digits).alias("score"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 for empty, unequal or zero vectors."""
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot(a, b) / size)
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """Exact search: each query (query_id, q) against all vectors (vec_id, embedding) of its dimension.
+
+    A stated query set meets every row once; partial ranks keep at most k rows a query from each task before
+    they are shuffled, so what moves grows with queries x tasks, not with the product.
+    """
+    met = vectors.join(F.broadcast(queries) if queries.isLocal() else queries, F.size("embedding") == F.size("q"))
+    scored = met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), digits).alias("score"))
+    return top(scored, k, by=("query_id",), tie="vec_id")
+
+
+def lsh_topk(queries: DataFrame, vectors: DataFrame, dim: int, k: int, tables: int = 24, bits: int = 6, seed: int = 42) -> DataFrame:
+    """Approximate search: sign bits of seeded directions make keys, equal keys meet, candidates are scored exactly."""
+    import random
+
+    rng = random.Random(seed)
+    planes = [[[rng.gauss(0, 1) for _ in range(dim)] for _ in range(bits)] for _ in range(tables)]
+
+    def keys(v: Column) -> Column:
+        sign = lambda p: F.when(dot(v, F.array(*map(F.lit, p))) >= 0, "1").otherwise("0")
+        return F.explode(F.array(*[F.concat(F.lit(f"{t}:"), *map(sign, ps)) for t, ps in enumerate(planes)])).alias("key")
+
+    left, right = queries.select("query_id", "q", keys(F.col("q"))), vectors.select("vec_id", "embedding", keys(F.col("embedding")))
+    pairs = left.select("query_id", "key").join(right.select("vec_id", "key"), "key").select("query_id", "vec_id").distinct()
+    scored = pairs.join(queries, "query_id").join(vectors, "vec_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+    return top(scored, k, by=("query_id",), tie="vec_id")
+
+
+def fuse_weighted(lexical: DataFrame, vector: DataFrame, weight: float = 0.5, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Each route over its own best score, weighted and added; lexical keeps the first route's share."""
+    best = lambda c: F.max(c).over(Window.partitionBy(*by))
+    a = lexical.select(*by, "doc_id", (F.col("score") / best("score")).alias("_a"))
+    b = vector.select(*by, "doc_id", (F.col("score") / best("score")).alias("_b"))
+    out = a.join(b, [*by, "doc_id"], "full_outer").select(*by, "doc_id", F.coalesce("_a", F.lit(0.0)).alias("lexical"), F.coalesce("_b", F.lit(0.0)).alias("_b"))
+    return out.select(*by, "doc_id", F.round(weight * F.col("lexical") + (1 - weight) * F.col("_b"), 6).alias("score"), F.round("lexical", 6).alias("lexical")).filter("score > 0")
+
+
+def fuse_ranks(routes: list[DataFrame], by: tuple[str, ...] = ("query_id",), k: int = 60) -> DataFrame:
+    """Reciprocal ranks, scaled so that rank 1 in both of two routes gives 1."""
+    parts = [r.select(*by, "doc_id", (1 / (k + F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "doc_id")))).alias("_s")) for r in routes]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy(*by, "doc_id").agg(F.round(F.sum("_s") * (k + 1) / len(routes), 6).alias("score"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Pairs (a, b, jaccard) of documents whose token sets have the likeness, by prefix filtering.
+
+    Tokens are ordered from rare to common; two sets of that likeness share one of their first
+    n - ceil(threshold n) + 1 tokens, so only those meet. Documents with one token set are one row first.
+    """
+    sets = docs.select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("tokens")).filter(F.size("tokens") > 0)
+    reps = sets.groupBy(F.xxhash64("tokens").alias("set_id"), F.xxhash64(F.lit(7), F.col("tokens")).alias("set_id2")).agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+    freq = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    ranked = reps.select("doc_id", F.explode("tokens").alias("token")).join(freq, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("order"))
+    keep = (F.size("order") - F.ceil(F.size("order") * threshold) + 1).cast("int")
+    prefix = ranked.select("doc_id", F.size("order").alias("n"), F.explode(F.slice("order", F.lit(1), keep)).alias("t")).select("doc_id", "n", "t.token")
+    a, b = prefix.toDF("a", "na", "token"), prefix.toDF("b", "nb", "token")
+    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    left, right = reps.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), reps.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
+    both = met.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
+    jaccard = F.col("common") / (F.size("ta") + F.size("tb") - F.col("common"))
+    return both.select("a", "b", F.round(jaccard, 6).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def log2(x: Column) -> Column:
+    return F.log(x) / math.log(2)
