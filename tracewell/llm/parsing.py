@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import table
 
 #: Levels whose phrases go into a fingerprint: about 6 and 15 characters each.
 LEVELS = (2, 3)
@@ -164,47 +164,33 @@ def _rows(ids: list[int | None], texts: list[str], following: list[str]) -> list
     return [ids, list(map(len, texts)), sha, own[:-1], theirs, list(map(likeness, own, theirs)), list(map(likeness, own, own[1:]))]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for all of a sorted partition but the last document, which waits for the next partition.
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    Edges come out with their text: the first document (edge 0) and the last (edge 1).
-    """
-    names = ["part", "edge", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "_text"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
 
-    def out(cols: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _KINDS, strict=True)], names=_NAMES)
 
-    def edge(which: int, i: int | None, text: str) -> pa.RecordBatch:
-        return out([[part], [which], [i], *[[None]] * 6, [text]])
 
-    part, ids, texts, total = None, [], [], 0
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows for all of a sorted partition but its last document, which another partition's first follows."""
+    ids, texts, total = [], [], 0
     for batch in batches:
-        for p, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            t = t or ""
-            if part is None:
-                part = p
-                yield edge(0, i, t)
+        for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             ids.append(i)
             texts.append(t)
             total += len(t)
             if total >= _SLICE and len(texts) > 1:
-                rows = _rows(ids[:-1], texts[:-1], texts[1:])
-                yield out([[part] * (len(ids) - 1), [None] * (len(ids) - 1), *rows, [None] * (len(ids) - 1)])
+                yield _batch(_rows(ids[:-1], texts[:-1], texts[1:]))
                 ids, texts, total = ids[-1:], texts[-1:], len(texts[-1])
-    if part is not None:
-        if len(texts) > 1:
-            rows = _rows(ids[:-1], texts[:-1], texts[1:])
-            yield out([[part] * (len(ids) - 1), [None] * (len(ids) - 1), *rows, [None] * (len(ids) - 1)])
-        yield edge(1, ids[-1], texts[-1])
+    if len(texts) > 1:
+        yield _batch(_rows(ids[:-1], texts[:-1], texts[1:]))
 
 
 def _compare_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _ROW.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     for batch in batches:
         for i, text, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_rows([i], [text], [following]), kinds, strict=True)], names=names)
+            yield _batch(_rows([i], [text], [following]))
 
 
 def edit_likeness(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -215,21 +201,19 @@ def edit_likeness(docs: DataFrame, text: str = "text") -> DataFrame:
     near_edited and near_next. A null text counts as empty; two empty texts have likeness 1. Null ids come
     first; rows of one id stand by text. A lone row follows itself. No rows give no rows.
 
-    Texts are dealt out by ranges of doc_id once; only each range's first and last text meet again.
+    Texts are dealt out by ranges of doc_id once, in one exchange that both branches of the plan read; of each
+    range, only the first and last text meet others.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", F.col(text).alias("_text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "_text")
-    made = stored(dealt.select(F.spark_partition_id().alias("part"), "doc_id", "_text").mapInArrow(_compare, f"part int, edge int, {_ROW}, _text string"))
-    parts = sorted(r[0] for r in made.filter("edge = 0").select("part").collect())
-    done = made.filter("edge is null").drop("part", "edge", "_text")
-    if not parts:
-        return done
-    # One number a partition: the driver orders them, the texts stay where they are.
-    follows = F.element_at(F.create_map(*[F.lit(x) for pair in zip(parts, [*parts[1:], parts[0]], strict=True) for x in pair]), F.col("part"))
-    last = made.filter("edge = 1").select("doc_id", "_text", follows.alias("to"))
-    first = made.filter("edge = 0").select(F.col("part").alias("to"), F.col("_text").alias("_next"))
-    return done.unionByName(last.join(first, "to").select("doc_id", "_text", "_next").mapInArrow(_compare_edges, _ROW))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text")).repartitionByRange(n, "doc_id")
+    inner = dealt.sortWithinPartitions("doc_id", "_text").mapInArrow(_compare, _ROW)
+    place = F.struct("doc_id", "_text")
+    edges = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    # One row a range meets here. A second use of the ranges would have to find the same borders again.
+    by_part = Window.orderBy("part")
+    follows = F.coalesce(F.lead("first._text").over(by_part), F.first("first._text").over(by_part))
+    last = edges.select("last.doc_id", "last._text", follows.alias("_next"))
+    return inner.unionByName(last.mapInArrow(_compare_edges, _ROW))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
