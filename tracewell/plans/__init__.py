@@ -1 +1,6 @@
-"""Part of tracewell; see the README for the map of modules."""
+"""Named queries over the test tables, each with SQL of equal results where SQL can express it."""
+
+from . import decisions, quality, retrieval, sessions, usage
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "decisions", "quality", "retrieval", "sessions", "usage"]

@@ -51,10 +51,10 @@ def _(t):
     )
 
 
-_ADM = HITS + """, s as (select kind, count(distinct doc_id) sources from x group by kind), a as (select *, kind in ('result', 'memory') and not (kind = 'result' and status <> 'verified') and origin <> 'import' and not stale eligible from x join s using (kind)),
-b as (select *, row_number() over w rk, sum(eligible::int) over w e from a window w as (partition by query_id order by score desc, doc_id)), c as (select *, coalesce(max(score) filter (eligible and e = 1) over (partition by query_id), 0) top1, coalesce(max(score) filter (eligible and e = 1) over (partition by query_id) - max(score) filter (eligible and e = 2) over (partition by query_id), 0) top_margin from b where case when eligible then e <= 5 else rk <= 5 end),
-d as (select *, case when score <= 0 or top1 <= 0 or top1 < 0.45 then 'miss' when score / top1 >= 0.8 and top1 >= 0.7 then 'hit' when score / top1 >= 0.55 then 'grey' else 'miss' end zone from c),
-adm as (select query_id, doc_id, score, rk, eligible, round(top_margin, 6) top_margin, zone, case when kind not in ('result', 'memory') then 'type_not_allowed' when kind = 'result' and status <> 'verified' then 'result_probation' when origin = 'import' then 'origin_below_floor' when stale then 'freshness' when sources < 2 then 'type_sources_too_few' when coverage < 0.2 then 'coverage_low' when zone = 'miss' then 'zone_miss' when zone = 'grey' then 'zone_grey' else 'admitted' end reason from d)"""
+_ADM = HITS + """, ks as (select kind, count(distinct doc_id) sources from x group by kind), a as (select *, kind in ('result', 'memory') and not (kind = 'result' and status <> 'verified') and origin <> 'import' and not stale eligible from x join ks using (kind)),
+b5 as (select *, row_number() over w rk, sum(eligible::int) over w e from a window w as (partition by query_id order by score desc, doc_id)), c5 as (select *, coalesce(max(score) filter (eligible and e = 1) over (partition by query_id), 0) top1, coalesce(max(score) filter (eligible and e = 1) over (partition by query_id) - max(score) filter (eligible and e = 2) over (partition by query_id), 0) top_margin from b5 where case when eligible then e <= 5 else rk <= 5 end),
+d5 as (select *, case when score <= 0 or top1 <= 0 or top1 < 0.45 then 'miss' when score / top1 >= 0.8 and top1 >= 0.7 then 'hit' when score / top1 >= 0.55 then 'grey' else 'miss' end zone from c5),
+adm as (select query_id, doc_id, score, rk, eligible, round(top_margin, 6) top_margin, zone, case when kind not in ('result', 'memory') then 'type_not_allowed' when kind = 'result' and status <> 'verified' then 'result_probation' when origin = 'import' then 'origin_below_floor' when stale then 'freshness' when sources < 2 then 'type_sources_too_few' when coverage < 0.2 then 'coverage_low' when zone = 'miss' then 'zone_miss' when zone = 'grey' then 'zone_grey' else 'admitted' end reason from d5)"""
 
 
 def _admission(t):
