@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with SQL of equal results where SQL can express it."""
 
-from . import decisions, quality, retrieval, sessions, usage
+from . import catalog, decisions, evaluation, prediction, quality, retrieval, sessions, usage
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "decisions", "quality", "retrieval", "sessions", "usage"]
+__all__ = ["QUERIES", "SQL", "catalog", "decisions", "evaluation", "prediction", "quality", "retrieval", "sessions", "usage"]
