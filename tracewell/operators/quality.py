@@ -11,12 +11,12 @@ from tracewell.functions import scores as S
 def gc(slices: DataFrame, now: int, retention_days: int, least_weight: float, capacity: int, grace_days: int = 7) -> DataFrame:
     """Adds reason: expired, low_score, over_cap or null (kept).
 
-    Over the capacity, the first to go are those out of grace, of the types that go stale fastest, of the
+    A retention or least weight of 0 evicts nothing. Over the capacity, the first to go are those out of grace, of the types that go stale fastest, of the
     least weight, the oldest, by id. Ranks come from counts of blocks of that order, so no task sorts all rows.
     """
     cutoff = now - retention_days * 86400
-    aged = (F.col("created") > 0) & (F.col("created") < cutoff)
-    low = (F.col("weight") > 0) & (F.col("weight") < least_weight)
+    aged = F.lit(retention_days > 0) & (F.col("created") > 0) & (F.col("created") < cutoff)
+    low = F.lit(least_weight > 0) & (F.col("weight") > 0) & (F.col("weight") < least_weight)
     rows = slices.withColumn("reason", F.when(aged, "expired").when(low, "low_score"))
     order = [(F.col("created") > 0) & (now - F.col("created") < grace_days * 86400), S.evict_priority(F.col("kind")), F.col("weight"), F.col("created"), F.col("id")]
     live = rows.filter("reason is null").select("id", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
