@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
+from tracewell.operators.ranking import kept
 
 # Phrases that try to steer a reader.
 PHRASES = (
@@ -137,16 +138,14 @@ def clusters(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     pairs (a < b) are alike. Each round settles every row whose earlier likes are all settled; rounds are as
     many as the longest chain of likes, and each is written out.
     """
-    from tracewell.operators.catalog import _kept
-
     edges = pairs.select(F.col("b").alias("id"), F.col("a").alias("earlier"))
-    state = _kept(ids.select("id", F.lit(None).cast("long").alias("rep")))
+    state = kept(ids.select("id", F.lit(None).cast("long").alias("rep")))
     while not state.filter("rep is null").isEmpty():
         open_ = state.filter("rep is null").select("id")
         near = open_.join(edges, "id", "left").join(state.select(F.col("id").alias("earlier"), F.col("rep").alias("er")), "earlier", "left")
         seen = near.groupBy("id").agg(F.bool_or(F.col("earlier").isNotNull() & F.col("er").isNull()).alias("waits"), F.min(F.when(F.col("er") == F.col("earlier"), F.col("er"))).alias("first"))
         done = seen.filter(~F.coalesce("waits", F.lit(False))).select("id", F.coalesce("first", "id").alias("rep"))
-        state = _kept(state.filter("rep is not null").unionByName(done).unionByName(open_.join(done, "id", "left_anti").withColumn("rep", F.lit(None).cast("long"))))
+        state = kept(state.filter("rep is not null").unionByName(done).unionByName(open_.join(done, "id", "left_anti").withColumn("rep", F.lit(None).cast("long"))))
     return state
 
 

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.ranking import kept
+
 
 def keyset_page(rows: DataFrame, order: list[tuple[str, bool]], after: tuple | None, size: int) -> DataFrame:
     """The page after a cursor: order is (column, descending) with a unique last column.
@@ -73,19 +75,10 @@ def roots(rows: DataFrame, most: int = 32) -> DataFrame:
         jump = at.select(F.col("id").alias("root"), F.col("root").alias("_r"), F.col("depth").alias("_d"), F.col("over").alias("_o"))
         met = at.filter("not over").join(jump, "root", "left")
         moved = met.select("id", "up", (F.col("depth") + F.col("_d")).alias("depth"), F.col("_r").alias("root"), F.col("_o").alias("over"))
-        at = _kept(at.filter("over").unionByName(moved))
+        at = kept(at.filter("over").unionByName(moved))
     return at.filter("over").select("id", "root", "depth")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def preferred(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """The one row of each group that comes first in an order."""
     return rows.withColumn("_p", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter("_p = 1").drop("_p")

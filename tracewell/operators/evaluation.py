@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.ranking import global_rank
+
 
 def chronological(rows: DataFrame, order: list[str], holdout: float, by: list[str] | None = None) -> DataFrame:
     """Adds is_holdout: the latest share of a group's rows, at least one row on either side where there are two.
 
-    The global case ranks by ranges of the first order key's distinct values, counted first.
+    Without groups the places come from ranges of the order, so no task sees all rows.
     """
-    by = by or []
+    split = lambda n: F.greatest(F.least(n - F.floor(n * holdout), n - 1), F.lit(1))
+    if not by:
+        total = rows.agg(F.count(F.lit(1)).alias("_n"))
+        ranked = global_rank(rows, order, "_r").crossJoin(F.broadcast(total))  # one row
+        return ranked.withColumn("is_holdout", F.col("_r") > split(F.col("_n"))).drop("_r", "_n")
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    split = F.greatest(F.least(n - F.floor(n * holdout), n - 1), F.lit(1))
-    return rows.withColumn("is_holdout", rank > split)
+    return rows.withColumn("is_holdout", rank > split(n))
 
 
 def hash_split(text: Column, share: float) -> Column:

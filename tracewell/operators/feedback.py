@@ -1,11 +1,11 @@
-"""Online state as batch folds: each key's events in order, folded in one expression.
+"""Online state over a key's events in order: means and posteriors as weighted sums, the rest as folds.
 
 The streaming package keeps the same states event by event; both take these functions' constants.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The engine's rates, steps, bounds and windows.
@@ -17,28 +17,36 @@ TIER_ALPHA = 0.2
 
 
 def ordered(rows: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
-    """(key, items): a key's events as an array in order; one key's history is one row."""
+    """(key, items): a key's events as an array in order, for states that branch: one key's history is one row.
+
+    The streaming forms keep such states in bounded space; use them where one key's history is very long.
+    """
     return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("items"))
 
 
+def aged(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds age, 0 for a key's latest event, and n, its events. Rows stay rows: a long history spills, it isn't gathered."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    return rows.withColumn("age", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])) - 1).withColumn("n", n)
+
+
 def ewma(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
-    got = ordered(rows, key, order, value)
-    return got.select(key, F.round(F.aggregate("items", F.lit(0.0), lambda a, x: (1 - alpha) * a + alpha * x[value]), 9).alias("ewma"), F.size("items").cast("long").alias("n"))
+    """The exponential mean from 0, as a sum of values weighted by age."""
+    weight = alpha * F.pow(F.lit(1 - alpha), F.col("age"))
+    return aged(rows, key, order).groupBy(key).agg(F.round(F.sum(F.col(value) * weight), 9).alias("ewma"), F.count(F.lit(1)).alias("n"))
 
 
 def ewma_first(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = TIER_ALPHA) -> DataFrame:
-    """The mean that starts at its first sample."""
-    step = lambda a, x: F.when(a.isNull(), x[value]).otherwise((1 - alpha) * a + alpha * x[value])
-    return ordered(rows, key, order, value).select(key, F.round(F.aggregate("items", F.lit(None).cast("double"), step), 9).alias("ewma"))
+    """The mean that starts at its first sample, whose weight is what the others leave."""
+    weight = F.when(F.col("age") == F.col("n") - 1, 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), F.col("age"))
+    return aged(rows, key, order).groupBy(key).agg(F.round(F.sum(F.col(value) * weight), 9).alias("ewma"))
 
 
 def beta(rows: DataFrame, key: str, order: list[str], hit: str) -> DataFrame:
     """Decayed hits and wastes, their posterior mean, Wilson's lower bound, and whether the key is demoted."""
-    d = POSTERIOR_DECAY
-    start = F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("w"))
-    step = lambda a, x: F.struct((d * a["h"] + F.when(x[hit], 1.0).otherwise(0.0)).alias("h"), (d * a["w"] + F.when(x[hit], 0.0).otherwise(1.0)).alias("w"))
-    got = ordered(rows, key, order, hit).select(key, F.aggregate("items", start, step).alias("s"))
-    h, w = F.col("s.h"), F.col("s.w")
+    weight = F.pow(F.lit(POSTERIOR_DECAY), F.col("age"))
+    got = aged(rows, key, order).groupBy(key).agg(F.sum(F.when(F.col(hit), weight).otherwise(0.0)).alias("h"), F.sum(F.when(F.col(hit), 0.0).otherwise(weight)).alias("w"))
+    h, w = F.col("h"), F.col("w")
     n, z = h + w, WILSON_Z
     p = h / n
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import scores as S
+from tracewell.operators.ranking import global_rank
 
 
 def gc(slices: DataFrame, now: int, retention_days: int, least_weight: float, capacity: int, grace_days: int = 7) -> DataFrame:
     """Adds reason: expired, low_score, over_cap or null (kept).
 
     A retention or least weight of 0 evicts nothing. Over the capacity, the first to go are those out of grace, of the types that go stale fastest, of the
-    least weight, the oldest, by id. Ranks come from counts of blocks of that order, so no task sorts all rows.
+    least weight, the oldest, by id. Ranks come from ranges of that order, so no task sorts all rows.
     """
     cutoff = now - retention_days * 86400
     aged = F.lit(retention_days > 0) & (F.col("created") > 0) & (F.col("created") < cutoff)
@@ -21,20 +22,11 @@ def gc(slices: DataFrame, now: int, retention_days: int, least_weight: float, ca
     order = [(F.col("created") > 0) & (now - F.col("created") < grace_days * 86400), S.evict_priority(F.col("kind")), F.col("weight"), F.col("created"), F.col("id")]
     live = rows.filter("reason is null").select("id", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
     over = F.greatest(F.count(F.lit(1)) - capacity, F.lit(0)).alias("over")
-    ranked = ranked_rows(live, ["_o0", "_o1", "_o2", "_o3", "_o4"]).crossJoin(F.broadcast(live.agg(over)))  # one row
+    ranked = global_rank(live, ["_o0", "_o1", "_o2", "_o3", "_o4"], "_rank").crossJoin(F.broadcast(live.agg(over)))  # one row
     gone = ranked.filter(F.col("_rank") <= F.col("over")).select("id", F.lit(True).alias("_gone"))
     return rows.join(gone, "id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_gone"), "over_cap"))).drop("_gone")
 
 
-def ranked_rows(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds _rank, the place in a global order: blocks by the two first keys are ranked alone and offset by counts."""
-    block = order[:2]
-    counts = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select(*block, F.coalesce(F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy(*block).orderBy(*order[2:]))
-    return rows.withColumn("_own", own).join(before, block).withColumn("_rank", F.col("_before") + F.col("_own")).drop("_before", "_own")
-
-
 def prune_plan(slices: DataFrame, now: int, older_than_days: int) -> DataFrame:
     """(id, reasons, retained): rows that go, why, and which copy stays for a duplicate. Protected rows stay.
 

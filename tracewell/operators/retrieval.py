@@ -110,11 +110,13 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """Exact search: each query (query_id, q) against all vectors (vec_id, embedding) of its dimension.
 
-    A stated query set meets every row once; partial ranks keep at most k rows a query from each task before
-    they are shuffled, so what moves grows with queries x tasks, not with the product.
+    A stated query set meets every row once, in as many blocks of vectors as there are partitions: vectors
+    are dealt out by id, queries go to each block. A block's ranks are cut at k before they meet.
     """
-    met = vectors.join(F.broadcast(queries) if queries.isLocal() else queries, F.size("embedding") == F.size("q"))
-    scored = met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), digits).alias("score"))
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = vectors.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"))
+    asked = queries.select("query_id", "q", F.size("q").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
+    scored = dealt.join(asked, ["dim", "block"]).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), digits).alias("score"))
     return top(scored, k, by=("query_id",), tie="vec_id")
 
 
