@@ -96,3 +96,50 @@ def slices(lines: DataFrame, session: str = "conv_id", order: str = "turn") -> D
     r = results(lines, session, order).select(F.lit("result").alias("kind"), F.lit(3).alias("_t"), F.col(session).alias("session"), F.col("text").alias("content"))
     rows = p.unionByName(r).withColumn("id", T.slice_id(F.col("_t"), F.lit(0), F.col("content")))
     return rows.groupBy("id").agg(F.first("kind").alias("kind"), F.min("session").alias("session"), F.first("content").alias("content"))
+
+
+def pipeline_counts(lines: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(session, prompts, results): what ingesting a transcript stores of each session."""
+    p = prompts(lines, session, order).groupBy(session).agg(F.count(F.lit(1)).alias("prompts"))
+    r = results(lines, session, order).select(session, F.lit(1).cast("long").alias("results"))
+    return p.join(r, session, "full_outer").select(session, F.coalesce("prompts", F.lit(0)).alias("prompts"), F.coalesce("results", F.lit(0)).alias("results"))
+
+
+def kernel_events(lines: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(session, turn_no, order, kind): user lines start turns, assistant lines dispatch, other lines are results."""
+    kind = F.when(F.col("role") == "user", "turn_started").when(F.col("role") == "assistant", "tool_dispatch").when(F.col("role") == "tool", "tool_result").otherwise("note")
+    return turns(lines, session, order).select(session, "turn_no", order, kind.alias("kind"))
+
+
+def passthrough(events: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Events of some kinds again as user lines: kind and data."""
+    return events.filter(F.col("kind").isin(*kinds)).withColumn("role", F.lit("user")).withColumn("text", F.concat("kind", F.lit(": "), "data"))
+
+
+def lines_of_stream(events: DataFrame) -> DataFrame:
+    """Transcript lines of a stream (session, seq, message_id, partial, role, text, call_id): the last full form of a
+    message counts, calls without a result get a placeholder after them."""
+    full = events.filter(~F.col("partial"))
+    last = full.groupBy("session", "message_id").agg(F.max_by(F.struct("seq", "role", "text", "call_id"), "seq").alias("m")).select("session", "message_id", "m.*")
+    done = last.filter("role = 'tool'").select("session", "call_id").distinct()
+    lost = last.filter("role = 'assistant' and call_id is not null").join(done, ["session", "call_id"], "left_anti")
+    mark = lost.select("session", "message_id", "seq", F.lit("tool").alias("role"), F.lit("[no result]").alias("text"), "call_id")
+    return last.select("session", "message_id", "seq", "role", "text", "call_id").unionByName(mark)
+
+
+def outcome_card(calls: DataFrame) -> DataFrame:
+    """(session, files, checked): up to ten edited files in order of first edit, and whether a check passed.
+
+    calls has session, seq, stage, path and ok.
+    """
+    edits = calls.filter("stage = 'edit'").groupBy("session", "path").agg(F.min("seq").alias("seq"))
+    ten = edits.withColumn("_r", F.row_number().over(Window.partitionBy("session").orderBy("seq"))).filter("_r <= 10")
+    files = ten.groupBy("session").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "path"))), lambda x: x["path"]), ", ").alias("files"))
+    checked = calls.groupBy("session").agg(F.coalesce(F.bool_or((F.col("stage") == "verify") & F.col("ok")), F.lit(False)).alias("checked"))
+    return checked.join(files, "session", "left").select("session", F.coalesce("files", F.lit("")).alias("files"), "checked")
+
+
+def command_card(calls: DataFrame, most: int = 8) -> DataFrame:
+    """(session, rank, command, outcome): a session's commands in order of first use with their latest outcome."""
+    c = calls.groupBy("session", "command").agg(F.min("seq").alias("first"), F.max_by("outcome", "seq").alias("outcome"))
+    return c.withColumn("rank", F.row_number().over(Window.partitionBy("session").orderBy("first"))).filter(F.col("rank") <= most).drop("first")

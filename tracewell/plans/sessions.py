@@ -120,3 +120,44 @@ def _(t):
     f = t("events").groupBy(F.col("user_id").alias("session")).agg(F.min("ts").alias("first_ts")).withColumn("project", F.col("session") % 10)
     w = Window.partitionBy("project")
     return f.select("project", "session", F.row_number().over(w.orderBy("first_ts", "session")).cast("long").alias("k"), F.count(F.lit(1)).over(w).alias("n")).filter("n >= 4 and k <= 5")
+
+
+@query("ingest_counts", f"with {_TURNS}, p as (select conv_id, count(*) prompts from (select conv_id from t where role = 'user' and trim(text) <> '' qualify row_number() over (partition by conv_id, turn_no order by turn) = 1) group by 1), r as (select conv_id, 1::bigint results from conversations where role = 'assistant' group by 1) select conv_id, coalesce(prompts, 0) prompts, coalesce(results, 0) results from p full join r using (conv_id)")
+def _(t):
+    return S.pipeline_counts(t("conversations"))
+
+
+@query("kernel_events", f"with {_TURNS} select conv_id, turn_no, turn, case role when 'user' then 'turn_started' when 'assistant' then 'tool_dispatch' when 'tool' then 'tool_result' else 'note' end kind from t")
+def _(t):
+    return S.kernel_events(t("conversations"))
+
+
+@query("event_passthrough", "select event_id, 'user' role, event_type || ': ' || props as text from events where event_type in ('view', 'click', 'error')")
+def _(t):
+    rows = t("events").select("event_id", F.col("event_type").alias("kind"), F.col("props").alias("data"))
+    return S.passthrough(rows, ("view", "click", "error")).select("event_id", "role", "text")
+
+
+@query("stream_lines", """with e as (select user_id session, event_id seq, (event_id // 4)::bigint m, event_type = 'click' part, case when event_type = 'view' then 'tool' else 'assistant' end role, event_type x, case when event_id % 2 = 0 then event_id // 8 end call_id from events),
+l as (select * from e where not part qualify row_number() over (partition by session, m order by seq desc) = 1), d as (select distinct session, call_id from l where role = 'tool'),
+o as (select a.* from l a left join d on a.session = d.session and a.call_id = d.call_id where a.role = 'assistant' and a.call_id is not null and d.session is null)
+select session, seq, role, x as text from l union all select session, seq, 'tool', '[no result]' from o""")
+def _(t):
+    i, e = F.col("event_id"), F.col("event_type")
+    rows = t("events").select(
+        F.col("user_id").alias("session"), i.alias("seq"), F.floor(i / 4).alias("message_id"), (e == "click").alias("partial"), F.when(e == "view", "tool").otherwise("assistant").alias("role"), e.alias("text"), F.when(i % 2 == 0, F.floor(i / 8)).alias("call_id"),
+    )
+    return S.lines_of_stream(rows).select("session", "seq", "role", "text")
+
+
+@query("outcome_card", f"with {_CALLS}, x as (select session, seq, tool, 'f' || floor(value)::bigint path from c), e as (select session, path, min(seq) s from x where tool = 'click' group by all), f as (select session, string_agg(path, ', ' order by s) files from (select * from e qualify row_number() over (partition by session order by s) <= 10) group by session), k as (select session, bool_or(tool = 'signup' and path > 'f3') checked from x group by session) select session, coalesce(files, '') files, checked from k left join f using (session)")
+def _(t):
+    path = F.concat(F.lit("f"), F.floor("value").cast("string"))
+    calls = S.calls(t("events")).withColumn("path", path).withColumn("stage", F.when(F.col("tool") == "click", "edit").when(F.col("tool") == "signup", "verify").otherwise("")).withColumn("ok", F.col("path") > "f3")
+    return S.outcome_card(calls)
+
+
+@query("command_card", f"with {_CALLS}, x as (select session, seq, tool || ' ' || floor(value / 10)::bigint command, case when value > 5 then 'ok' else 'failed' end outcome from c), g as (select session, command, min(seq) f, arg_max(outcome, seq) outcome from x group by all) select session, command, outcome, row_number() over (partition by session order by f) rank from g qualify rank <= 8")
+def _(t):
+    calls = S.calls(t("events")).withColumn("command", F.concat_ws(" ", "tool", F.floor(F.col("value") / 10).cast("string"))).withColumn("outcome", F.when(F.col("value") > 5, "ok").otherwise("failed"))
+    return S.command_card(calls)
