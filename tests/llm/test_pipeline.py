@@ -90,3 +90,16 @@ def test_queries_are_registered(spark, sf):
     names = entry.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
     assert quality_rules.query(spark, sf).count() > 0
+
+
+def test_names_that_operators_use_themselves(spark):
+    from tracewell.llm import line_dedup, mixing, simhash, url_filter
+
+    names = ("_k1", "_k2", "_text", "_th", "_w", "_h", "_s", "_keys", "_in", "in", "_hits", "fp", "near", "_gone", "_n", "first", "kept", "rule", "copies", "size", "_tie")
+    text = "the cat sat on the mat and the dog ran to a hill with the sun in its eyes for most of that long day"
+    docs = spark.createDataFrame([(1, text, "s", "http://a.com/en/", *names), (2, text, "s", None, *names)], "doc_id long, text string, source string, url string, " + ", ".join(f"`{n}` string" for n in names))
+    for f in (quality_rules.quality_rules, line_dedup.line_dedup, simhash.near_dedup, mixing.mix, url_filter.url_filter):
+        out = f(docs)
+        made = {"quality_rules": {"kept"}, "url_filter": {"rule"}}.get(f.__name__, set())
+        for r in out.collect():
+            assert all(r[n] == n for n in names if n not in made), f.__name__

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,20 @@ def hash2(*cols: Column) -> tuple[Column, Column]:
     return F.xxhash64(*cols), F.xxhash64(F.lit(7), *cols)
 
 
+def guarded(operator):
+    """For operators that pass columns through: names with a leading underscore, which they use, are put aside."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs):
+        names = {c: f"given {i}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        if not names:
+            return operator(docs, *args, **kwargs)
+        kwargs = {k: names.get(v, v) if isinstance(v, str) else v for k, v in kwargs.items()}
+        return operator(docs.withColumnsRenamed(names), *args, **kwargs).withColumnsRenamed({v: c for c, v in names.items()})
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash2, salted_join, stored, table, words
+from .common import guarded, hash2, salted_join, stored, table, words
 
 #: Lines with fewer words always stay: short phrases repeat by chance.
 LEAST_WORDS = 5
@@ -108,6 +108,7 @@ def _edits(near: DataFrame) -> DataFrame:
     return found.filter(right).select("_h1", "_h2").distinct()
 
 
+@guarded
 def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """Drops each line that equals, or is within one word edit of, an earlier line of the corpus.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hash2, stored, table
+from .common import WORD, guarded, hash2, stored, table
 
 WEIGHTS = (5, 2, 1)
 #: No source gives more than so many times its size.
@@ -71,6 +71,7 @@ def copies(rows: DataFrame, seed: int = SEED, weights: Sequence[float] = WEIGHTS
     return placed.withColumn("copies", (crossed(F.col("_i")) - crossed(F.col("_i") - 1)).cast("int")).select(*rows.columns, "source_size", "target", "copies")
 
 
+@guarded
 def mix(docs: DataFrame, text: str = "text", **how: object) -> DataFrame:
     """The mixed rows: each row of docs as often as its copies, columns as they were."""
     given = docs.columns

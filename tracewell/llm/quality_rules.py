@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, settled, table, words
+from .common import WORD, guarded, settled, table, words
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -89,6 +89,7 @@ def failed(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*[breaks(r) for r in rules]))
 
 
+@guarded
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Judges each row by the table of rules.
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash2, stored, table
+from .common import guarded, hash2, stored, table
 from .components import components
 
 SHINGLE = 4
@@ -193,6 +193,7 @@ def simhash_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     return keyed.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
+@guarded
 def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs without all but one of each group: the least doc_id (null last), then text hash, stays.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash2, stored, table
+from .common import guarded, hash2, stored, table
 
 
 class Rule(NamedTuple):
@@ -136,8 +136,8 @@ def cascades(universe: DataFrame, listed: DataFrame) -> list[list[Level]]:
 
 
 def answered(rows: DataFrame, keys: str, built: list[list[Level]]) -> DataFrame:
-    """Adds `in`, an array of booleans beside the array column keys of (h1, h2): which keys are listed."""
-    out = rows.withColumn("in", F.transform(keys, lambda x: F.lit(False)))
+    """Adds `_in`, an array of booleans beside the array column keys of (h1, h2): which keys are listed."""
+    out = rows.withColumn("_in", F.transform(keys, lambda x: F.lit(False)))
     for s, levels in enumerate(built):
         held = rows.sparkSession.sparkContext.broadcast(levels)
         at = out.columns.index(keys)
@@ -169,6 +169,7 @@ def _labels(host: str) -> int:
     return host.count(".") + 1
 
 
+@guarded
 def url_filter(pages: DataFrame, rules: Sequence[Rule] = RULES, blocked: DataFrame | None = None, url: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict to each row of pages; columns of those names are replaced.
 
@@ -200,7 +201,7 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] = RULES, blocked: DataFra
     h1, h2 = hash2(F.col("kind"), F.col("text"))
     built = cascades(rows.select(F.explode("_keys").alias("k")).select("k.h1", "k.h2"), listed.select(h1.alias("h1"), h2.alias("h2")))
     rows = answered(rows, "_keys", built)
-    hits = F.transform(F.filter(F.arrays_zip(F.col("_keys").alias("k"), F.col("in").alias("i")), lambda x: x["i"]), lambda x: x["k"])
+    hits = F.transform(F.filter(F.arrays_zip(F.col("_keys").alias("k"), F.col("_in").alias("i")), lambda x: x["i"]), lambda x: x["k"])
     rows = rows.withColumn("_hits", hits)
     rank = F.transform(F.filter("_hits", lambda x: x["kind"] != "host"), lambda x: F.struct(F.length(x["text"]).alias("n"), F.instr(x["text"], "/").alias("m"), x["text"].alias("text"), x["kind"].alias("kind")))
     best = F.array_max(rank)
