@@ -50,3 +50,14 @@ def test_beta_and_quota(spark, tmp_path):
     assert beta == {"a": (0.8, 1.0), "b": (1.0, 0.0)}
     used = {r.key: r.used for r in drain(state.quota(read(), "key", ["i"], "tokens", "string"), "quota_out").collect()}
     assert used == {"a": 11, "b": 7}
+
+
+def test_false_hits(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(1, 1, "how to sort a list", True), (1, 2, "how to sort a list?", False), (1, 3, "how to sort a list?", True), (1, 4, "other words", False), (2, 1, "x", False), (2, 2, "x", False)]
+    schema = "session long, seq long, ts timestamp, query string, l3_reuse boolean"
+    spark.createDataFrame([(s, i, datetime(2024, 1, 1, 0, i), q, r) for s, i, q, r in rows], schema).write.parquet(str(tmp_path / "r"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "r"))
+    got = drain(state.false_hits(stream), "false_out", "append").collect()
+    assert [(r.session, r.seq) for r in got] == [(1, 2)]

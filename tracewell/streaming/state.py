@@ -67,3 +67,38 @@ def windows(events: DataFrame, width: str = "1 hour", slide: str | None = None,
 def upserts(stream: DataFrame, path: str, checkpoint: str, merge):
     """A query that merges each batch into a table by `merge(batch, epoch)`; a batch that is run again is told by its epoch."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).option("path", path)
+
+
+def false_hits(requests: DataFrame, threshold: float = 0.6, idle: str = "1 hour") -> DataFrame:
+    """Requests (session, seq, ts, query, l3_reuse) much like the session's last one that a cache answered.
+
+    A remembered reuse is consumed by the next request; a session that is idle for that long by event time is forgotten.
+    """
+
+    def like(a: str, b: str) -> float:
+        if max(len(a), len(b)) > 2048:
+            return 0.0
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / max(len(a), len(b), 1)
+
+    millis = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def run(k: tuple[Any], batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        before, out, rows = held.get[0] if held.exists else None, [], pd.concat(list(batches)).sort_values("seq")
+        for r in rows.itertuples():
+            if before is not None and (score := like(before, r.query)) >= threshold:
+                out.append((k[0], r.seq, round(score, 6)))
+            before = r.query if r.l3_reuse else None
+        held.update((before,))
+        held.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), held.getCurrentWatermarkMs()) + millis)
+        yield pd.DataFrame(out, columns=["session", "seq", "likeness"])
+
+    seen = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", idle)
+    return seen.groupBy("session").applyInPandasWithState(run, "session long, seq long, likeness double", "before string", "append", GroupStateTimeout.EventTimeTimeout)
