@@ -30,16 +30,29 @@ TASK_KEYS = (
 )
 
 
+#: Scripts in CJK start here; texts without such characters take a plainer pattern.
+_HIGH = r"[\u1100-\uFFFF\x{10000}-\x{10FFFF}]"
+#: Letters, digits and underscore; the ranges are part of the classes after them, and cheaper to test.
+_WORD = r"[a-z0-9_\u00DF-\u00F6\u00F8-\u00FF\p{L}\p{Nd}]+"
+
+
+def _lower(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores; a CJK character is a token of its own."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[{CJK}]|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+"), F.lit(0))
+    full = rf"[{CJK}]|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+"
+    every = lambda p: F.regexp_extract_all(_lower(text), F.lit(p), F.lit(0))
+    return F.when(F.coalesce(text, F.lit("")).rlike(_HIGH), every(full)).otherwise(every(_WORD))
 
 
 def bigram_tokens(text: Column) -> Column:
     """As tokens, but a run of CJK characters gives its pairs; a lone character stays."""
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[{CJK}]+|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+"), F.lit(0))
+    runs = F.regexp_extract_all(_lower(text), F.lit(rf"[{CJK}]+|[\p{{L}}\p{{Nd}}_&&[^{CJK}]]+"), F.lit(0))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]{{2,}}$"), pairs(r)).otherwise(F.array(r))))
+    cut = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{CJK}]{{2,}}$"), pairs(r)).otherwise(F.array(r))))
+    return F.when(F.coalesce(text, F.lit("")).rlike(_HIGH), cut).otherwise(F.regexp_extract_all(_lower(text), F.lit(_WORD), F.lit(0)))
 
 
 def ascii_tokens(text: Column) -> Column:

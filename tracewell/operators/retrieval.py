@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
+from tracewell.operators.ranking import kept
 
 K1, B = 1.2, 0.75
 
@@ -163,6 +164,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     """
     sets = docs.select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("tokens")).filter(F.size("tokens") > 0)
     reps = sets.groupBy(F.xxhash64("tokens").alias("set_id"), F.xxhash64(F.lit(7), F.col("tokens")).alias("set_id2")).agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+    reps = kept(reps.select("doc_id", "tokens"))  # read four times below
     freq = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     ranked = reps.select("doc_id", F.explode("tokens").alias("token")).join(freq, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("order"))
     keep = (F.size("order") - F.ceil(F.size("order") * threshold) + 1).cast("int")
