@@ -80,3 +80,31 @@ def test_strong_dropout_is_lossless(dropout):
     p = s.Pieces(MODEL, dropout)
     for t in TEXTS:
         assert p.decode(ids(p.encode(t, 1))) == t
+
+
+def test_each_occurrence_is_split_anew():
+    word, n = " international", 400
+    plain = PLAIN.encode("x" + word)[len(PLAIN.encode("x")) :]
+    first = {DROPPED.encode("x" + word, k) for k in range(n)}
+    assert len(first) > 2 * s.VARIANTS
+    within = {DROPPED._chunk(word, int(d)) for d in s._draws(np.array([7], np.uint64), np.array([n]), s.SEED)}
+    assert len(within) > 2 * s.VARIANTS and plain in within
+
+
+def test_whole_texts_are_what_agendas_give():
+    texts = ["the international tokenization of words " * 30, "", "a▁b Überraschung é中🙂 " + "y" * 90, "z"]
+    keys = [5, 6, 7, 8]
+    split = [[c for part in (" " + t).split("▁") for c in s._CHUNK.findall(part)] if t else [] for t in texts]
+    drawn = s._draws(np.array(keys, np.uint64), np.array(list(map(len, split))), s.SEED).tolist()
+    for t, chunks, got in zip(texts, split, DROPPED.encode_all(texts, keys)):
+        own, drawn = drawn[: len(chunks)], drawn[len(chunks) :]
+        want = [DROPPED._chunk(c, d) for c, d in zip(chunks, own)]
+        sign = np.array(DROPPED._bytes("▁"), np.int32).tobytes()
+        assert got == b"".join(want) if "▁" not in t else got == want[0] + want[1] + sign + b"".join(want[2:]) or got == want[0] + sign + b"".join(want[1:])
+
+
+def test_copies_are_split_in_their_own_ways(spark):
+    text = "international considerations regarding tokenization experiments " * 20
+    docs = spark.createDataFrame([(1, text), (1, text), (1, text), (None, text), (None, text + "x")], "doc_id long, text string")
+    assert len({tuple(r.ids) for r in s.encode(docs, MODEL, copies=True).collect()}) == 5
+    assert len({tuple(r.ids) for r in s.encode(docs, MODEL).collect()}) == 3

@@ -1,10 +1,11 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
 Pieces never hold a blank after another character, so a text falls into chunks (blanks, then what follows
-them) that are encoded alone and remembered. A chunk's candidate merges wait in an agenda by score, then
-place; each is skipped with the dropout's chance by a hash keyed with the seed, the chunk's variant, its
-text, the place and the piece. A text's chunks go through the variants in turn, from one drawn by its key,
-so the same word is split in several ways, yet every run and every retry of a task gives the same ids.
+them) that are encoded alone. A chunk's candidate merges wait in an agenda by score, then place; each is
+skipped with the dropout's chance by a hash keyed with the seed, the document, its copy, the chunk's place in
+it, and the candidate's place and piece. So each occurrence of a word is split anew, yet every run and every
+retry of a task gives the same ids. Only splits without dropout are remembered, with the candidates they met:
+an occurrence that skips none of them has that split, any other is merged for itself.
 """
 
 from __future__ import annotations
@@ -20,25 +21,30 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash2, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20_240_229
-#: Ways in which a chunk may be split.
+#: Draws over which merging in step is held against agendas.
 VARIANTS = 4
-#: Chunks remembered for each variant, in each of two generations.
+#: Chunks whose plain splits are remembered, in each of two generations.
 REMEMBERED = 50_000
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _BLANK = "▁"
 _WHOLE = (1 << 64) - 1
+#: Factors of the hash that skips candidates.
+_PLACE, _PIECE, _MIX, _END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0x9FB21C651E98DF25
 #: The order of a candidate that is none.
 _LAST = (1 << 31) - 1
 #: Characters that are encoded together.
-_SLICE = 2_000_000
+_SLICE = 300_000
+#: Longer chunks merge by an agenda.
+_STEPPED = 64
+_NONE = np.empty(0, np.uint64)
 
 
 class _Pairs:
@@ -75,6 +81,26 @@ class _Pairs:
         return np.where(none, _LAST, self.order[at]), self.piece[at]
 
 
+def _skips(drawn: np.ndarray, salts: np.ndarray, skip: int) -> np.ndarray:
+    """Which candidates (by _salts) fall out, under each one's draw."""
+    mixed = (drawn ^ salts) * np.uint64(_MIX)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(_END) >> np.uint64(24) & np.uint64(0xFFFFFFFF)) < skip
+
+
+def _salts(at: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return at.astype(np.uint64) * np.uint64(_PLACE) + piece.astype(np.uint64) * np.uint64(_PIECE)
+
+
+def _draws(keys: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
+    """One draw for each place of each text."""
+    place = np.arange(counts.sum(), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
+    x = np.repeat(keys, counts) ^ np.uint64(xxhash.xxh64_intdigest(str(seed)))
+    x = x + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_PLACE)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Pieces:
     """A BPE model with byte fallback, read from the bytes of a SentencePiece model file."""
 
@@ -90,7 +116,7 @@ class Pieces:
                 self.text.append(piece.replace(_BLANK, " ").encode())
                 if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                     self.rank[piece.replace(_BLANK, " ")] = (-p.get_score(i), i)
-        self.skip, self.seed, self.ways = int(dropout * (1 << 32)), seed, VARIANTS if dropout else 1
+        self.skip, self.seed = int(dropout * (1 << 32)), seed
         order = {score: k for k, score in enumerate(sorted({score for score, _ in self.rank.values()}))}
         self.char = np.full(0x110000, -1, np.int32)
         pairs = []
@@ -101,37 +127,44 @@ class Pieces:
                 if piece[:k] in self.rank and piece[k:] in self.rank:
                     pairs.append((self.rank[piece[:k]][1], self.rank[piece[k:]][1], i, order[score]))
         self.pairs = _Pairs(*map(list, zip(*pairs, strict=True)), n=len(self.text))
-        self.young: list[dict[str, bytes]] = [{} for _ in range(self.ways)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.ways)]
+        self.young: list[dict[str, tuple[bytes, np.ndarray]]] = [{}]
+        self.old: list[dict[str, tuple[bytes, np.ndarray]]] = [{}]
 
     def _bytes(self, chars: str) -> list[int]:
         return [self.byte[b] for b in chars.encode()]
 
-    def _drawn(self, chunk: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(chunk.encode(), self.seed * VARIANTS + variant & _WHOLE)
+    def _chunks(self, chunks: list[str], drawn: int | np.ndarray | None, met: list[np.ndarray] | None = None) -> list[bytes]:
+        """Ids of many chunks: they merge in step, each its first candidate, which gives what agendas give.
 
-    def _chunks(self, chunks: list[str], variant: int) -> list[bytes]:
-        """Ids of many chunks: they merge in step, each its first candidate, which gives what agendas give."""
+        drawn is one draw, or one for each chunk; without it no candidate is skipped, and met takes the candidates
+        of each chunk that merged in step.
+        """
         out: list[bytes] = [b""] * len(chunks)
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        draws = None if drawn is None else np.broadcast_to(np.asarray(drawn, np.uint64), len(chunks))
         below = 0
-        for width in (4, 8, 12, 16, 24, 40, 64):
+        for width in (4, 8, 12, 16, 24, 40, _STEPPED):
             picked = np.flatnonzero((lengths > below) & (lengths <= width))
             below = width
             for at in range(0, len(picked), 50_000):
                 some = picked[at : at + 50_000].tolist()
-                for i, ids in zip(some, self._in_step([chunks[i] for i in some], lengths[some], width, variant), strict=True):
+                found, salts = self._in_step([chunks[i] for i in some], lengths[some], width, None if draws is None else draws[some])
+                for i, ids in zip(some, found, strict=True):
                     out[i] = ids
+                if met is not None:
+                    for i, x in zip(some, salts, strict=True):
+                        met[i] = x
         for i in np.flatnonzero(lengths > below).tolist():
-            out[i] = self._chunk(chunks[i], variant)
+            out[i] = self._chunk(chunks[i], None if draws is None else int(draws[i]))
         return out
 
-    def _in_step(self, chunks: list[str], lengths: np.ndarray, width: int, variant: int) -> list[bytes]:
-        n = len(chunks)
+    def _in_step(self, chunks: list[str], lengths: np.ndarray, width: int, drawn: np.ndarray | None) -> tuple[list[bytes], list[np.ndarray]]:
+        """Ids; and without draws, the salts of the candidates that each chunk met."""
+        n, dropped = len(chunks), bool(self.skip) and drawn is not None
+        met: list[tuple[np.ndarray, np.ndarray]] = []
         chars = np.frombuffer("".join(x.ljust(width) for x in chunks).encode("utf-32-le"), np.uint32).reshape(n, width)
         symbol = np.where(np.arange(width) < lengths[:, None], self.char[chars], -1)
         done, there = symbol.copy(), np.zeros((n, width), bool)
-        drawn = np.fromiter((self._drawn(x, variant) for x in chunks), np.uint64, n) if self.skip else None
         row = np.arange(n)
         alive = np.arange(width) < lengths[:, None]
         after = np.tile(np.arange(1, width + 1, dtype=np.int16), (n, 1))
@@ -141,10 +174,11 @@ class Pieces:
 
         def look(r: np.ndarray, at: np.ndarray, nxt: np.ndarray) -> None:
             found, p = self.pairs.find(symbol[r, at], symbol[r, nxt])
-            if self.skip:
-                mixed = (drawn[r] ^ (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + p.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xFF51AFD7ED558CCD)
-                chance = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(24) & np.uint64(0xFFFFFFFF)
-                found = np.where(chance < self.skip, _LAST, found)
+            if dropped:
+                found = np.where(_skips(drawn[r], _salts(at, p), self.skip), _LAST, found)
+            elif self.skip:
+                k = found < _LAST
+                met.append((row[r[k]], _salts(at[k], p[k])))
             order[r, at], piece[r, at] = found, p
 
         r, at = np.nonzero(np.arange(width - 1) < lengths[:, None] - 1)
@@ -157,7 +191,7 @@ class Pieces:
                 over = ~going
                 done[row[over]], there[row[over]] = symbol[over], alive[over]
                 row, best, symbol, alive, after, before, order, piece = (x[going] for x in (row, best, symbol, alive, after, before, order, piece))
-                drawn = drawn[going] if self.skip else None
+                drawn = drawn[going] if dropped else None
                 all_ = np.arange(len(row))
                 if not len(row):
                     break
@@ -183,9 +217,12 @@ class Pieces:
                 out.append(np.array(sum(own, []), np.int32).tobytes())
             else:
                 out.append(data[4 * a : 4 * b])
-        return out
+        if not met:
+            return out, [_NONE] * n
+        who, salts = (np.concatenate(x) for x in zip(*met, strict=True))
+        return out, np.split(salts[np.argsort(who, kind="stable")], np.cumsum(np.bincount(who, minlength=n))[:-1])
 
-    def _chunk(self, chunk: str, variant: int) -> bytes:
+    def _chunk(self, chunk: str, drawn: int | None) -> bytes:
         """Ids of one chunk, by an agenda."""
         symbols, rank = list(chunk), self.rank
         n = len(symbols)
@@ -195,15 +232,14 @@ class Pieces:
             if found := rank.get(symbols[i] + symbols[i + 1]):
                 agenda.append((found[0], i, i + 1, found[1], 2))
         heapify(agenda)
-        key = self._drawn(chunk, variant) if self.skip else 0
         while agenda:
             _, left, right, piece, size = heappop(agenda)
             a, b = symbols[left], symbols[right]
             if not a or not b or len(a) + len(b) != size:
                 continue  # one of the two has grown or gone
-            if self.skip:
-                mixed = (key ^ (left * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F)) * 0xFF51AFD7ED558CCD & _WHOLE
-                if (mixed ^ (mixed >> 29)) * 0x9FB21C651E98DF25 >> 24 & 0xFFFFFFFF < self.skip:
+            if self.skip and drawn is not None:
+                mixed = (drawn ^ (left * _PLACE + piece * _PIECE)) * _MIX & _WHOLE
+                if (mixed ^ (mixed >> 29)) * _END >> 24 & 0xFFFFFFFF < self.skip:
                     continue
             symbols[left], symbols[right] = a + b, ""
             after[left] = nxt = after[right]
@@ -220,39 +256,51 @@ class Pieces:
             ids += [found[1]] if found else self._bytes(s)
         return np.array(ids, np.int32).tobytes()
 
-    def _learn(self, variant: int, chunks: list[str]) -> dict[str, bytes]:
-        """A dict that has all of the chunks; what isn't in the two youngest generations is encoded."""
-        young, old = self.young[variant], self.old[variant]
+    def _learn(self, chunks: dict[str, int]) -> dict[str, tuple[bytes, np.ndarray]]:
+        """A dict that has all of the chunks' plain ids and candidates; what isn't in the two youngest generations is encoded."""
+        young, old = self.young[0], self.old[0]
         if len(young) > REMEMBERED:
-            self.old[variant], self.young[variant] = young, {}
-            young, old = self.young[variant], young
+            self.old[0], self.young[0] = young, {}
+            young, old = self.young[0], young
         missing = []
-        for chunk in set(chunks).difference(young):
+        for chunk in chunks.keys() - young.keys():
             if chunk in old:
                 young[chunk] = old[chunk]
             else:
                 missing.append(chunk)
-        young.update(zip(missing, self._chunks(missing, variant), strict=True))
+        met = [_NONE] * len(missing)
+        young.update(zip(missing, zip(self._chunks(missing, None, met), met, strict=True), strict=True))
         return young
 
     def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit numbers; none for an empty text. A key draws the first variant."""
+        """Each text's ids as little-endian 32-bit numbers; none for an empty text. A key draws what is skipped."""
         # A blank's own sign in a text goes as bytes; as a piece it would come back as a blank.
         split = [[_CHUNK.findall(part) for part in (" " + t).split(_BLANK)] if t else [] for t in texts]
-        asked: list[list[str]] = [[] for _ in range(self.ways)]
-        for key, parts in zip(keys, split, strict=True):
-            for chunks in parts:
-                for v in range(self.ways):
-                    asked[(key + v) % self.ways] += chunks[v :: self.ways]
-        known = [self._learn(v, chunks) for v, chunks in enumerate(asked)]
-        sign, out = np.array(self._bytes(_BLANK), np.int32).tobytes(), []
-        for key, parts in zip(keys, split, strict=True):
+        flat = [c for parts in split for chunks in parts for c in chunks]
+        place = {c: i for i, c in enumerate(dict.fromkeys(flat))}
+        known = self._learn(place)
+        plain = [known[c] for c in place]
+        which = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+        ids = [plain[i][0] for i in which.tolist()]
+        if self.skip and flat:
+            counts = np.array([sum(map(len, parts)) for parts in split])
+            drawn = _draws(np.array(keys, np.uint64), counts, self.seed)
+            sizes = np.array([len(x) for _, x in plain])
+            salts, starts = np.concatenate([x for _, x in plain]), np.cumsum(sizes) - sizes
+            n = sizes[which]
+            at = np.arange(n.sum()) + np.repeat(starts[which] - (np.cumsum(n) - n), n)
+            skipped = np.repeat(np.arange(len(flat)), n)[_skips(np.repeat(drawn, n), salts[at], self.skip)]
+            other = np.array([len(c) > _STEPPED for c in place])[which]
+            other[skipped] = True
+            anew = np.flatnonzero(other)
+            for i, x in zip(anew.tolist(), self._chunks([flat[i] for i in anew.tolist()], drawn[anew]), strict=True):
+                ids[i] = x
+        sign, out, at = np.array(self._bytes(_BLANK), np.int32).tobytes(), [], 0
+        for parts in split:
             done = []
             for chunks in parts:
-                ids: list[bytes] = [b""] * len(chunks)
-                for v in range(self.ways):
-                    ids[v :: self.ways] = map(known[(key + v) % self.ways].__getitem__, chunks[v :: self.ways])
-                done.append(b"".join(ids))
+                done.append(b"".join(ids[at : at + len(chunks)]))
+                at += len(chunks)
             out.append(sign.join(done))
         return out
 
@@ -269,8 +317,9 @@ def _pieces(model: bytes, dropout: float, seed: int) -> Pieces:
     return Pieces(model, dropout, seed)
 
 
-def _key(doc_id: int | None, seed: int) -> int:
-    return xxhash.xxh64_intdigest(str(doc_id), seed)
+def _key(doc_id: int | None, text: str, copy: int, seed: int) -> int:
+    """Names a document and its copy: null and repeated ids have their texts besides."""
+    return xxhash.xxh64_intdigest(f"{doc_id} {copy} {xxhash.xxh64_hexdigest(text)}", seed & _WHOLE)
 
 
 def read_model(path: str = MODEL) -> bytes:
@@ -281,9 +330,9 @@ def read_model(path: str = MODEL) -> bytes:
 def _slices(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, list[str], list[int]]]:
     """Runs of a batch's (key, text) rows with about _SLICE characters: the first row, texts, keys."""
     first, texts, keys, total = 0, [], [], 0
-    for i, (d, t) in enumerate(zip(*batch.columns, strict=True)):
+    for i, (d, t, *c) in enumerate(zip(*batch.columns, strict=True)):
         texts.append(t.as_py() or "")
-        keys.append(_key(d.as_py(), seed))
+        keys.append(_key(d.as_py(), texts[-1], c[0].as_py() if c else 0, seed))
         total += len(texts[-1])
         if total >= _SLICE:
             yield first, texts, keys
@@ -292,11 +341,16 @@ def _slices(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, list[str],
         yield first, texts, keys
 
 
-def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int = SEED, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int = SEED, text: str = "text", copies: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (array<int>) of each row; a null or empty text has no ids.
 
-    Ids depend on the row's doc_id and text only. Other columns of docs are not read.
+    Ids depend on the row's doc_id and text only; with copies, also on which of the rows alike in both it is.
+    Other columns of docs are not read.
     """
+    rows = docs.select("doc_id", F.col(text).alias("_text"))
+    if copies:  # rows alike in both are the same in any order
+        same = Window.partitionBy("doc_id", *hash2(F.coalesce("_text", F.lit("")))).orderBy("doc_id")
+        rows = rows.withColumn("_copy", F.row_number().over(same) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model, dropout, seed)
@@ -304,7 +358,7 @@ def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int =
             for first, texts, keys in _slices(batch, seed):
                 yield _with_ids(batch.column(0).slice(first, len(texts)), pieces.encode_all(texts, keys))
 
-    return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
 
 
 def _with_ids(doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
