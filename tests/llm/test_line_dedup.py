@@ -99,3 +99,28 @@ def test_hot_line_long_text_repeats_and_empty_table(spark):
 def test_plan_is_native(spark):
     plan = d.line_dedup(spark.createDataFrame([(1, "a b c d e f g h i j k", "", "")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_short_lines(spark):
+    rights, four, six = "All rights reserved.", "one two three four", "a b c d e f"
+    docs = [(1, f"{rights}\n\nMenu\n{four}\n{six}"), (2, f"Menu\n\n{rights}\none two three five\na b x d e f"), (3, f"{four}\na b c d e"), (4, "b c d e\nown")]
+    got, _ = run(spark, docs)
+    # Lines without a word stay; one word in four or fewer is no small edit; one in five to nine is.
+    assert got == {1: (docs[0][1], 0, 0), 2: ("\none two three five", 2, 1), 3: ("", 1, 1), 4: ("b c d e\nown", 0, 0)}
+
+
+def test_lines_of_any_length_against_all_pairs(spark):
+    rng, docs = random.Random(11), []
+    for i in range(150):
+        docs.append((i, "\n".join(" ".join(rng.choice("abc") for _ in range(rng.randint(0, 9))) for _ in range(3))))
+    seen, want = [], {}
+    for i, text in docs:
+        kept = []
+        for line in text.split("\n"):
+            w = line.split()
+            if not (w and any(w == v or (min(len(w), len(v)) >= 5 and near(w, v)) for v in seen)):
+                kept.append(line)
+            seen.append(w)
+        want[i] = "\n".join(kept)
+    got, _ = run(spark, docs)
+    assert {i: r[0] for i, r in got.items()} == want

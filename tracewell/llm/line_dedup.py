@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import guarded, hash2, salted_join, stored, table, words
 
-#: Lines with fewer words always stay: short phrases repeat by chance.
-LEAST_WORDS = 5
-#: Lines with fewer words are only matched word for word.
-NEAR_WORDS = 10
+#: Lines with fewer words always stay: only lines without a word.
+LEAST_WORDS = 1
+#: Lines with fewer words are only matched word for word: one word is a quarter of them or more.
+NEAR_WORDS = 5
 
 #: A document is known by two hashes of its id and text.
 KEY = ("_k1", "_k2")
@@ -113,7 +113,7 @@ def line_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """Drops each line that equals, or is within one word edit of, an earlier line of the corpus.
 
     Order is by doc_id (null last), then by a hash of the text where ids repeat, then by line. White space
-    counts only as a separator of words. Lines under LEAST_WORDS words stay, lines under NEAR_WORDS are
+    counts only as a separator of words. Lines without a word stay, lines under NEAR_WORDS words are
     matched exactly. An earlier line counts even if it goes itself. Adds kept_text (lines that stay, joined
     by newlines; null for a null text), n_lines, n_exact and n_near (lines dropped as equal and as near;
     a dropped near line's copies count as near). Rows with one doc_id and one text are one document and
