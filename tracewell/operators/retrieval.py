@@ -156,14 +156,27 @@ def fuse_ranks(routes: list[DataFrame], by: tuple[str, ...] = ("query_id",), k:
     return rows.groupBy(*by, "doc_id").agg(F.round(F.sum("_s") * (k + 1) / len(routes), 6).alias("score"))
 
 
+def _token_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, tokens and the set's two hashes, of documents that have a token."""
+    sets = docs.select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("tokens")).filter(F.size("tokens") > 0)
+    return sets.select("doc_id", "tokens", F.xxhash64("tokens").alias("set_id"), F.xxhash64(F.lit(7), F.col("tokens")).alias("set_id2"))
+
+
+def set_members(docs: DataFrame) -> DataFrame:
+    """(doc_id, representative): the least document of the same token set, which stands for it in near_duplicates."""
+    sets = _token_sets(docs).drop("tokens")
+    least = sets.groupBy("set_id", "set_id2").agg(F.min("doc_id").alias("representative"))
+    return sets.join(least, ["set_id", "set_id2"]).select("doc_id", "representative")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Pairs (a, b, jaccard) of documents whose token sets have the likeness, by prefix filtering.
 
     Tokens are ordered from rare to common; two sets of that likeness share one of their first
-    n - ceil(threshold n) + 1 tokens, so only those meet. Documents with one token set are one row first.
+    n - ceil(threshold n) + 1 tokens, so only those meet. Documents with one token set are one row first, the
+    least; set_members has the others.
     """
-    sets = docs.select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("tokens")).filter(F.size("tokens") > 0)
-    reps = sets.groupBy(F.xxhash64("tokens").alias("set_id"), F.xxhash64(F.lit(7), F.col("tokens")).alias("set_id2")).agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
+    reps = _token_sets(docs).groupBy("set_id", "set_id2").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
     reps = kept(reps.select("doc_id", "tokens"))  # read four times below
     freq = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     ranked = reps.select("doc_id", F.explode("tokens").alias("token")).join(freq, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("order"))

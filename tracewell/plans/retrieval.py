@@ -159,6 +159,12 @@ def _(t):
     return R.near_duplicates(t("documents").select("doc_id", "text"))
 
 
+@query("near_duplicate_members", rf"with s as (select doc_id, list_sort(list_distinct({TOK.format('text')})) w from documents) select doc_id, min(doc_id) over (partition by w) representative from s where len(w) > 0")
+def _(t):
+    """The exact copies behind each document of near_duplicates."""
+    return R.set_members(t("documents").select("doc_id", "text"))
+
+
 @query("tokens", rf"select doc_id, len({TOK.format('text')})::bigint n_tokens, len(list_distinct({TOK.format('text')}))::bigint n_distinct, sha256(array_to_string({TOK.format('text')}, ' ')) tokens_sha256 from documents")
 def _(t):
     w = text.tokens(F.col("text"))
