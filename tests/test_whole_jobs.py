@@ -16,3 +16,10 @@ def test_merge_counts_exact_copies(spark, tmp_path):
     assert {(r.rep, r.n) for r in plans.QUERIES["near_duplicate_merge"](spark, path).collect()} == {(0, 4), (1, 3)}
     members = {(r.doc_id, r.representative) for r in plans.QUERIES["near_duplicate_members"](spark, path).collect()}
     assert members == {(0, 0), (1, 1), (2, 2), (3, 0), (4, 2), (5, 5), (6, 1), (9, 1)}
+
+
+def test_ann_recall_on_the_query_s_own_table(spark):
+    for sf in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
+        hits = lambda name: {(r.query_id, r.vec_id) for r in plans.QUERIES[name](spark, sf).collect()}  # noqa: B023, E731
+        exact = hits("vector_topk")
+        assert len(exact & hits("vector_ann")) >= 0.9 * len(exact)

@@ -121,7 +121,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6)
     return top(scored, k, by=("query_id",), tie="vec_id")
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, dim: int, k: int, tables: int = 24, bits: int = 6, seed: int = 42) -> DataFrame:
+def lsh_topk(queries: DataFrame, vectors: DataFrame, dim: int, k: int, tables: int = 48, bits: int = 6, seed: int = 42) -> DataFrame:
     """Approximate search: sign bits of seeded directions make keys, equal keys meet, candidates are scored exactly."""
     import random
 
