@@ -23,3 +23,11 @@ def test_ann_recall_on_the_query_s_own_table(spark):
         hits = lambda name: {(r.query_id, r.vec_id) for r in plans.QUERIES[name](spark, sf).collect()}  # noqa: B023, E731
         exact = hits("vector_topk")
         assert len(exact & hits("vector_ann")) >= 0.9 * len(exact)
+
+
+def test_lineage_compares_whole_messages(spark, tmp_path):
+    same = "the same opening of a turn, "
+    rows = [(0, 0, same + "a"), (0, 1, same + "b"), (1, 0, same + "a"), (3, 0, same + "a"), (3, 1, "x"), (4, 0, same + "other")]
+    path = write(spark, tmp_path, "conversations", rows, "conv_id long, turn long, text string")
+    got = {r.id: r.state for r in plans.QUERIES["lineage_promotion"](spark, path).collect()}
+    assert got == {0: "adopted", 1: "covered_copy", 3: "diverged", 4: "diverged"}
