@@ -31,3 +31,21 @@ def test_lineage_compares_whole_messages(spark, tmp_path):
     path = write(spark, tmp_path, "conversations", rows, "conv_id long, turn long, text string")
     got = {r.id: r.state for r in plans.QUERIES["lineage_promotion"](spark, path).collect()}
     assert got == {0: "adopted", 1: "covered_copy", 3: "diverged", 4: "diverged"}
+
+
+def test_false_hits_compare_whole_prompts(spark, tmp_path):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    same = "the same first sixty letters and blanks of a prompt, and then "
+    texts = [(same, same + "x" * 900), (same + "a" * 90, same + "ä1" * 45), ("é" * 80 + "1", "é" * 80 + "2"), ("12345", "12346"), ("y" * 2049, "y" * 2049), ("y" * 2048, "y" * 2048)]
+    rows = [(i, k, "user", x) for i, pair in enumerate(texts) for k, x in enumerate(pair)]
+    path = write(spark, tmp_path, "conversations", rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.likeness for r in plans.QUERIES["false_hit_whole"](spark, path).collect()}
+    want = {i: round(0.0 if max(map(len, p)) > 2048 else 1 - edits(*p) / max(map(len, p)), 6) for i, p in enumerate(texts)}
+    assert got == {i: x for i, x in want.items() if x >= 0.2} and 0 not in got and 4 not in got

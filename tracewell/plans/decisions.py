@@ -101,6 +101,14 @@ def _(t):
     return D.false_hits(rows, 0.2).filter(F.greatest(F.length("before"), F.length("query")) > 0).select(F.col("session").alias("conv_id"), "turn", "likeness")
 
 
+@query("false_hit_whole")
+def _(t):
+    """Prompts that resemble the one before over their whole texts; false_hit_retry and its SQL see 60 letters of each."""
+    rows = t("conversations").filter("role = 'user'").withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    rows = rows.select(F.col("conv_id").alias("session"), "turn", "seq", F.col("text").alias("query"), (F.col("seq") % 2 == 1).alias("l3_reuse"))
+    return D.false_hits(rows, 0.2).select(F.col("session").alias("conv_id"), "turn", "likeness")
+
+
 _ROUND = "c as (select user_id session, event_type tool, row_number() over (partition by user_id order by ts, event_id) seq from events), rd as (select *, sum((tool = 'signup')::int) over (partition by session order by seq)::bigint round from c)"
 
 
