@@ -22,7 +22,7 @@ def by_hand(docs):
     gone = {}
     distinct = {}
     for place, w in lines:
-        if len(w) >= d.LEAST_WORDS:
+        if w:
             distinct.setdefault(w, place)
     near_gone = {w for w, p in distinct.items() if len(w) >= d.NEAR_WORDS and any(q < p and len(v) >= d.NEAR_WORDS and near(list(w), list(v)) for v, q in distinct.items())}
     for place, w in lines:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -53,19 +54,46 @@ def guarded(operator):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tracewell/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts the lineage and outlives executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tracewell/{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` that nothing reads any more, and has the driver notice finished shuffles, so that their files go too."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        _delete(spark, t.stored_at)
+    gc.collect(0)
+    spark.sparkContext._jvm.System.gc()
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stored; results that still read them fail then."""
+    _delete(spark, _own_dir(spark))
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: int = 16) -> DataFrame:
@@ -76,3 +104,38 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], salts: i
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return left.withColumn("_salt", salt).join(right.withColumn("_salt", every), [*keys, "_salt"]).drop("_salt")
+
+
+#: A key is hot if more than one in so many rows has it; there are fewer hot keys than this.
+HOT = 1_000
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, total: int) -> DataFrame:
+    """Inner join with a row a key on the right, whose column n says how many of left's `total` rows have the key.
+
+    Hot keys, fewer than HOT rows by their counts, are broadcast, so their rows aren't shuffled; the others meet by
+    shuffle. Both sides may be read twice, so they should be stored tables; n is dropped.
+    """
+    hot = F.col(n) * HOT > total
+    some = right.filter(hot).drop(n)
+    if some.isEmpty():
+        return left.join(right.drop(n), list(keys))
+    cold = left.join(F.broadcast(some.select(*keys)), list(keys), "left_anti").join(right.filter(~hot).drop(n), list(keys))
+    return left.join(F.broadcast(some), list(keys)).unionByName(cold)
+
+
+#: A stored table of so many narrow rows or fewer is broadcast.
+FEW = 200_000
+
+
+def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], n: str, total: int) -> DataFrame:
+    """Inner join with a stored table of a row a key: broadcast if its rows, counted here, are FEW; else split_join."""
+    if right.limit(FEW + 1).count() <= FEW:
+        return left.join(F.broadcast(right.drop(n)), list(keys))
+    return split_join(left, right, keys, n, total)
+
+
+def ranged(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows, stored, with _p, the number of the range of the order that a row is in. Rows alike in the order share a range."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
