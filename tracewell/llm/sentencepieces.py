@@ -4,8 +4,11 @@ Pieces never hold a blank after another character, so a text falls into chunks (
 them) that are encoded alone. A chunk's candidate merges wait in an agenda by score, then place; each is
 skipped with the dropout's chance by a hash keyed with the seed, the document, its copy, the chunk's place in
 it, and the candidate's place and piece. So each occurrence of a word is split anew, yet every run and every
-retry of a task gives the same ids. Only splits without dropout are remembered, with the candidates they met:
-an occurrence that skips none of them has that split, any other is merged for itself.
+retry of a task gives the same ids.
+
+Splits are remembered by chunk and set of skipped candidates, with the candidates that each met. An occurrence
+starts at its chunk's split without dropout; while its own draws skip any of the candidates met, it goes on to the
+split that leaves those out too. Where its draws skip no more, that split is what its own merging would give.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -29,10 +33,8 @@ from .common import hash2, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20_240_229
-#: Draws over which merging in step is held against agendas.
-VARIANTS = 4
-#: Chunks whose plain splits are remembered, in each of two generations.
-REMEMBERED = 50_000
+#: When so many splits are remembered, all are forgotten.
+REMEMBERED = 400_000
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _BLANK = "▁"
 _WHOLE = (1 << 64) - 1
@@ -44,7 +46,6 @@ _LAST = (1 << 31) - 1
 _SLICE = 300_000
 #: Longer chunks merge by an agenda.
 _STEPPED = 64
-_NONE = np.empty(0, np.uint64)
 
 
 class _Pairs:
@@ -101,6 +102,49 @@ def _draws(keys: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Rows:
+    """Rows of numbers of unlike lengths, one after another in an array that grows."""
+
+    def __init__(self, kind: type):
+        self.data, self.starts, self.sizes = np.empty(1024, kind), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.n = self.end = 0
+
+    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        n, end = self.n + len(sizes), self.end + len(data)
+        if n > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros(n, np.int64))) for x in (self.starts, self.sizes))
+        if end > len(self.data):
+            self.data = np.concatenate((self.data[: self.end], np.empty(end, self.data.dtype)))
+        self.data[self.end : end], self.sizes[self.n : n] = data, sizes
+        self.starts[self.n : n] = self.end + np.cumsum(sizes) - sizes
+        self.n, self.end = n, end
+
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the numbers of some rows are, and how many each row has."""
+        n = self.sizes[rows]
+        return np.arange(n.sum()) + np.repeat(self.starts[rows] - (np.cumsum(n) - n), n), n
+
+
+class _Splits:
+    """Splits by number: their ids, the salts of the candidates that each met, and those that it leaves out."""
+
+    def __init__(self, sign: list[int]):
+        self.ids, self.met = _Rows(np.int32), _Rows(np.uint64)
+        self.chunk: list[str] = []
+        self.left_out: list[bytes] = []
+        self.plain: dict[str, int] = {}
+        self.next: dict[int, int] = {}
+        self.add([""], [b""], np.array(sign, np.int32), np.array([len(sign)]), np.empty(0, np.uint64), np.zeros(1, np.int64))
+
+    def add(self, chunks: list[str], left_out: list[bytes], ids: np.ndarray, n_ids: np.ndarray, met: np.ndarray, n_met: np.ndarray) -> range:
+        first = self.ids.n
+        self.chunk += chunks
+        self.left_out += left_out
+        self.ids.add(ids, n_ids)
+        self.met.add(met, n_met)
+        return range(first, self.ids.n)
+
+
 class Pieces:
     """A BPE model with byte fallback, read from the bytes of a SentencePiece model file."""
 
@@ -127,100 +171,90 @@ class Pieces:
                 if piece[:k] in self.rank and piece[k:] in self.rank:
                     pairs.append((self.rank[piece[:k]][1], self.rank[piece[k:]][1], i, order[score]))
         self.pairs = _Pairs(*map(list, zip(*pairs, strict=True)), n=len(self.text))
-        self.young: list[dict[str, tuple[bytes, np.ndarray]]] = [{}]
-        self.old: list[dict[str, tuple[bytes, np.ndarray]]] = [{}]
+        self.known = _Splits(self._bytes(_BLANK))
 
     def _bytes(self, chars: str) -> list[int]:
         return [self.byte[b] for b in chars.encode()]
 
-    def _chunks(self, chunks: list[str], drawn: int | np.ndarray | None, met: list[np.ndarray] | None = None) -> list[bytes]:
-        """Ids of many chunks: they merge in step, each its first candidate, which gives what agendas give.
+    def _learn(self, chunks: list[str], left_out: list[bytes]) -> list[int]:
+        """The numbers of new splits: chunks, and the salts of the candidates that are left out of each.
 
-        drawn is one draw, or one for each chunk; without it no candidate is skipped, and met takes the candidates
-        of each chunk that merged in step.
+        They merge in step, each its first candidate, which gives what agendas give.
         """
-        out: list[bytes] = [b""] * len(chunks)
+        numbers = np.zeros(len(chunks), np.int64)
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        draws = None if drawn is None else np.broadcast_to(np.asarray(drawn, np.uint64), len(chunks))
         below = 0
         for width in (4, 8, 12, 16, 24, 40, _STEPPED):
             picked = np.flatnonzero((lengths > below) & (lengths <= width))
             below = width
             for at in range(0, len(picked), 50_000):
-                some = picked[at : at + 50_000].tolist()
-                found, salts = self._in_step([chunks[i] for i in some], lengths[some], width, None if draws is None else draws[some])
-                for i, ids in zip(some, found, strict=True):
-                    out[i] = ids
-                if met is not None:
-                    for i, x in zip(some, salts, strict=True):
-                        met[i] = x
-        for i in np.flatnonzero(lengths > below).tolist():
-            out[i] = self._chunk(chunks[i], None if draws is None else int(draws[i]))
-        return out
-
-    def _in_step(self, chunks: list[str], lengths: np.ndarray, width: int, drawn: np.ndarray | None) -> tuple[list[bytes], list[np.ndarray]]:
-        """Ids; and without draws, the salts of the candidates that each chunk met."""
-        n, dropped = len(chunks), bool(self.skip) and drawn is not None
+                some = picked[at : at + 50_000]
+                c, out = [chunks[i] for i in some.tolist()], [left_out[i] for i in some.tolist()]
+                numbers[some] = self.known.add(c, out, *self._in_step(c, out, lengths[some], width))
+        return numbers.tolist()
+
+    def _in_step(self, chunks: list[str], without: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, their number for each chunk, salts of the candidates met, and their number for each chunk."""
+        n = len(chunks)
         met: list[tuple[np.ndarray, np.ndarray]] = []
+        # The salts left out, one row a split; short rows repeat their first.
+        sizes = np.fromiter((len(x) // 8 for x in without), np.int64, n)
+        most = int(sizes.max(initial=0))
+        left_out = np.frombuffer(b"".join(x + x[:8] * (most - len(x) // 8) if x else bytes(8 * most) for x in without), np.uint64).reshape(n, most)
         chars = np.frombuffer("".join(x.ljust(width) for x in chunks).encode("utf-32-le"), np.uint32).reshape(n, width)
-        symbol = np.where(np.arange(width) < lengths[:, None], self.char[chars], -1)
-        done, there = symbol.copy(), np.zeros((n, width), bool)
-        row = np.arange(n)
-        alive = np.arange(width) < lengths[:, None]
-        after = np.tile(np.arange(1, width + 1, dtype=np.int16), (n, 1))
-        before = np.tile(np.arange(-1, width - 1, dtype=np.int16), (n, 1))
-        order = np.full((n, width), _LAST, np.int32)
-        piece = np.zeros((n, width), np.int32)
-
-        def look(r: np.ndarray, at: np.ndarray, nxt: np.ndarray) -> None:
-            found, p = self.pairs.find(symbol[r, at], symbol[r, nxt])
-            if dropped:
-                found = np.where(_skips(drawn[r], _salts(at, p), self.skip), _LAST, found)
-            elif self.skip:
-                k = found < _LAST
-                met.append((row[r[k]], _salts(at[k], p[k])))
-            order[r, at], piece[r, at] = found, p
-
-        r, at = np.nonzero(np.arange(width - 1) < lengths[:, None] - 1)
-        look(r, at, at + 1)
-        while len(row):
-            best = order.argmin(axis=1)
-            all_ = np.arange(len(row))
-            going = order[all_, best] < _LAST
-            if not going.all():
-                over = ~going
-                done[row[over]], there[row[over]] = symbol[over], alive[over]
-                row, best, symbol, alive, after, before, order, piece = (x[going] for x in (row, best, symbol, alive, after, before, order, piece))
-                drawn = drawn[going] if dropped else None
-                all_ = np.arange(len(row))
-                if not len(row):
-                    break
-            gone = after[all_, best].astype(np.int64)
-            symbol[all_, best] = piece[all_, best]
-            alive[all_, gone], order[all_, gone], order[all_, best] = False, _LAST, _LAST
-            nxt = after[all_, gone].astype(np.int64)
-            after[all_, best] = nxt
-            # Places beyond the chunk hold no symbol, so they end in no piece.
-            k = np.flatnonzero(nxt < width)
-            before[k, nxt[k]] = best[k]
-            look(k, best[k], nxt[k])
-            prev = before[all_, best].astype(np.int64)
-            k = np.flatnonzero(prev >= 0)
-            look(k, prev[k], best[k])
-        counts = there.sum(axis=1)
-        ids, ends = done[there], np.cumsum(counts)
-        data, unknown = ids.astype(np.int32).tobytes(), set(np.unique(np.nonzero(there & (done < 0))[0]).tolist())
-        out = []
-        for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
-            if i in unknown:
-                own = [[s] if s >= 0 else self._bytes(c) for s, c, t in zip(done[i].tolist(), chunks[i], there[i].tolist(), strict=False) if t]
-                out.append(np.array(sum(own, []), np.int32).tobytes())
-            else:
-                out.append(data[4 * a : 4 * b])
-        if not met:
-            return out, [_NONE] * n
-        who, salts = (np.concatenate(x) for x in zip(*met, strict=True))
-        return out, np.split(salts[np.argsort(who, kind="stable")], np.cumsum(np.bincount(who, minlength=n))[:-1])
+        # Places are numbered over all chunks; those beyond a chunk hold no symbol, so they end in no piece.
+        there = np.arange(width) < lengths[:, None]
+        symbol = np.where(there, self.char[chars], -1).ravel()
+        alive = there.ravel()
+        after, before = (np.tile(np.arange(d, width + d, dtype=np.int32), n) for d in (1, -1))
+        order, piece = np.full(n * width, _LAST, np.int32), np.zeros(n * width, np.int32)
+
+        def look(row: np.ndarray, at: np.ndarray, nxt: np.ndarray) -> None:
+            left = row * width + at
+            found, p = self.pairs.find(symbol[left], symbol[row * width + nxt])
+            if self.skip:
+                k = np.flatnonzero(found < _LAST)
+                salts, who = _salts(at[k], p[k]), row[k]
+                if most:
+                    out = (left_out[who] == salts[:, None]).any(axis=1) & (sizes[who] > 0)
+                    found[k[out]] = _LAST
+                    who, salts = who[~out], salts[~out]
+                met.append((who, salts))
+            order[left], piece[left] = found, p
+
+        row, at = np.nonzero(there[:, 1:])
+        look(row, at, at + 1)
+        row, by_row = np.arange(n), order.reshape(n, width)
+        while True:
+            waiting = by_row[row]
+            best = waiting.argmin(axis=1)
+            going = waiting[np.arange(len(row)), best] < _LAST
+            row, best = row[going], best[going]
+            if not len(row):
+                break
+            first = row * width
+            left = first + best
+            gone = first + after[left]
+            symbol[left] = piece[left]
+            alive[gone], order[gone], order[left] = False, _LAST, _LAST
+            nxt, prev = after[gone], before[left]
+            after[left] = nxt
+            has_next, has_prev = np.flatnonzero(nxt < width), np.flatnonzero(prev >= 0)
+            before[first[has_next] + nxt[has_next]] = best[has_next]
+            ends = np.concatenate((best[has_next], prev[has_prev])), np.concatenate((nxt[has_next], best[has_prev]))
+            look(np.concatenate((row[has_next], row[has_prev])), *ends)
+        there = alive.reshape(n, width)
+        ids, counts = symbol[alive], there.sum(axis=1)
+        if (ids < 0).any():  # characters without a piece go as bytes
+            rows, at = np.nonzero(there)
+            as_bytes = {i: self._bytes(chr(chars[rows[i], at[i]])) for i in np.flatnonzero(ids < 0).tolist()}
+            many = np.ones(len(ids), np.int64)
+            many[list(as_bytes)] = list(map(len, as_bytes.values()))
+            counts = np.bincount(rows, many, n).astype(np.int64)
+            ids = np.repeat(ids, many)
+            ids[ids < 0] = np.concatenate(list(as_bytes.values()))
+        who, salts = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        return ids.astype(np.int32), counts, salts[np.argsort(who, kind="stable")], np.bincount(who, minlength=n)
 
     def _chunk(self, chunk: str, drawn: int | None) -> bytes:
         """Ids of one chunk, by an agenda."""
@@ -256,53 +290,81 @@ class Pieces:
             ids += [found[1]] if found else self._bytes(s)
         return np.array(ids, np.int32).tobytes()
 
-    def _learn(self, chunks: dict[str, int]) -> dict[str, tuple[bytes, np.ndarray]]:
-        """A dict that has all of the chunks' plain ids and candidates; what isn't in the two youngest generations is encoded."""
-        young, old = self.young[0], self.old[0]
-        if len(young) > REMEMBERED:
-            self.old[0], self.young[0] = young, {}
-            young, old = self.young[0], young
-        missing = []
-        for chunk in chunks.keys() - young.keys():
-            if chunk in old:
-                young[chunk] = old[chunk]
-            else:
-                missing.append(chunk)
-        met = [_NONE] * len(missing)
-        young.update(zip(missing, zip(self._chunks(missing, None, met), met, strict=True), strict=True))
-        return young
+    def _plain(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of the chunks' splits without dropout; -1 for those over _STEPPED characters."""
+        plain = self.known.plain
+        at = np.fromiter(map(plain.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(at < 0).tolist()
+        new = list(dict.fromkeys(c for c in map(chunks.__getitem__, missing) if len(c) <= _STEPPED))
+        plain.update(zip(new, self._learn(new, [b""] * len(new)), strict=True))
+        at[missing] = [plain.get(chunks[i], -1) for i in missing]
+        return at
+
+    def _dropped(self, at: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """The split of each occurrence under its draw; at has its split without dropout."""
+        at, known = at.copy(), self.known
+        going = np.arange(len(at)) if self.skip else np.empty(0, np.int64)
+        while len(going):
+            place, n = known.met.places(at[going])
+            owner = np.repeat(np.arange(len(going)), n)
+            salts = known.met.data[place]
+            skipped = np.flatnonzero(_skips(drawn[going][owner], salts, self.skip))
+            owner, salts = owner[skipped], salts[skipped]
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else skipped
+            if not len(first):
+                break
+            going = going[owner[first]]
+            # Occurrences of a split that skip the same of its candidates go on together, under one name.
+            name = np.add.reduceat((salts ^ (salts >> np.uint64(29))) * np.uint64(_MIX), first) ^ (at[going].astype(np.uint64) + np.uint64(1)) * np.uint64(_END)
+            names, lead, group = np.unique(name, return_index=True, return_inverse=True)
+            names = names.tolist()
+            new = [j for j, x in enumerate(names) if x not in known.next]
+            if new:
+                ends, chunks, left_out = np.concatenate((first[1:], [len(owner)])), [], []
+                for i in lead[new].tolist():
+                    k = at[going[i]]
+                    chunks.append(known.chunk[k])
+                    left_out.append(known.left_out[k] + salts[first[i] : ends[i]].tobytes())
+                known.next.update(zip([names[j] for j in new], self._learn(chunks, left_out), strict=True))
+            at[going] = np.fromiter(map(known.next.__getitem__, names), np.int64, len(names))[group]
+        return at
+
+    def encode_flat(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids as 32-bit numbers, and how many each has; none for an empty text. A key draws what is skipped."""
+        if self.known.ids.n > REMEMBERED:
+            self.known = _Splits(self._bytes(_BLANK))
+        # A blank's own sign in a text goes as bytes; as a piece it would come back as a blank.
+        split = [_CHUNK.findall(" " + t) if _BLANK not in t else None for t in texts]
+        parted = {i: [_CHUNK.findall(part) for part in (" " + texts[i]).split(_BLANK)] for i, x in enumerate(split) if x is None}
+        for i, parts in parted.items():
+            split[i] = sum(parts, [])
+        for i, t in enumerate(texts):
+            if not t:
+                split[i] = []
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        flat = [c for chunks in split for c in chunks]
+        drawn = _draws(np.array(keys, np.uint64), counts, self.seed)
+        at = self._plain(flat)
+        few = np.flatnonzero(at >= 0)
+        at[few] = self._dropped(at[few], drawn[few])
+        for i in np.flatnonzero(at < 0).tolist():
+            ids = np.frombuffer(self._chunk(flat[i], int(drawn[i])), np.int32)
+            at[i] = self.known.add([""], [b""], ids, np.array([len(ids)]), np.empty(0, np.uint64), np.zeros(1, np.int64))[0]
+        if parted:
+            ends = np.cumsum(counts) - counts
+            signs = [(int(ends[i]) + sum(map(len, parts[: k + 1])), i) for i, parts in parted.items() for k in range(len(parts) - 1)]
+            at = np.insert(at, [k for k, _ in signs], 0)
+            np.add.at(counts, [i for _, i in signs], 1)
+        where, n = self.known.ids.places(at)
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ends = np.cumsum(counts)
+        return self.known.ids.data[where], upto[ends] - upto[ends - counts]
 
     def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit numbers; none for an empty text. A key draws what is skipped."""
-        # A blank's own sign in a text goes as bytes; as a piece it would come back as a blank.
-        split = [[_CHUNK.findall(part) for part in (" " + t).split(_BLANK)] if t else [] for t in texts]
-        flat = [c for parts in split for chunks in parts for c in chunks]
-        place = {c: i for i, c in enumerate(dict.fromkeys(flat))}
-        known = self._learn(place)
-        plain = [known[c] for c in place]
-        which = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-        ids = [plain[i][0] for i in which.tolist()]
-        if self.skip and flat:
-            counts = np.array([sum(map(len, parts)) for parts in split])
-            drawn = _draws(np.array(keys, np.uint64), counts, self.seed)
-            sizes = np.array([len(x) for _, x in plain])
-            salts, starts = np.concatenate([x for _, x in plain]), np.cumsum(sizes) - sizes
-            n = sizes[which]
-            at = np.arange(n.sum()) + np.repeat(starts[which] - (np.cumsum(n) - n), n)
-            skipped = np.repeat(np.arange(len(flat)), n)[_skips(np.repeat(drawn, n), salts[at], self.skip)]
-            other = np.array([len(c) > _STEPPED for c in place])[which]
-            other[skipped] = True
-            anew = np.flatnonzero(other)
-            for i, x in zip(anew.tolist(), self._chunks([flat[i] for i in anew.tolist()], drawn[anew]), strict=True):
-                ids[i] = x
-        sign, out, at = np.array(self._bytes(_BLANK), np.int32).tobytes(), [], 0
-        for parts in split:
-            done = []
-            for chunks in parts:
-                done.append(b"".join(ids[at : at + len(chunks)]))
-                at += len(chunks)
-            out.append(sign.join(done))
-        return out
+        """Each text's ids as little-endian 32-bit numbers."""
+        ids, n = self.encode_flat(texts, keys)
+        data, ends = ids.tobytes(), np.cumsum(n)
+        return [data[4 * a : 4 * b] for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
 
     def encode(self, text: str, key: int = 0) -> bytes:
         return self.encode_all([text], [key])[0]
@@ -356,17 +418,13 @@ def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int =
         pieces = _pieces(model, dropout, seed)
         for batch in batches:
             for first, texts, keys in _slices(batch, seed):
-                yield _with_ids(batch.column(0).slice(first, len(texts)), pieces.encode_all(texts, keys))
+                ids, n = pieces.encode_flat(texts, keys)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n.astype(np.int32)), lists], names=["doc_id", "n_tokens", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
 
 
-def _with_ids(doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
-    counts = np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(counts), lists], names=["doc_id", "n_tokens", "ids"])
-
-
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """doc_id and text of rows with ids; null ids give a null text."""
 
