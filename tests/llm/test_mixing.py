@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,9 +56,39 @@ def test_mixed_rows_repeat(spark):
     assert len(rows) == want > len(set(rows))
 
 
-def test_blocks_in_large_tables_and_empty_tables(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK", 100)
+@pytest.mark.parametrize("top", [1, 7])
+def test_places_from_ranges_are_places_by_hand(spark, monkeypatch, top):
+    monkeypatch.setattr(mixing, "TOP", top)
     rows = mixing.copies(mixing.sized(spark.createDataFrame(corpus(), SCHEMA), "doc_id")).collect()
     assert len(rows) == len(corpus()) and all(0 <= r.copies <= 3 for r in rows)
+    for s in {r.source for r in rows}:
+        mine = sorted((r for r in rows if r.source == s), key=lambda r: (-r.size, r.doc_id is None, r.doc_id or 0))
+        left, share = 0.0, mine[0].target / max(1, mine[0].source_size)
+        offset = int(hashlib.md5(f"{mixing.SEED}:{chr(0) if s is None else s}".encode()).hexdigest()[:8], 16) % 1_000_000 / 1e6
+        for r in mine[:top]:
+            want = left + share * r.size
+            n = min(3, max(0, math.floor(want / r.size + offset))) if r.size else 0
+            assert r.copies == n
+            left = want - n * r.size
+        small = sum(r.size for r in mine[top:])
+        rate = min(3, max(0, share + left / small)) if small else 0
+        for i, r in enumerate(mine[top:], 1):
+            assert not r.size or abs(r.copies - rate) < 1 + 1e-9
+        words, took = 0, 0
+        for r in mine[top:]:
+            words, took = words + rate * r.size, took + r.copies * r.size
+            assert abs(words - took) <= 2 * mine[top].size
+
+
+def test_sources_of_the_test_table_come_near_their_targets(spark):
+    rows = mixing.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id")
+    got = rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 0.1 * r.target for r in got), got
+
+
+def test_empty_tables_and_high_rates(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixing.copies(mixing.sized(none, "doc_id")).count() == 0 and mixing.mix(none).count() == 0
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "big" if i else "a", "") for i in range(400)], SCHEMA)
+    rows = mixing.copies(mixing.sized(docs, "doc_id"), weights=(1000, 1), most=50).collect()
+    assert {r.copies for r in rows if r.source == "a"} == {50}

@@ -1,40 +1,56 @@
-"""Mixing sources to target weights by systematic sampling."""
+"""Mixing sources to target weights by systematic sampling.
+
+Each document expects target / source size copies. Within a source documents descend by size; the running sum of
+expected copies plus one random offset crosses integers, and a document is taken once for each. For a source's TOP
+largest documents the running sum is kept in words, so that what one of them takes too much or too little moves the
+expectation of the next; what is left after them moves the rate of all smaller ones. So a source is out by about the
+size of its largest smaller document, however long its longest is.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, guarded, hash2, stored, table
+from .common import WORD, guarded, hash2, ranged, stored, table
 
 WEIGHTS = (5, 2, 1)
-#: No source gives more than so many times its size.
+#: No source gives more than so many times its size, no document more than so many copies.
 MOST = 3
-#: A source's rows of like size are ranked in one block for so many rows of the table.
-BLOCK = 1 << 20
+#: Documents of a source, the largest, over which words are balanced one by one.
+TOP = 64
 SEED = 20_240_229
 
 
+def _before(rows: DataFrame, order: Sequence[Column | str], **sums: Column) -> DataFrame:
+    """Adds sums over the rows that come before in an order. Ranges are summed up alone, and one row a range together."""
+    dealt = ranged(rows, order)
+    whole = dealt.groupBy("_p").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select("_p", *[F.coalesce(F.sum(f"_{n}").over(upto), F.lit(0)).alias(f"_{n}") for n in sums])
+    own = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.select("*", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(n) for n, c in sums.items()]).join(starts, "_p")
+    return out.select(*rows.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Adds target to (source, source_size): shares of all words by weight, each at most `most` times its size.
 
     Weights repeat over sources by code point, null last. What a source can't give is dealt out by weight
     over the others until none is above its limit: the level at which the limits and the weighted shares
-    fill the total is found in one pass over sources by limit a weight. One row a source meets here.
+    fill the total is found in one pass over sources by limit a weight. Sources are summed up in ranges.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    rows = sizes.withColumn("_r", (F.row_number().over(order) - 1) % len(weights))
-    rows = rows.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_r") + 1).cast("int")))
-    rows = rows.withColumn("_cap", F.col("source_size") * F.lit(float(most))).withColumn("_all", F.sum("source_size").over(every).cast("double"))
-    fill = Window.orderBy((F.col("_cap") / F.col("_w")).asc(), F.col("source").asc_nulls_last())
-    full = F.coalesce(F.sum("_cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_ = F.sum("_w").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("_level", (F.col("_all") - full) / open_)
-    level = F.max(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(every)
-    return rows.withColumn("target", F.least(F.col("_cap"), F.coalesce(level * F.col("_w"), F.col("_cap")))).drop("_r", "_w", "_cap", "_all", "_level")
+    w = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_r") % len(weights) + 1).cast("int"))
+    rows = _before(sizes, [F.col("source").asc_nulls_last()], _r=F.lit(1)).withColumn("_w", w).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
+    rows = stored(rows.drop("_r").withColumn("_at", F.col("_cap") / F.col("_w")))
+    rows = _before(rows, [F.col("_at").asc(), F.col("source").asc_nulls_last()], _full=F.col("_cap"), _closed=F.col("_w"))
+    total = rows.agg(F.sum("source_size").cast("double").alias("_all"), F.sum("_w").alias("_weights"))  # one row
+    rows = stored(rows.crossJoin(F.broadcast(total)).withColumn("_level", (F.col("_all") - F.col("_full")) / (F.col("_weights") - F.col("_closed"))))
+    level = rows.agg(F.max(F.when(F.col("_level") <= F.col("_at"), F.col("_level"))).alias("_level"))  # one row
+    goal = F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap")))
+    return rows.drop("_level").crossJoin(F.broadcast(level)).withColumn("target", goal).select(*sizes.columns, "target")
 
 
 def sized(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -43,32 +59,53 @@ def sized(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, "source", F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(body).alias("_tie"))
 
 
+def _balanced(sizes: Column, rate: Column, offset: Column, most: float) -> Column:
+    """Copies of a few documents by descending size, and the words (left) that they took too few (or, below 0, too many)."""
+
+    def step(acc: Column, size: Column) -> Column:
+        want = acc["left"] + rate * size
+        n = F.when(size > 0, F.least(F.greatest(F.floor(want / size + offset), F.lit(0).cast("long")), F.lit(int(most)).cast("long"))).otherwise(F.lit(0).cast("long"))
+        return F.struct((want - n * size).alias("left"), F.concat(acc["copies"], F.array(n)).alias("copies"))
+
+    return F.aggregate(sizes, F.struct(F.lit(0.0).alias("left"), F.array().cast("array<bigint>").alias("copies")), step)
+
+
 def copies(rows: DataFrame, seed: int = SEED, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Adds source_size, target and copies to rows with doc_id, source, size and _tie.
 
-    Within a source, rows ascend by size; the running sum of expected copies (target / source size each)
-    plus one offset drawn from the seed and the source crosses integers, and a row is taken once for each
-    that its step crosses. Ranks come from blocks of a source (a range of sizes, in large tables a share of it by the
-    id's hash), whose counts are summed up in a small table, so a source that holds most rows is ranked by
-    many tasks. Null sources are one source; null ids come last. A source without words gets no copies.
+    Places in a source come from ranges of the whole order (source, size, doc_id, _tie), whose counts are summed up in
+    a small table, so a source that holds most rows is ranked by many tasks, in the same way at every size. The offset
+    is drawn from the seed and the source. Null sources are one source; null ids come last. Rows without words are
+    never taken, nor is a row more than `most` times. Rows alike in the order may stand for each other.
     """
     digest = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
     key = F.coalesce(F.col("source"), F.lit("\0"))
-    rows = stored(rows)
-    parts = max(1, -(-rows.count() // BLOCK))
-    band = F.concat(F.lpad(F.length(F.bin("size")).cast("string"), 2, "0"), F.substring(F.bin("size"), 1, 4))
-    named = rows.withColumn("_src", key).withColumn("_band", band).withColumn("_part", digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts)
-    block = ["_src", "_band", "_part"]
-    counts = stored(named.groupBy(*block, "source").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words")))
+    order = ["_src", F.desc("size"), F.col("doc_id").asc_nulls_last(), "_tie"]
+    dealt = ranged(rows.withColumn("_src", key), order)
+    block = ["_src", "_p"]
+    counts = stored(dealt.groupBy(*block, "source").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words")))
     goals = targets(counts.groupBy("_src", "source").agg(F.sum("_words").alias("source_size")), weights, most)
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)).cast("decimal(13,12)")
-    offset = (digest(F.concat(F.lit(f"{seed}:"), F.col("_src")).cast("binary")) % 1_000_000 / F.lit(1e6)).cast("decimal(7,6)")
-    before = F.sum("_n").over(Window.partitionBy("_src").orderBy("_band", "_part").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = counts.select(*block, F.coalesce(before, F.lit(0)).alias("_before")).join(goals.select("_src", "source_size", "target", rate.alias("_rate"), offset.alias("_u")), "_src")
-    rank = F.row_number().over(Window.partitionBy(*block).orderBy("size", F.col("doc_id").asc_nulls_last(), "_tie"))
-    placed = named.withColumn("_rank", rank).join(blocks, block).withColumn("_i", (F.col("_before") + F.col("_rank")).cast("decimal(18,0)"))
+    before = F.sum("_n").over(Window.partitionBy("_src").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*block, F.coalesce(before, F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy(*block).orderBy(*order[1:]))
+    placed = dealt.withColumn("_rank", rank).join(starts, block).withColumn("_rank", F.col("_start") + F.col("_rank")).drop("_start")
+    # Only the blocks at a source's head can have its largest documents.
+    head = dealt.join(starts.filter(F.col("_start") < TOP), block).withColumn("_rank", F.col("_start") + rank).filter(F.col("_rank") <= TOP)
+    top = head.groupBy("_src").agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "size"))), lambda x: x["size"]).alias("_top"))
+    offset = digest(F.concat(F.lit(f"{seed}:"), F.col("_src")).cast("binary")) % 1_000_000 / F.lit(1e6)
+    share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    plan = goals.join(top, "_src").withColumn("_u", offset).withColumn("_b", _balanced(F.col("_top"), share, F.col("_u"), most))
+    small = F.col("source_size") - F.aggregate("_top", F.lit(0).cast("long"), lambda a, x: a + x)
+    rate = F.coalesce(share + F.try_divide(F.col("_b.left"), small.cast("double")), F.lit(0.0))
+    rate = F.least(F.greatest(rate, F.lit(0.0)), F.lit(float(most))).cast("decimal(20,12)")
+    plan = stored(plan.select("_src", "source_size", "target", F.col("_b.copies").alias("_top"), F.col("_u").cast("decimal(7,6)").alias("_u"), rate.alias("_rate")))
+    # One row a source and range, so a source's rows don't meet its plan in one task.
+    plans = counts.select(*block).join(plan, "_src")
+    met = placed.join(plans, block).withColumn("_i", (F.col("_rank") - TOP).cast("decimal(18,0)"))
     crossed = lambda i: F.floor(F.col("_u") + i * F.col("_rate"))
-    return placed.withColumn("copies", (crossed(F.col("_i")) - crossed(F.col("_i") - 1)).cast("int")).select(*rows.columns, "source_size", "target", "copies")
+    later = F.when(F.col("size") > 0, crossed(F.col("_i")) - crossed(F.col("_i") - 1)).otherwise(0)
+    n = F.when(F.col("_rank") <= TOP, F.get("_top", (F.col("_rank") - 1).cast("int"))).otherwise(later)
+    return met.withColumn("copies", n.cast("int")).select(*rows.columns, "source_size", "target", "copies")
 
 
 @guarded
@@ -91,15 +128,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIGEST = "('0x' || left(md5({}), 8))::bigint"
 
 SQL = rf"""
-with d as (select doc_id, source, coalesce(source, chr(0)) s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
-b as (select *, lpad(length(bin(size))::varchar, 2, '0') || left(bin(size), 4) band,
-        {_DIGEST.format("coalesce(doc_id::varchar, '')")} % (select greatest(1, (count(*) + {BLOCK - 1}) // {BLOCK}) from d) part from d),
+with recursive d as (select doc_id, source, coalesce(source, chr(0)) s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
 z as (select s, source, sum(size)::bigint source_size from d group by all),
 w as (select *, [{", ".join(f"{w:.1f}" for w in map(float, WEIGHTS))}][1 + (row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)}] w, source_size * {float(MOST)}::double cap from z),
 v as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0.0::double))
              / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) lv from w),
 t as (select s, source_size, least(cap, coalesce(max(case when lv <= cap / w then lv end) over () * w, cap)) target from v),
-g as (select *, coalesce(target / nullif(source_size, 0), 0)::decimal(13, 12) rate, (({_DIGEST.format(f"'{SEED}:' || s")} % 1000000) / 1e6::double)::decimal(7, 6) u from t),
-r as (select *, row_number() over (partition by s order by band, part, size, doc_id nulls last)::decimal(18, 0) i from b)
-select doc_id, size, source_size, target, (size * (floor(u + i * rate) - floor(u + (i - 1) * rate)))::bigint taken from r join g using (s)
+g as (select *, coalesce(target / nullif(source_size, 0), 0)::double share, ({_DIGEST.format(f"'{SEED}:' || s")} % 1000000) / 1e6::double u from t),
+r as (select *, row_number() over (partition by s order by size desc, doc_id nulls last) k from d),
+f(s, k, rest, size, n) as (select s, 0::bigint, 0.0::double, 0::bigint, 0::bigint from g union all
+  select r.s, r.k, f.rest + share * r.size - x.n * r.size, r.size, x.n from f join r on r.s = f.s and r.k = f.k + 1 and r.k <= {TOP} join g on g.s = f.s,
+    lateral (select case when r.size > 0 then least(greatest(floor((f.rest + share * r.size) / r.size + u), 0), {MOST})::bigint else 0 end n) x),
+e as (select s, arg_max(rest, k) rest, sum(size)::bigint words from f group by s),
+p as (select g.s, source_size, target, u::decimal(7, 6) u, least(greatest(coalesce(share + rest / nullif(source_size - words, 0), 0), 0), {MOST})::decimal(20, 12) rate from g join e using (s))
+select doc_id, r.size, source_size, target, (r.size * coalesce(f.n, floor(u + (k - {TOP})::decimal(18, 0) * rate) - floor(u + (k - {TOP} - 1)::decimal(18, 0) * rate)))::bigint taken
+from r join p using (s) left join f using (s, k)
 """
