@@ -1,7 +1,8 @@
 """Secret scans with DataFrame functions only: patterns, then how widely the corpus owns each candidate.
 
 A candidate's hash is counted over the whole corpus by distinct repositories and owners. What several owners
-hold is a widely copied example; what one owner holds and looks random is a live-looking credential.
+hold, or many repositories of whatever owner, is a widely copied example; what one owner holds in few repositories
+is a live-looking credential.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash2, stored, table
+from .common import hash2, split_join, stored, table
 
 # The kinds' patterns, in the order of their names in results.
 PATTERNS = (
@@ -22,8 +23,10 @@ LEAST = 12
 #: The method's own kind: other long mixed tokens, where they look live.
 OWNED = "owned"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-#: A candidate that so many owners hold is an example.
-SHARED_OWNERS = 3
+#: A token with fewer unlike characters isn't random enough to be a credential.
+UNLIKE = 10
+#: A candidate that so many owners, or so many repositories, hold is an example.
+SHARED_OWNERS, SHARED_REPOS = 3, 5
 
 
 KINDS = (*PATTERNS, (OWNED, TOKEN))
@@ -58,32 +61,35 @@ def _candidates(found: DataFrame) -> DataFrame:
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).withColumn("start", F.col("end") - F.col("len"))
     value = F.when(F.col("kind") == 0, F.regexp_extract("body", PATTERNS[0][1], 2)).otherwise(F.col("body"))
     rows = rows.withColumn("value", value)
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    unlike = F.size(F.array_distinct(F.split("value", "")))
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]") & (unlike >= UNLIKE)
     fits = F.when(F.col("kind") == 0, F.length("value") >= LEAST).when(F.col("kind") == len(PATTERNS), mixed).otherwise(F.lit(True))
     h1, h2 = hash2(F.col("value"))
     return rows.filter(fits).select("_k1", "_k2", "_owner", "_repo", "kind", "start", "end", h1.alias("_h1"), h2.alias("_h2"))
 
 
 def _ownership(candidates: DataFrame) -> DataFrame:
-    """Distinct owners and repositories of each candidate hash, counted over the corpus in steps."""
+    """Candidates of each hash and its distinct owners and repositories, counted over the corpus in steps."""
     keys = ["_h1", "_h2"]
-    pairs = candidates.select(*keys, "_owner", "_repo").distinct()
-    owners = pairs.groupBy(*keys, "_owner").agg(F.count(F.lit(1)).alias("n"))
-    return owners.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
+    pairs = candidates.groupBy(*keys, "_owner", "_repo").agg(F.count(F.lit(1)).alias("n"))
+    owners = pairs.groupBy(*keys, "_owner").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_repos"))
+    return owners.groupBy(*keys).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos"))
 
 
 def secret_scan(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
     """One row for each row of docs: doc_id and its spans.
 
     spans is an array of (start, kind number, kind, end, n_owners, n_repos, live), by start, then kind.
-    Base kinds' spans are all there; live tells whether few owners hold the value. Kind "owned" adds mixed
-    tokens of 20 characters or more that fewer than SHARED_OWNERS owners hold. A null text counts as empty;
+    Base kinds' spans are all there; live tells whether fewer than SHARED_OWNERS owners, in fewer than SHARED_REPOS
+    repositories, hold the value. Kind "owned" adds live mixed tokens of 20 characters or more, UNLIKE of them unlike.
+    A hash that a hot share of all candidates has is joined by broadcast. A null text counts as empty;
     null owners count as one owner, an owner's null repositories as one. Repeated rows each get the same spans.
     """
     found = stored(_found(docs, text, owner, repo))
     candidates = stored(_candidates(found))
     owned = stored(_ownership(candidates))
-    rows = candidates.join(owned, ["_h1", "_h2"]).withColumn("live", F.col("n_owners") < SHARED_OWNERS).filter((F.col("kind") < len(PATTERNS)) | F.col("live"))
+    met = split_join(candidates.select("_k1", "_k2", "kind", "start", "end", "_h1", "_h2"), owned, ["_h1", "_h2"], "_n", candidates.count())
+    rows = met.withColumn("live", (F.col("n_owners") < SHARED_OWNERS) & (F.col("n_repos") < SHARED_REPOS)).filter((F.col("kind") < len(PATTERNS)) | F.col("live"))
     name = F.element_at(F.array(*[F.lit(n) for n, _ in KINDS]), F.col("kind") + 1)
     spans = rows.groupBy("_k1", "_k2").agg(F.sort_array(F.collect_list(F.struct("start", F.col("kind").alias("k"), name.alias("kind"), "end", "n_owners", "n_repos", "live"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,k:int,kind:string,end:bigint,n_owners:bigint,n_repos:bigint,live:boolean>>")
@@ -106,13 +112,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined("spans").alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: ~s["live"]).alias("n_example"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_owners"])), F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_repos"])), F.lit(0)).cast("long").alias("most_repos"),
     )
 
 
 def _sql_kind(k: int, name: str, pattern: str) -> str:
     p = pattern.replace("'", "''")
     value = f"regexp_extract(body, '{p}', 2)" if k == 0 else "body"
-    test = f"length(value) >= {LEAST}" if k == 0 else "regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]')" if name == OWNED else "true"
+    test = f"length(value) >= {LEAST}" if k == 0 else f"regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= {UNLIKE}" if name == OWNED else "true"
     return f"""select doc_id, source, {k} k, '{name}' kind, list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[: i - 1], lambda x: length(x))), 0) a, length(body) n, value
       from (select *, {value} as value from (select *, m[i] body from (select *, unnest(range(1, len(m) + 1)) i from (select doc_id, source, regexp_extract_all(t, '{p}') m, string_split_regex(t, '{p}') g from d)))) where {test}"""
 
@@ -120,11 +128,11 @@ def _sql_kind(k: int, name: str, pattern: str) -> str:
 SQL = rf"""
 with d as (select doc_id, source, coalesce(text, '') t from documents),
 c as ({" union all ".join(_sql_kind(k, n, p) for k, (n, p) in enumerate(KINDS))}),
-o as (select value, count(distinct coalesce(source, chr(0))) n_owners from c group by value),
-r as (select *, n_owners < {SHARED_OWNERS} live, kind || ':' || a::bigint || ':' || (a + n)::bigint x from c join o using (value) where k < {len(PATTERNS)} or n_owners < {SHARED_OWNERS}),
+o as (select value, count(distinct coalesce(source, chr(0))) n_owners, count(distinct (coalesce(source, chr(0)), doc_id)) n_repos from c group by value),
+r as (select *, n_owners < {SHARED_OWNERS} and n_repos < {SHARED_REPOS} live, kind || ':' || a::bigint || ':' || (a + n)::bigint x from c join o using (value) where k < {len(PATTERNS)} or (n_owners < {SHARED_OWNERS} and n_repos < {SHARED_REPOS})),
 s as (select doc_id, {", ".join(f"count(*) filter (k = {k})::bigint n_{n}" for k, (n, _) in enumerate(PATTERNS))},
         coalesce(string_agg(x, ',' order by a, k) filter (k < {len(PATTERNS)}), '') base, string_agg(x, ',' order by a, k) spans,
-        count(*) filter (live)::bigint n_live, count(*) filter (not live)::bigint n_example from r group by doc_id)
-select doc_id, {", ".join(f"coalesce(n_{n}, 0) n_{n}" for n, _ in PATTERNS)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_live, 0) n_live, coalesce(n_example, 0) n_example
+        count(*) filter (live)::bigint n_live, count(*) filter (not live)::bigint n_example, max(n_owners)::bigint most_owners, max(n_repos)::bigint most_repos from r group by doc_id)
+select doc_id, {", ".join(f"coalesce(n_{n}, 0) n_{n}" for n, _ in PATTERNS)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_live, 0) n_live, coalesce(n_example, 0) n_example, coalesce(most_owners, 0) most_owners, coalesce(most_repos, 0) most_repos
 from d left join s using (doc_id)
 """
