@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tracewell.llm import components, simhash
@@ -38,11 +39,8 @@ def test_tree_joins_what_all_pairs_join():
     points = [int(s) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for s in seeds for k in (0, 1, 3, 4, 5, 7)]
     cluster = [int(seeds[0]) ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)]
     points = np.unique(np.array(points + cluster, np.uint64))
-    leaf, simhash.LEAF = simhash.LEAF, 64
-    try:
-        pairs = np.concatenate(simhash.links(points), axis=1)
-    finally:
-        simhash.LEAF = leaf
+    pairs, tree = simhash.links(points)
+    assert tree.pruned and tree.compared < len(points) ** 2 / 2 and pairs.shape[1] < len(points)
     assert (np.bitwise_count(pairs[0] ^ pairs[1]) <= 4).all()
     place = {int(p): i for i, p in enumerate(points)}
     parent = list(range(len(points)))
@@ -84,6 +82,38 @@ def test_large_shards_are_dealt_again(spark):
     assert found[4] == found[10**6] and found[4]
 
 
+def test_branches_are_pruned_on_the_query_s_own_table(spark):
+    rows = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").select("fp").distinct().collect()
+    points = np.unique(np.array([r.fp for r in rows], np.int64).view(np.uint64))
+    pairs, tree = simhash.links(points)
+    print(len(points), tree.compared, tree.pruned)
+    assert len(points) > 20 * simhash.LEAF and tree.compared < 0.7 * len(points) ** 2 / 2
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= simhash.RADIUS
+    want = simhash._forest(np.stack(np.nonzero(np.triu(near, 1))), len(points))
+    assert pairs.shape == want.shape
+    got = simhash._forest(np.concatenate((np.searchsorted(points, pairs), want), axis=1), len(points))
+    assert got.shape == want.shape
+
+
+@pytest.mark.parametrize("n", [10, 10**5, 10**7, 10**9, 10**11])
+def test_near_fingerprints_share_a_shard(n):
+    masks, rng = [m & (1 << 64) - 1 for m in simhash._masks(n)], random.Random(n)
+    assert len(masks) <= 70
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << i for i in rng.sample(range(64), 4))
+        assert any((a ^ b) & m == 0 for m in masks)
+
+
+def test_hot_fingerprints_meet_by_broadcast(spark, monkeypatch):
+    from tracewell.llm import common
+
+    docs = spark.createDataFrame([(i, "" if i % 3 else f"text number {i} of its own words {i * 7}") for i in range(60)], "doc_id long, text string")
+    plain = sorted(map(str, simhash.simhash_groups(docs).collect()))
+    monkeypatch.setattr(common, "HOT", 4)
+    assert sorted(map(str, simhash.simhash_groups(docs).collect())) == plain
+
+
 def test_one_of_each_group_stays(spark):
     text = "some words of a text that two documents share in full or nearly so " * 4
     rows = [(5, text, "a"), (2, text, "b"), (9, "other words entirely stand in this one here now", "c"), (2, text, "b"), (None, text, "d"), (7, None, "e"), (8, "", "f")]

@@ -1,14 +1,18 @@
-"""SimHash near-dedup: exact links between 64-bit fingerprints by trees of vantage points.
+"""SimHash near-dedup: exact links between 64-bit fingerprints by vantage-point trees.
 
-A node of the tree deals fingerprints out by Hamming distance to a vantage point; by the triangle bound two
-fingerprints within RADIUS differ by at most RADIUS in that distance, so each also goes to the next shard
-where its ball crosses the border, and shards further apart are never compared.
+A vantage point deals fingerprints out by their Hamming distance to it. By the triangle bound two fingerprints
+within RADIUS differ by at most RADIUS in that distance: pairs further apart in it are pruned unseen.
 
-Over whole random fingerprints a ball crosses most borders, so the first nodes measure distance on some
-blocks of bits only, with every value there as a vantage point: four differing bits leave two of six blocks
-(or three of seven, four of eight) at distance 0, where no ball crosses a border. Shards too large for a
-task are then dealt out again by whole distance in rings, in tables first and in the task's memory last.
-Within a shard a search from node to node emits a forest of links, never all pairs.
+* First the fingerprints are partitioned. Two within four bits agree on one of five blocks of bits, so a block's
+  values are vantage points at whose distance 0 both stand: each fingerprint goes to a shard a block, of about
+  TARGET fingerprints (finer for more: two blocks of six, three of seven, four of eight). A shard that is still too
+  large is dealt out again over the cluster by rings of whole distance to its least fingerprint; where a ball crosses
+  a ring's border the fingerprint goes to the next ring too.
+* A shard's tree then splits at the median distance to a vantage point into an inner and an outer part, and goes on
+  with each. Pairs across the border are searched between the strips within RADIUS of it only, by further vantage
+  points. Leaves of LEAF fingerprints are compared.
+
+A shard's links are cut down to a forest; all pairs are never emitted.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import guarded, hash2, stored, table
+from .common import done_with, guarded, hash2, split_join, stored, table
 from .components import components
 
 SHINGLE = 4
@@ -30,10 +34,10 @@ SEED = 42
 RADIUS = 4
 #: Width of a ring of distances; a ball then crosses one border at most.
 RING = 8
-#: A larger shard is dealt out again over the cluster.
-SHARD = 50_000
-#: A larger shard is dealt out again within its task.
-LEAF = 2_048
+#: Fingerprints that a shard of random ones has at most, and from which a shard is dealt out again over the cluster.
+TARGET, SHARD = 2_048, 20_000
+#: Fingerprints of a tree's leaf.
+LEAF = 32
 
 
 def _votes(hashes: np.ndarray) -> np.ndarray:
@@ -74,55 +78,99 @@ def fingerprints(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     return narrow.mapInArrow(_fingerprints, f"{kinds}, fp long")
 
 
-def _near(one: np.uint64, many: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(many ^ one) <= RADIUS
-
-
-def _search(points: np.ndarray) -> list[np.ndarray]:
-    """A forest of links over distinct points: a walk from each point to those not yet reached."""
-    out, rest = [], points
-    while len(rest):
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            p = front.pop()
-            hit = _near(p, rest)
-            if hit.any():
-                new = rest[hit]
-                out.append(np.stack([np.full(len(new), p), new]))
-                front.extend(new)
-                rest = rest[~hit]
-    return out
-
-
-def links(points: np.ndarray, depth: int = 0) -> list[np.ndarray]:
-    """Links that join what RADIUS joins, by a tree of vantage points over distinct fingerprints."""
-    if len(points) <= LEAF:
-        return _search(points)
-    far = np.bitwise_count(points ^ points[depth * 7919 % len(points)]).astype(np.int64)
-    home, over = far // RING, (far + RADIUS) // RING
-    shards = [points[(home == r) | (over == r)] for r in range(64 // RING + 1)]
-    if depth > 12 or max(map(len, shards)) > 0.9 * len(points):
-        return _search(points)
-    return [x for shard in shards if len(shard) > 1 for x in links(shard, depth + 1)]
+class _Tree:
+    """The search for pairs within RADIUS among distinct fingerprints; counts pairs compared and branches pruned."""
+
+    def __init__(self, points: np.ndarray):
+        self.points, self.compared, self.pruned = points, 0, 0
+        self.found: list[np.ndarray] = []
+
+    def leaf(self, a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        near = np.bitwise_count(self.points[a][:, None] ^ self.points[b][None, :]) <= RADIUS
+        self.compared += near.size
+        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        if len(i):
+            self.found.append(np.stack((a[i], b[j])))
+            if sum(x.shape[1] for x in self.found) > 1 << 16:
+                self.found = [_forest(np.concatenate(self.found, axis=1), len(self.points))]
+
+    def split(self, a: np.ndarray, depth: int) -> None:
+        """Pairs within a."""
+        while len(a) > LEAF:
+            far = np.bitwise_count(self.points[a] ^ self.points[a[depth * 7919 % len(a)]]).astype(np.int64)
+            middle = int(np.partition(far, len(far) // 2)[len(far) // 2])
+            inner = far < middle if (far < middle).any() else far <= middle
+            if inner.all():
+                break
+            border = int(far[inner].max())
+            self.across(a[inner & (far > border - RADIUS)], a[~inner & (far <= border + RADIUS)], depth + 1)
+            self.split(a[inner], depth + 1)
+            a, depth = a[~inner], depth + 1
+        if len(a) <= 4 * LEAF:
+            self.leaf(a, a, True)
+        else:  # all at one distance
+            half = len(a) // 2
+            self.across(a[:half], a[half:], depth + 1)
+            self.split(a[:half], depth + 1)
+            self.split(a[half:], depth + 1)
+
+    def across(self, a: np.ndarray, b: np.ndarray, depth: int) -> None:
+        """Pairs between a and b."""
+        if not len(a) or not len(b):
+            self.pruned += 1
+            return
+        if min(len(a), len(b)) <= LEAF:
+            for at in range(0, max(len(a), len(b)), 4096):
+                some = (a[at : at + 4096], b) if len(a) > len(b) else (a, b[at : at + 4096])
+                self.leaf(*some, False)
+            return
+        at = a[depth * 7919 % len(a)]
+        x, y = (np.bitwise_count(self.points[s] ^ self.points[at]).astype(np.int64) for s in (a, b))
+        middle = int(np.partition(x, len(x) // 2)[len(x) // 2])
+        low, high = x <= middle, y <= middle
+        if low.all() and (high.all() or depth > 200):
+            half = len(a) // 2
+            self.across(a[:half], b, depth + 1)
+            self.across(a[half:], b, depth + 1)
+            return
+        self.across(a[low], b[high], depth + 1)
+        self.across(a[~low], b[~high], depth + 1)
+        self.across(a[low & (x > middle - RADIUS)], b[~high & (y <= middle + RADIUS)], depth + 1)
+        self.across(a[~low & (x <= middle + RADIUS)], b[high & (y > middle - RADIUS)], depth + 1)
+
+
+def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
+    """The pairs, each of which joins two parts that those before it left apart."""
+    parent, keep = list(range(n)), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for k, (a, b) in enumerate(pairs.T.tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep.append(k)
+    return pairs[:, keep]
+
+
+def links(points: np.ndarray) -> tuple[np.ndarray, _Tree]:
+    """A forest of links, 2 x n, that joins what RADIUS joins among distinct fingerprints; and the tree that found it."""
+    tree = _Tree(points)
+    tree.split(np.arange(len(points)), 0)
+    pairs = _forest(np.concatenate(tree.found, axis=1), len(points)) if tree.found else np.empty((2, 0), np.int64)
+    return points[pairs], tree
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each shard; rows come sorted by shard, so only one shard is held beyond a batch."""
 
-    def found(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+    def found(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero(np.diff(shard)) + 1
-        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(shard)]))
-        size = np.repeat(ends - starts, ends - starts)
-        out = []
-        for step in range(1, 8):  # small shards are leaves, all compared at once
-            if step < len(fp):
-                i = np.flatnonzero((shard[step:] == shard[:-step]) & (size[step:] <= 8))
-                i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= RADIUS]
-                out.append(np.stack([fp[i], fp[i + step]]))
-        for k in np.flatnonzero(ends - starts > 8):
-            out += links(np.unique(fp[starts[k] : ends[k]]))
+        out = [links(np.unique(x))[0] for x in np.split(fp, cut) if len(x) > 1]
         pairs = np.concatenate(out, axis=1).view(np.int64) if out else np.empty((2, 0), np.int64)
-        pairs = np.unique(pairs, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -141,11 +189,18 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _masks(n: int) -> list[int]:
-    """Bit masks of the blocks that may be alike, for n fingerprints: finer for more of them."""
-    m = 6 if n <= 1 << 24 else 7 if n <= 1 << 30 else 8
-    edges = [round(64 * i / m) for i in range(m + 1)]
-    block = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(c) - (1 << 64 if sum(c) >> 63 else 0) for c in combinations(block, m - RADIUS)]
+    """Bit masks of the blocks on which fingerprints may agree, so that n random ones have shards of TARGET at most.
+
+    RADIUS + 1 blocks, of which two near fingerprints agree on one; where their bits don't do, more blocks, of which
+    they agree on as many more.
+    """
+    bits = max(0, (-(-n // TARGET) - 1).bit_length())
+    if not bits:
+        return [0]
+    more = next((k for k in range(4) if 64 // (RADIUS + 1 + k) * (k + 1) >= bits), 3)
+    width = min(64 // (RADIUS + 1 + more), -(-bits // (more + 1)))
+    block = [((1 << width) - 1) << (width * i) for i in range(RADIUS + 1 + more)]
+    return [sum(c) - (1 << 64 if sum(c) >> 63 else 0) for c in combinations(block, more + 1)]
 
 
 def _dealt(shards: DataFrame, largest: int, depth: int = 6) -> DataFrame:
@@ -173,12 +228,15 @@ def near_links(fps: DataFrame, n: int, largest: int = SHARD) -> DataFrame:
 
 
 def near_groups(keyed: DataFrame, first: Column) -> DataFrame:
-    """(fp, first) for each fingerprint of keyed: the least `first` of the group that links join it to."""
-    fps = stored(keyed.groupBy("fp").agg(F.min(first).alias("first")))
+    """(fp, first, n) for each fingerprint of keyed: the least `first` of the group that links join it to, and its rows."""
+    fps = stored(keyed.groupBy("fp").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(near_links(fps.select("fp"), fps.count()))
-    rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    return stored(rooted.join(least, "root").select("fp", F.col("least").alias("first")))
+    rooted = stored(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    # The least of a group is worked out before its members meet it, so that a group of any size spreads.
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("_n")))
+    out = stored(split_join(rooted, least, ["root"], "_n", rooted.count()).select("fp", F.col("least").alias("first"), "n"))
+    done_with(fps, rooted, least)
+    return out
 
 
 def simhash_groups(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -186,11 +244,12 @@ def simhash_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null, empty and blank texts have fingerprint 0 and link like any other. Null ids are reached last:
     component_id is null only where a group has no other. Repeated rows and ids each give a row. Other
-    columns of docs are not read.
+    columns of docs are not read. A fingerprint that a hot share of all rows has is joined by broadcast.
     """
     keyed = stored(fingerprints(docs, "doc_id", text=text))
     groups = near_groups(keyed, F.col("doc_id"))
-    return keyed.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
+    met = split_join(keyed, groups, ["fp"], "n", keyed.count())
+    return met.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 @guarded
