@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import table
+from .common import stored, table
 
 #: Levels whose phrases go into a fingerprint: about 6 and 15 characters each.
 LEVELS = (2, 3)
@@ -30,6 +31,8 @@ KEPT = 32
 ROUNDS = 4
 #: Characters that are parsed together.
 _SLICE = 2_000_000
+#: Ranges of documents for each task, and sampled ids that tell a range's borders.
+RANGES, SAMPLED = 3, 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -146,7 +149,7 @@ def fingerprint(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return narrow.mapInArrow(run, f"{kinds}, fingerprint string")
 
 
-_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_ROW = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def edited(text: str, following: str) -> str:
@@ -155,42 +158,64 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _rows(ids: list[int | None], texts: list[str], following: list[str]) -> list[list]:
-    """The result's columns for texts and what follows each; a text that follows another is parsed once."""
+def _rows(ids: pa.Array, texts: list[str], following: list[str]) -> pa.RecordBatch:
+    """The result's rows for texts and what follows each; a text that follows another is parsed once."""
     new = [edited(a, b) for a, b in zip(texts, following, strict=True)]
     own = fingerprints([*texts, following[-1]] if texts else [])
     theirs = fingerprints(new)
     sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in new]
-    return [ids, list(map(len, texts)), sha, own[:-1], theirs, list(map(likeness, own, theirs)), list(map(likeness, own, own[1:]))]
+    cols = [list(map(len, texts)), sha, own[:-1], theirs, list(map(likeness, own, theirs)), list(map(likeness, own, own[1:]))]
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True))], names=["doc_id", *_NAMES])
 
 
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _KINDS, strict=True)], names=_NAMES)
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, doc_id, text), sorted: the result for all of a part but its last document, which another part's first follows."""
+    part, ids, texts, total = None, [], [], 0
 
+    def found() -> pa.RecordBatch:
+        return _rows(pa.array(ids[:-1], kind), texts[:-1], texts[1:])
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for all of a sorted partition but its last document, which another partition's first follows."""
-    ids, texts, total = [], [], 0
     for batch in batches:
-        for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        kind = batch.schema.types[1]
+        for p, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if p != part or (total >= _SLICE and len(texts) > 1):
+                if len(texts) > 1:
+                    yield found()
+                ids, texts = (ids[-1:], texts[-1:]) if p == part else ([], [])
+                part, total = p, sum(map(len, texts))
             ids.append(i)
             texts.append(t)
             total += len(t)
-            if total >= _SLICE and len(texts) > 1:
-                yield _batch(_rows(ids[:-1], texts[:-1], texts[1:]))
-                ids, texts, total = ids[-1:], texts[-1:], len(texts[-1])
     if len(texts) > 1:
-        yield _batch(_rows(ids[:-1], texts[:-1], texts[1:]))
+        yield found()
 
 
 def _compare_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, text, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield _batch(_rows([i], [text], [following]))
+        for k, (text, following) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+            yield _rows(batch.column(0).slice(k, 1), [text], [following])
+
+
+def _part(ids: DataFrame, n: int) -> Column:
+    """The number of the range, of about n, that a doc_id falls into. Borders are sampled once and then fixed."""
+    known = ids.filter("doc_id is not null")
+    share = min(1.0, SAMPLED * n / max(1, known.count()))
+    seen = sorted({r.doc_id for r in known.sample(share, 7).collect()})
+    borders = seen[:: max(1, -(-len(seen) // n))][1:]
+    if not borders:
+        return F.lit(0)
+    width = max(1, int(len(borders) ** 0.5))
+    integral = isinstance(ids.schema["doc_id"].dataType, IntegralType)
+    array = lambda xs: F.expr(f"array({', '.join(f'{x}L' for x in xs)})") if integral else F.array(*map(F.lit, xs))
+    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("doc_id")))
+    groups = [borders[k : k + width] for k in range(0, len(borders), width)]
+    group = upto(array([g[0] for g in groups])) - 1
+    inside = upto(F.get(F.array(*map(array, groups)), group))
+    return F.when(F.col("doc_id").isNull() | (group < 0), 0).otherwise(group * width + inside)
 
 
 def edit_likeness(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -199,21 +224,30 @@ def edit_likeness(docs: DataFrame, text: str = "text") -> DataFrame:
     The edited text has its last floor(n / 4) code points replaced by the first as many of the next document;
     the first follows the last. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next. A null text counts as empty; two empty texts have likeness 1. Null ids come
-    first; rows of one id stand by text. A lone row follows itself. No rows give no rows.
+    first; rows of one id stand by text and in one range. A lone row follows itself. No rows give no rows.
 
-    Texts are dealt out by ranges of doc_id once, in one exchange that both branches of the plan read; of each
-    range, only the first and last text meet others.
+    Texts are dealt out once, by ranges of doc_id with fixed borders. Of each range the last text meets the next
+    range's first: those two a range are looked up by their ids beside it.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text")).repartitionByRange(n, "doc_id")
-    inner = dealt.sortWithinPartitions("doc_id", "_text").mapInArrow(_compare, _ROW)
-    place = F.struct("doc_id", "_text")
-    edges = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    # One row a range meets here. A second use of the ranges would have to find the same borders again.
+    part = _part(docs.select("doc_id"), RANGES * n).alias("part")
+    rows = docs.select(part, "doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    result = f"doc_id {kind}, {_ROW}"
+    inner = rows.repartition(n, "part").sortWithinPartitions("part", "doc_id", "_text").mapInArrow(_compare, result)
+    # One narrow row a range.
+    place = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")
+    ends = stored(docs.select(part, "doc_id").groupBy("part").agg(F.min(place)["doc_id"].alias("_first"), F.max(place)["doc_id"].alias("_last")))
     by_part = Window.orderBy("part")
-    follows = F.coalesce(F.lead("first._text").over(by_part), F.first("first._text").over(by_part))
-    last = edges.select("last.doc_id", "last._text", follows.alias("_next"))
-    return inner.unionByName(last.mapInArrow(_compare_edges, _ROW))
+    after = F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part))
+    order = ends.select("part", F.col("_last").alias("doc_id"), after.alias("_after"))
+    # The texts at a range's ends.
+    at = rows.join(F.broadcast(ends), "part")
+    at = at.select("part", F.col("doc_id").eqNullSafe(F.col("_first")).alias("a"), F.col("doc_id").eqNullSafe(F.col("_last")).alias("b"), "_text").filter("a or b")
+    texts = stored(at.groupBy("part").agg(F.min(F.when(F.col("a"), F.col("_text"))).alias("_head"), F.max(F.when(F.col("b"), F.col("_text"))).alias("_tail")))
+    heads = texts.select(F.col("part").alias("_after"), "_head")
+    last = order.join(texts.select("part", "_tail"), "part").join(heads, "_after").select("doc_id", "_tail", "_head")
+    return inner.unionByName(last.mapInArrow(_compare_edges, result))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
