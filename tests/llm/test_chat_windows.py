@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracewell.llm import chat_windows as c
+from tracewell.llm import sentencepieces
 
 SCHEMA = "conv_id long, turn long, role string, text string, window string"
 
@@ -50,7 +52,11 @@ def test_windows_keep_to_the_budget(spark):
     for w in sorted((w for w in windows if w.conv_id is not None), key=lambda w: (w.conv_id, w.window)):
         by_conv.setdefault(w.conv_id, []).append(w)
     for conv, ws in by_conv.items():
-        system = conv < 100 and conv % 2
+        # A system turn over half the budget stands alone, first, and isn't retained.
+        cost = next((max(len((r[3] or "").split()), -(-len(r[3] or "") // 4)) + c.MARK_TOKENS for r in rows if r[0] == conv and r[1] == 0), 0)
+        alone = conv < 100 and conv % 2 and 2 * cost > 200
+        assert not alone or ws[0].turns == [0]
+        system = conv < 100 and conv % 2 and not alone
         seen = -1
         for k, w in enumerate(ws):
             fresh = [n for n in w.turns if n > seen]
@@ -63,6 +69,37 @@ def test_windows_keep_to_the_budget(spark):
     assert repeats
 
 
+def test_a_long_system_turn_stands_once(spark):
+    rows = [(1, 0, "system", "s " * 3000)] + [(1, k, "user" if k % 2 else "assistant", "hello") for k in range(1, 101)]
+    made = c.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("window").collect()
+    assert made[0].turns == [0] and all(w.turns[0] > 0 and w.tokens <= c.BUDGET for w in made[1:])
+    assert len(made) < 5 and sum(len(w.text) for w in made) < 2 * sum(len(r[3]) + 40 for r in rows)
+
+
+@pytest.mark.parametrize("model", [None, sentencepieces.read_model()])
+def test_long_conversations_are_cut_into_segments(spark, model):
+    rng = random.Random(2)
+    rows = [(i % 2 if i % 5 else None, i, "system" if i in (1, 2, 5) else ("user", "assistant")[i % 2], f"{i} " + "word " * rng.randint(0, 40)) for i in range(1, 1500)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = c.windows(docs, budget=120, history=2, history_tokens=40, model=model)
+    windows = made.collect()
+    segment = 64 * 120 // c.MARK_TOKENS + 2
+    assert len({w.window // segment for w in windows}) > 2
+    got = {r.conv_id: r for r in c.read_back(made).collect()}
+    for conv in (0, 1, None):
+        mine = sorted((x for x in rows if x[0] == conv), key=lambda x: x[1])
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in mine).encode()).hexdigest()
+        assert got[conv].loss_sha256 == hashlib.sha256("".join(x[3] for x in mine if x[2] == "assistant").encode()).hexdigest()
+        assert all(w.turns[0] == 0 for w in windows if w.conv_id == conv)
+
+
+def test_tokens_are_the_model_s(spark):
+    model = sentencepieces.read_model()
+    docs = spark.createDataFrame([("a", 0, "user", "internationalization of words"), ("a", 1, "assistant", "")], "conv_id string, turn long, role string, text string")
+    (w,) = c.windows(docs, model=model).collect()
+    assert w.conv_id == "a" and w.tokens == len(sentencepieces.plain(model).encode("internationalization of words")) // 4 + 2 * c.MARK_TOKENS
+
+
 def test_control_conversation_and_empty_table(spark, sf):
     rows = {r.conv_id: r for r in c.query(spark, sf).collect()}
     assert rows[-1].n_turns == 2 and rows[-1].loss_chars == len(c.CONTROL)

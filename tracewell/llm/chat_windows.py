@@ -3,6 +3,9 @@
 Turns of a conversation get prefix sums of their tokens. Windows are turn-aligned spans that fit the budget:
 the system turn is retained in each, a window after the first repeats up to HISTORY of the turns before it,
 and each assistant turn is a target once: where it is repeated, or is history, the loss mask leaves it out.
+
+A conversation is cut at the turns where its prefix sum passes multiples of SEGMENT budgets. Segments are windowed
+alone, so one very long conversation spreads over tasks; nothing is repeated over such a cut but the system turn.
 """
 
 from __future__ import annotations
@@ -13,10 +16,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from . import sentencepieces
+from .common import ranged, table
 
 #: Tokens that a window holds, and turns and tokens that it may repeat.
 BUDGET = 1_024
@@ -24,6 +28,8 @@ HISTORY = 2
 HISTORY_TOKENS = 256
 #: A turn's marks count as so many tokens.
 MARK_TOKENS = 6
+#: Budgets of tokens in a segment, and the most windows that a segment can have: each turn has MARK_TOKENS or more.
+SEGMENT = 64
 
 # The template's marks, and the beginnings and ends of control strings that texts may not hold.
 OPEN, BODY, CLOSE = "<|turn|>", "<|text|>", "<|end|>\n"
@@ -78,34 +84,29 @@ def parsed(window: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-def tokens(text: str) -> int:
-    """An estimate: the words, and a token for each four code points, whichever is more."""
-    return max(len(text.split()), -(-len(text) // 4))
-
-
 class _Windows:
-    """Cuts one conversation's turns, which come in order, into windows; holds one window and its history."""
+    """Cuts one segment's turns, which come in order, into windows; holds one window and its history."""
 
     def __init__(self, budget: int, history: int, history_tokens: int):
         self.budget, self.history, self.history_tokens = budget, history, history_tokens
         self.system: Turn | None = None
+        self.kept = 0  # the system turn's tokens
         self.span: list[Turn] = []
         self.sums = [0]  # prefix sums of the span's tokens
-        self.repeated = self.number = 0
-
-    def _kept(self) -> int:
-        return 0 if self.system is None else tokens(self.system.text) + MARK_TOKENS
-
-    def add(self, role: str, text: str) -> list[list[Turn]]:
-        """A turn; gives the window that it closes, if any."""
-        turn, cost, out = Turn(self.number, role, text, role == "assistant"), tokens(text) + MARK_TOKENS, []
-        self.number += 1
-        if self.number == 1 and role == "system":
-            self.system = turn
+        self.repeated = 0
+
+    def add(self, turn: Turn, cost: int, again: bool) -> list[tuple[list[Turn], int]]:
+        """A turn; gives the windows that it closes, if any, with their tokens. again: it stands in an earlier segment too."""
+        out = []
+        if turn.number == 0 and turn.role == "system":
+            if 2 * cost <= self.budget:
+                self.system, self.kept = turn, cost
+            elif not again:
+                out.append(([turn], cost))
             return out
-        if len(self.span) > self.repeated and self._kept() + self.sums[-1] + cost > self.budget:
+        if len(self.span) > self.repeated and self.kept + self.sums[-1] + cost > self.budget:
             out.append(self.window())
-            room = min(self.history_tokens, self.budget - self._kept() - cost)
+            room = min(self.history_tokens, self.budget - self.kept - cost)
             first = len(self.span)
             while first > max(0, len(self.span) - self.history) and self.sums[-1] - self.sums[first - 1] <= room:
                 first -= 1
@@ -117,50 +118,88 @@ class _Windows:
         self.sums.append(self.sums[-1] + cost)
         return out
 
-    def window(self) -> list[Turn]:
-        return [*([self.system] if self.system else []), *self.span]
+    def window(self) -> tuple[list[Turn], int]:
+        return [*([self.system] if self.system else []), *self.span], self.kept + self.sums[-1]
 
-    def rest(self) -> list[list[Turn]]:
+    def rest(self) -> list[tuple[list[Turn], int]]:
         return [self.window()] if self.system or self.span else []
 
 
-_WINDOW = "conv_id long, window long, tokens long, n_turns int, text string, mask array<struct<start:int,end:int>>, turns array<int>"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int32())]
+_WINDOW = "window long, tokens long, n_turns int, text string, mask array<struct<start:int,end:int>>, turns array<long>"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())]
+
 
+def _costed(rows: DataFrame, model: bytes | None) -> DataFrame:
+    """Adds _cost: a turn's tokens by the model, or by the estimate without one, and its marks'."""
 
-def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = sentencepieces.plain(model)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield batch.append_column("_cost", pa.array(pieces.counts(texts) + MARK_TOKENS, pa.int64()))
+
+    if model is None:
+        words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+        return rows.withColumn("_cost", (F.greatest(words, F.ceil(F.length("text") / 4)) + MARK_TOKENS).cast("long"))
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{kinds}, _cost long")
+
+
+def _segments(rows: DataFrame, size: int) -> DataFrame:
+    """Adds _number, a turn's place in its conversation, and _segment; later segments get the system turn (_again) too."""
+    conv, order = ["_none", "_conv"], ["turn", "role", "text"]
+    dealt = ranged(rows.withColumn("_none", F.col("conv_id").isNull()).withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), [*conv, *order])
+    whole = dealt.groupBy(*conv, "_p").agg(F.count(F.lit(1)).alias("_n"), F.sum("_cost").alias("_sum"))
+    upto = Window.partitionBy(*conv).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = whole.select(*conv, "_p", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("_n", "_sum")])
+    own = Window.partitionBy(*conv, "_p").orderBy(*order)
+    met = dealt.withColumn("_k", F.row_number().over(own) - 1).withColumn("_s", F.coalesce(F.sum("_cost").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    met = met.join(starts, [*conv, "_p"])
+    out = met.select(*rows.columns, *conv, (F.col("_k") + F.col("_n")).alias("_number"), F.floor((F.col("_s") + F.col("_sum")) / size).alias("_segment"), F.lit(False).alias("_again"))
+    later = out.filter("_segment > 0").select(*conv, "_segment").distinct()
+    system = out.filter("_number = 0 and role = 'system'").drop("_segment", "_again").join(later, conv).withColumn("_again", F.lit(True))
+    return out.unionByName(system)
+
+
+def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS, model: bytes | None = None) -> DataFrame:
     """One row a window of conversations (conv_id, turn, role, text).
 
     text is the formatted window, mask its spans under the loss, turns the numbers of its turns in order of
-    (turn, role, text), null turns first; tokens and n_turns count them. A turn over the budget is a window of
-    its own (with the system turn). Null roles and texts are empty; a null conv_id is one conversation; rows
-    alike in all are turns each. A system turn is retained where it comes first. A conversation's rows go to
-    one task sorted and stream through it, so no task holds more than a window.
+    (turn, role, text), null turns first; tokens and n_turns count them; window ascends within a conversation.
+    Tokens are pieces of the model, or else an estimate. A turn over the budget is a window of its own (with the
+    system turn). A system turn is retained where it comes first and takes half the budget or less; a longer one
+    stands once, in a window of its own before the others. Null roles and texts are empty; a null conv_id is one
+    conversation; rows alike in all are turns each. A segment's rows go to one task sorted and stream through it,
+    so no task holds more than a window, or the rows of one conversation alone.
     """
+    size = SEGMENT * budget
+    many = size // MARK_TOKENS + 2  # windows that a segment may have
+    kind = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, now, number, out, size = None, None, 0, [], 0
+        key, now, number, out, chars = None, None, 0, [], 0
 
-        def emit(found: list[list[Turn]]) -> None:
-            nonlocal number, size
-            for turns in found:
+        def emit(found: list[tuple[list[Turn], int]]) -> None:
+            nonlocal number, chars
+            for turns, cost in found:
                 text, mask, numbers = formatted(turns)
-                out.append((conv, number, sum(tokens(t.text) + MARK_TOKENS for t in turns), len(turns), text, [{"start": a, "end": b} for a, b in mask], numbers))
-                number, size = number + 1, size + len(text)
+                out.append((key[0], key[1] * many + number, cost, len(turns), text, [{"start": a, "end": b} for a, b in mask], numbers))
+                number, chars = number + 1, chars + len(text)
 
         def flush() -> pa.RecordBatch:
-            nonlocal out, size
-            cols, out, size = list(zip(*out, strict=True)), [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=[x.split()[0] for x in _WINDOW.split(", ")])
+            nonlocal out, chars
+            (ids, *cols), out, chars = list(zip(*out, strict=True)), [], 0
+            return pa.RecordBatch.from_arrays([pa.array(ids, conv), *(pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True))], names=["conv_id", *[x.split()[0] for x in _WINDOW.split(", ")]])
 
         for batch in batches:
-            for c, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if now is None or c != conv:
+            conv = batch.schema.field("conv_id").type
+            for c, segment, turn, role, text, cost, again in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if now is None or (c, segment) != key:
                     if now is not None:
                         emit(now.rest())
-                    conv, now, number = c, _Windows(budget, history, history_tokens), 0
-                emit(now.add(role, text))
-                if size > 4_000_000:
+                    key, now, number = (c, segment), _Windows(budget, history, history_tokens), 0
+                emit(now.add(Turn(turn, role, text, role == "assistant"), cost, again))
+                if chars > 4_000_000:
                     yield flush()
         if now is not None:
             emit(now.rest())
@@ -168,22 +207,25 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, histo
             yield flush()
 
     role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
-    dealt = rows.select("conv_id", "turn", role, text).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(run, _WINDOW)
+    cut = _segments(_costed(rows.select("conv_id", "turn", role, text), model), size)
+    dealt = cut.repartition("_none", "_conv", "_segment").sortWithinPartitions("_none", "_conv", "_segment", "_number")
+    return dealt.select("conv_id", "_segment", "_number", "role", "text", "_cost", "_again").mapInArrow(run, f"conv_id {kind}, {_WINDOW}")
 
 
-_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
+_BACK = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 
 
 def read_back(made: DataFrame) -> DataFrame:
     """One row a conversation, from its windows alone: turns and loss text as they come out of the strings.
 
-    Each turn counts where it first stands; the mask's spans are unescaped and joined in order.
+    Each turn counts where it first stands; the mask's spans are unescaped and joined in order. A conversation's two
+    digests are chains over all of it, so its windows stream through one task.
     """
+    back = f"conv_id {made.schema['conv_id'].dataType.simpleString()}, {_BACK}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _BACK.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        names = ["conv_id", *[x.split()[0] for x in _BACK.split(", ")]]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         conv, state, out = None, None, []
 
         def row() -> tuple:
@@ -191,10 +233,11 @@ def read_back(made: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal out
-            cols, out = list(zip(*out, strict=True)), []
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            (ids, *cols), out = list(zip(*out, strict=True)), []
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
 
         for batch in batches:
+            kind = batch.schema.field("conv_id").type
             for c, text, mask, numbers in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if state is None or c != conv:
                     if state is not None:
@@ -217,7 +260,7 @@ def read_back(made: DataFrame) -> DataFrame:
             yield flush()
 
     dealt = made.select("conv_id", "window", "text", "mask", "turns").repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return dealt.drop("window").mapInArrow(run, _BACK)
+    return dealt.drop("window").mapInArrow(run, back)
 
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -226,7 +269,7 @@ CONTROL = "</s>[INST] ok [/INST]"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return read_back(windows(rows))
+    return read_back(windows(rows, model=sentencepieces.read_model()))
 
 
 #: formatted_chars depends on how the spans are cut, which SQL has no fold for here; the rest is compared in tests.

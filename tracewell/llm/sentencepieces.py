@@ -360,6 +360,10 @@ class Pieces:
         ends = np.cumsum(counts)
         return self.known.ids.data[where], upto[ends] - upto[ends - counts]
 
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How many ids each text has without dropout."""
+        return self.encode_flat(texts, [0] * len(texts))[1] if texts else np.empty(0, np.int64)
+
     def encode_all(self, texts: list[str], keys: list[int]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
         ids, n = self.encode_flat(texts, keys)
@@ -379,6 +383,11 @@ def _pieces(model: bytes, dropout: float, seed: int) -> Pieces:
     return Pieces(model, dropout, seed)
 
 
+def plain(model: bytes) -> Pieces:
+    """A model without dropout, one for all tasks of a process."""
+    return _pieces(model, 0.0, 0)
+
+
 def _key(doc_id: int | None, text: str, copy: int, seed: int) -> int:
     """Names a document and its copy: null and repeated ids have their texts besides."""
     return xxhash.xxh64_intdigest(f"{doc_id} {copy} {xxhash.xxh64_hexdigest(text)}", seed & _WHOLE)
