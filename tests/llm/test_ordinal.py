@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from tracewell.llm import ordinal as o
 
@@ -31,6 +34,56 @@ def test_grades_on_held_out_rows():
     assert means[0] < means[1] < means[2]
 
 
+def test_slopes_are_those_of_a_plain_likelihood():
+    rng = np.random.default_rng(8)
+    slots = [np.unique(rng.integers(0, 9, 4)) for _ in range(40)]
+    grades = rng.integers(0, 4, 40)
+    rated = o.Rated(np.repeat(np.arange(40), list(map(len, slots))), np.concatenate(slots), grades, 4)
+
+    def plain(w, free):
+        cuts = [free[0]]
+        for f in free[1:]:
+            cuts.append(cuts[-1] + math.exp(f))
+        total = 0.0
+        for s, g in zip(slots, grades):
+            score = sum(w[i] for i in s)
+            below = [0.0, *(1 / (1 + math.exp(score - c)) for c in cuts), 1.0]
+            total -= math.log(below[g + 1] - below[g])
+        return total / 40 + o.DECAY * sum(x * x for x in w) / 80
+
+    w, free, d = rng.normal(0, 1, 9), rng.normal(0, 0.5, 3), 1e-6
+    loss, by_w, by_free = o.slope(rated, w, free)
+    assert loss == pytest.approx(plain(w, free))
+    for i in range(9):
+        e = np.eye(9)[i] * d
+        assert by_w[i] == pytest.approx((plain(w + e, free) - plain(w - e, free)) / (2 * d), abs=1e-6)
+    for i in range(3):
+        e = np.eye(3)[i] * d
+        assert by_free[i] == pytest.approx((plain(w, free + e) - plain(w, free - e)) / (2 * d), abs=1e-6)
+
+
+def test_fit_ends_where_the_slope_is_flat():
+    rows = corpus(200)
+    slots, grades = [np.array(o.features(t)) for t, _ in rows], np.array([g for _, g in rows])
+    model = o.fit(slots, grades, 3)
+    used, count = np.unique(np.concatenate(slots), return_counts=True)
+    used = used[count >= o.LEAST_ROWS]
+    kept = [np.searchsorted(used, s[np.isin(s, used)]) for s in slots]
+    rated = o.Rated(np.repeat(np.arange(200), list(map(len, kept))), np.concatenate(kept), grades, 3)
+    at = o.slope(rated, model.weights[used], np.array([model.thresholds[0], math.log(model.thresholds[1] - model.thresholds[0])]))
+    start = o.slope(rated, np.zeros(len(used)), np.array([-1.0, 0.0]))
+    assert at[0] < start[0] and np.abs(at[1]).max() < 0.05 * np.abs(start[1]).max()
+
+
+@pytest.mark.parametrize("grade", [-1, 3, None])
+def test_odd_grades_are_refused(spark, grade):
+    rows = spark.createDataFrame([([1, 2], 0), ([3], grade)], "slots array<int>, grade int")
+    with pytest.raises(ValueError, match="grade"):
+        o.train(rows, 3)
+    with pytest.raises(ValueError, match="sample"):
+        o.train(rows, 3, sample=1)
+
+
 def test_fit_does_not_depend_on_chance():
     rows = corpus(120)
     slots, grades = [np.array(o.features(t)) for t, _ in rows], np.array([g for _, g in rows])

@@ -7,6 +7,8 @@ the chance of the top grade for selection.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import eq
@@ -31,11 +33,14 @@ LEAST_ROWS = 8
 KEEP = 0.5
 REMEMBERED = 200_000
 
-# Signs that mark words in text without sense, and what is stripped off words.
-SIGNS = ("###", "$$$", "%%%", "&&&", "***", "|", "!!")
+# What is stripped off words.
 STRIPPED = ".,;:!?#$%&*|<>\"'()[]{}"
 
 
+#: Runs of signs, as they stand in a text.
+_RUN = re.compile(r"[^\w\s]+")
+
+
 class Model(NamedTuple):
     weights: np.ndarray
     thresholds: np.ndarray
@@ -56,7 +61,7 @@ def _share(name: str, part: int, whole: int) -> int:
 
 
 def features(text: str | None) -> list[int]:
-    """The slots of a text: its distinct words, and how large the shares of signs, repeats and capitals are.
+    """The slots of a text: its distinct words, and how large the shares of each run of signs, of repeats and capitals are.
 
     A null or empty text has the slots of shares only.
     """
@@ -65,7 +70,7 @@ def features(text: str | None) -> list[int]:
     n, lines = len(words), text.split("\n")
     out = {_word(w) for w in set(words)}
     out.add(_slot(f"length:{n.bit_length()}"))
-    out.update(_share(s, text.count(s), n) for s in SIGNS)
+    out.update(_share(f"run:{run}", k, n) for run, k in Counter(_RUN.findall(text)).items())
     out.add(_share("again", sum(map(eq, words, words[1:])), n))
     out.add(_share("capitals", sum(map(str.isupper, words)), n))
     out.add(_share("lines", len(lines) - len(set(lines)), len(lines)))
@@ -76,32 +81,46 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
+class Rated(NamedTuple):
+    """Rated rows: which row (rows) has which used feature (index), and each row's grade."""
+
+    rows: np.ndarray
+    index: np.ndarray
+    grades: np.ndarray
+    n_grades: int
+
+
+def slope(rated: Rated, w: np.ndarray, free: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log likelihood with its shrinkage, and its slopes by the weights and by `free`.
+
+    free has the first threshold and the logarithms of the gaps to the next ones, so thresholds ascend whatever it is.
+    """
+    n, k, grades = max(1, len(rated.grades)), rated.n_grades - 1, rated.grades
+    gaps = np.exp(free[1:])
+    cuts = np.concatenate(([-np.inf], free[0] + np.concatenate(([0.0], gaps.cumsum())), [np.inf]))
+    score = np.bincount(rated.rows, w[rated.index], len(grades))
+    up, low = _sigmoid(cuts[grades + 1] - score), _sigmoid(cuts[grades] - score)
+    p = np.maximum(up - low, 1e-12)
+    dup, dlow = up * (1 - up) / p, low * (1 - low) / p
+    by_score = (dup - dlow) / n
+    by_cut = np.array([(-dup[grades == c].sum() + dlow[grades == c + 1].sum()) / n for c in range(k)])
+    loss = -np.log(p).sum() / n + DECAY * (w @ w) / (2 * n)
+    by_free = np.concatenate(([by_cut.sum()], [by_cut[j:].sum() * gaps[j - 1] for j in range(1, k)]))
+    return loss, np.bincount(rated.index, by_score[rated.rows], len(w)) + DECAY * w / n, by_free
+
+
 def fit(slots: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Model:
     """Maximum likelihood with shrunk weights, by full-gradient steps of adapted size; no chance involved."""
     rows, index = np.repeat(np.arange(len(slots)), list(map(len, slots))), np.concatenate(slots) if slots else np.empty(0, np.int64)
     used, count = np.unique(index, return_counts=True)
     used = used[count >= LEAST_ROWS]
     seen = np.isin(index, used)
-    rows, index = rows[seen], np.searchsorted(used, index[seen])
-    n, k = max(1, len(slots)), n_grades - 1
-    w = np.zeros(len(used))
-    share = (np.bincount(grades, minlength=n_grades).cumsum()[:k] + 0.5) / (len(grades) + 1)
+    rated = Rated(rows[seen], np.searchsorted(used, index[seen]), grades, n_grades)
+    share = (np.bincount(grades, minlength=n_grades).cumsum()[: n_grades - 1] + 0.5) / (len(grades) + 1)
     first = np.log(share / (1 - share))
-    free = np.concatenate((first[:1], np.log(np.maximum(np.diff(first), 1e-3))))  # thresholds as a first and log gaps
-    x, m, v = np.concatenate((w, free)), 0.0, 0.0
+    x, m, v = np.concatenate((np.zeros(len(used)), first[:1], np.log(np.maximum(np.diff(first), 1e-3)))), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        w, free = x[: len(w)], x[len(w) :]
-        gaps = np.exp(free[1:])
-        cuts = np.concatenate(([-np.inf], free[0] + np.concatenate(([0.0], gaps.cumsum())), [np.inf]))
-        score = np.bincount(rows, w[index], len(slots))
-        up, low = _sigmoid(cuts[grades + 1] - score), _sigmoid(cuts[grades] - score)
-        p = np.maximum(up - low, 1e-12)
-        dup, dlow = up * (1 - up) / p, low * (1 - low) / p
-        slope = (dup - dlow) / n  # of the negative log likelihood by the score
-        grad_w = np.bincount(index, slope[rows], len(w)) + DECAY * w / n
-        by_cut = np.array([(-dup[grades == c].sum() + dlow[grades == c + 1].sum()) / n for c in range(k)])
-        grad_free = np.concatenate(([by_cut.sum()], [by_cut[j:].sum() * gaps[j - 1] for j in range(1, k)]))
-        g = np.concatenate((grad_w, grad_free))
+        g = np.concatenate(slope(rated, x[: len(used)], x[len(used) :])[1:])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
     weights = np.zeros(WIDTH)
@@ -110,21 +129,20 @@ def fit(slots: list[np.ndarray], grades: np.ndarray, n_grades: int) -> Model:
     return Model(weights, free[0] + np.concatenate(([0.0], np.exp(free[1:]).cumsum())))
 
 
-def train(rated: DataFrame, n_grades: int, text: str = "text", sample: int = SAMPLE) -> Model:
-    """Fits a model to rows with a text and a grade (0 to n_grades - 1); rated has at most `sample` rows.
+def train(rated: DataFrame, n_grades: int, sample: int = SAMPLE) -> Model:
+    """Fits a model to rows (slots, grade), at most `sample` of them; grades are 0 to n_grades - 1, others an error.
 
-    Executors turn texts into slots; the driver gets those, at most WIDTH numbers a row.
+    The driver gets the slots, at most WIDTH numbers a row.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(x.as_py()) for x in batch.column(0)], pa.list_(pa.int32())), batch.column(1)], names=["slots", "grade"])
-
-    got = rated.select(F.col(text), F.col("grade").cast("int").alias("grade")).mapInArrow(run, "slots array<int>, grade int").toArrow()
+    got = rated.select("slots", F.col("grade").cast("int").alias("grade")).limit(sample + 1).toArrow()
     if got.num_rows > sample:
         raise ValueError("more rated rows than the sample may have")
-    order = sorted(range(got.num_rows), key=lambda i: (got["grade"][i].as_py(), got["slots"][i].as_py()))
-    return fit([np.array(got["slots"][i].as_py(), np.int64) for i in order], np.array([got["grade"][i].as_py() for i in order], np.int64), n_grades)
+    grades = got["grade"].to_pylist()
+    if any(g is None or not 0 <= g < n_grades for g in grades):
+        raise ValueError(f"a grade isn't one of 0 to {n_grades - 1}")
+    slots = got["slots"].to_pylist()
+    order = sorted(range(got.num_rows), key=lambda i: (grades[i], slots[i]))
+    return fit([np.array(slots[i], np.int64) for i in order], np.array([grades[i] for i in order], np.int64), n_grades)
 
 
 def score(docs: DataFrame, model: Model, *keep: str, text: str = "text", least: float = KEEP) -> DataFrame:
@@ -144,15 +162,23 @@ def score(docs: DataFrame, model: Model, *keep: str, text: str = "text", least:
     return narrow.mapInArrow(run, f"{kinds}, expected_grade double, p_top double, kept boolean")
 
 
-def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Texts with grades from labels: quality, and one more where not toxic. Rows with a null are left out.
+def rated(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text") -> DataFrame:
+    """slots and grade of rated texts: quality, and one more where not toxic. Labels with a null are left out.
 
-    The sample is drawn from the labels, so that it is small enough to send to every task.
+    The sample is drawn from the labels, so that it is small enough to send to every task; texts become slots where
+    they are met, before the rows come together. Of an id's labels the least quality and the worst toxicity count.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = pa.array([features(x.as_py()) for x in batch.column("_text")], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([slots, batch.column("_h"), batch.column("grade")], names=["slots", "_h", "grade"])
+
     some = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    one = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("grade", F.col("quality") + 1 - F.col("toxic"))
-    return one.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample)
+    one = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(some), "doc_id")
+    one = one.select("_text", F.xxhash64("doc_id").alias("_h"), (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade"))
+    return one.mapInArrow(run, "slots array<int>, _h long, grade int").orderBy("_h", F.xxhash64("slots")).limit(sample).select("slots", "grade")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
