@@ -2,6 +2,7 @@ import pytest
 
 from tracewell.llm import url_filter as u
 
+BLOCKED = tuple(f"{name}.example.{top}" for name in ("spam-farm", "free-bets", "ads") for top in ("com", "net", "org"))
 URLS = [
     None, "", "no scheme", "http://", "HTTP://WWW.Example.COM/en/1", "https://example.com/en/", "https://example.com/en", "https://a.example.com/en/x?y=/es/", "https://x.net/es/1", "https://net/fr/#a",
     "http://examplexcom/en/", "http://notexample.com/en/7", "ftp://spam-farm.example.org", "http://www.spam-farm.example.net/en/1", "http://spam-farm.example.com/de/", "x://com/", "x://com", "x://a..com/", "http://É.com/",
@@ -9,7 +10,7 @@ URLS = [
 ]
 
 
-def by_hand(url, blocked=u.BLOCKED_HOSTS):
+def by_hand(url, blocked=BLOCKED):
     url = url or ""
     host = path = ""
     if "://" in url:
@@ -27,7 +28,7 @@ def by_hand(url, blocked=u.BLOCKED_HOSTS):
 def test_verdicts(spark, monkeypatch, shard):
     monkeypatch.setattr(u, "SHARD_KEYS", shard)
     pages = spark.createDataFrame([(i, x, "old") for i, x in enumerate(URLS)] + [(0, URLS[4], "twice")], "page_id long, url string, rule string")
-    blocked = spark.createDataFrame([(h,) for h in u.BLOCKED_HOSTS] + [(None,)], "host string")
+    blocked = spark.createDataFrame([(h,) for h in BLOCKED] + [(None,)], "host string")
     got = u.url_filter(pages, u.RULES, blocked).collect()
     assert len(got) == len(URLS) + 1
     for r in got:
@@ -56,3 +57,9 @@ def test_nothing_listed_and_empty_tables(spark):
     (r,) = u.url_filter(pages, ()).collect()
     assert (r.rule, r.verdict) == (None, "allow")
     assert u.url_filter(pages.limit(0)).count() == 0
+
+
+def test_listed_hosts_come_from_the_table(spark):
+    urls = ["http://a.org/x?q", "http://a.org/y", "http://b.org/x", "http://B.org/z?1", "http://b.org/y", "no ? scheme", None]
+    pages = spark.createDataFrame([(i, x) for i, x in enumerate(urls)], "page_id long, url string")
+    assert [r.host for r in u.tracking_hosts(pages).collect()] == ["a.org"]

@@ -25,7 +25,7 @@ class Rule(NamedTuple):
     path: str
 
 
-# The rules that the query applies, and hosts that it blocks where no rule fits.
+# The rules that the query applies.
 RULES = (
     Rule("allow", "com", "/"),
     Rule("block", "example.com", "/en/"),
@@ -33,13 +33,6 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-BLOCKED_HOSTS = (
-    "ads-track.example.com", "ads-track.example.net", "ads-track.example.org",
-    "casino-win.example.com", "casino-win.example.net", "casino-win.example.org",
-    "free-bets.example.com", "free-bets.example.net", "free-bets.example.org",
-    "spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org",
-)
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits and hashes for each key of the first level, and of the others.
 FIRST, LATER = (10, 7), (4, 3)
@@ -137,7 +130,7 @@ def cascades(universe: DataFrame, listed: DataFrame) -> list[list[Level]]:
 
 def answered(rows: DataFrame, keys: str, built: list[list[Level]]) -> DataFrame:
     """Adds `_in`, an array of booleans beside the array column keys of (h1, h2): which keys are listed."""
-    out = rows.withColumn("_in", F.transform(keys, lambda x: F.lit(False)))
+    out, shards = rows.withColumn("_in", F.transform(keys, lambda x: F.lit(False))), len(built)
     for s, levels in enumerate(built):
         held = rows.sparkSession.sparkContext.broadcast(levels)
         at = out.columns.index(keys)
@@ -147,14 +140,14 @@ def answered(rows: DataFrame, keys: str, built: list[list[Level]]) -> DataFrame:
                 asked, before = batch.column(at), batch.column(batch.num_columns - 1)
                 flat = asked.flatten()
                 h1, h2 = (flat.field(k).to_numpy().view(np.uint64) for k in (0, 1))
-                mine = np.flatnonzero(h1.view(np.int64) % len(built) == s)
+                mine = np.flatnonzero(h1.view(np.int64) % shards == s)
                 hit = before.flatten().to_numpy(zero_copy_only=False).copy()
                 hit[mine] |= member(held.value, h1[mine], h2[mine])
                 counts = np.concatenate(([0], np.cumsum(np.asarray(asked.value_lengths().fill_null(0))))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(counts), pa.array(hit))], names=batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
-        out = stored(out) if len(built) > 1 else out
+        out = stored(out) if shards > 1 else out
     return out
 
 
@@ -210,16 +203,22 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] = RULES, blocked: DataFra
     return rows.select(*given, "host", "path", best["text"].alias("rule"), F.coalesce(best["kind"], method).alias("verdict"))
 
 
+def tracking_hosts(pages: DataFrame, url: str = "url") -> DataFrame:
+    """The hosts of which half of the pages or more are asked with a query: the list that the query below blocks."""
+    rows = pages.select(parts(F.col(url))[0].alias("host"), F.contains(F.col(url), F.lit("?")).alias("q")).filter("host <> ''")
+    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("m")).filter("2 * m >= n").select("host")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocked = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
-    return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, blocked).drop("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(pages, RULES, stored(tracking_hosts(pages))).drop("url")
 
 
 SQL = rf"""
 with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') host, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) path from pages),
 r(verdict, rh, rp) as (values {", ".join(str(tuple(r)) for r in RULES)}),
-b(bh) as (values {", ".join(f"('{h}')" for h in BLOCKED_HOSTS)}),
+b as (select host bh from (select regexp_matches(url, '[?]') q, host from p join pages using (page_id)) where host <> '' group by host having 2 * count(*) filter (q) >= count(*)),
 f as (select page_id, host, path, arg_max(rh || rp, length(rh || rp)) rule, arg_max(verdict, length(rh || rp)) v
         from p left join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by all)
-select page_id, host, path, rule, coalesce(v, case when exists (select 1 from b where host = bh or ends_with(host, '.' || bh)) then 'block' else 'allow' end) verdict from f
+select page_id, host, path, rule, coalesce(v, case when list_has_any(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')), (select list(bh) from b)) then 'block' else 'allow' end) verdict from f
 """
