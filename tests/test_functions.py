@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,7 +111,7 @@ def test_queries_and_paths(spark):
 
 def test_packing_skips_what_does_not_fit(spark):
     items = spark.createDataFrame([(1, k, i, s) for k, i, s in [(1, 10, 5), (2, 11, 9), (3, 12, 4), (4, 13, 1)]], "query_id int, rank int, id long, size long")
-    assert tuple(D.packed(items, 10).first()) == (1, [10, 12, 13], 10)
+    assert tuple(D.packed(items, 10).first()) == (1, [10, 12, 13], [11], 10)
 
 
 def test_lineage_of_chains_and_cycles(spark):
@@ -167,14 +168,20 @@ def test_segments_and_stages(spark):
     assert Z.stages(calls).first().skeleton == "a(×2) → b → ! → c → ! → d(×2)"
 
 
-def test_ann_recall(spark):
-    import random
-
-    rng = random.Random(1)
-    v = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(600)]
-    v += [(1000 + i, [x + rng.gauss(0, 0.05) for x in v[i][1]]) for i in range(200)]
-    vectors = spark.createDataFrame(v, "vec_id long, embedding array<float>")
-    queries = vectors.filter("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    exact = {(r.query_id, r.vec_id) for r in R.vector_topk(queries, vectors, 2).collect()}
-    found = {(r.query_id, r.vec_id) for r in R.lsh_topk(queries, vectors, 16, 2).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
+@pytest.mark.parametrize("n,dim,kind", [(2000, 32, "even"), (600, 16, "copies"), (1500, 24, "clusters")])
+def test_ann_recall(spark, n, dim, kind):
+    rng = np.random.default_rng(1)
+    v = rng.normal(0, 1, (n, dim))
+    if kind == "copies":
+        v = np.concatenate((v, v[:200] + rng.normal(0, 0.05, (200, dim))))
+    elif kind == "clusters":
+        v = rng.normal(0, 1, (12, dim))[rng.integers(0, 12, n)] + 0.3 * v
+    odd = [(10**6, [1.0, 0.0]), (10**6 + 1, [0.5, 0.5]), (10**6 + 2, None), (10**6 + 3, [])]
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + odd, "vec_id long, embedding array<float>")
+    queries = vectors.filter("vec_id < 50 or vec_id = 1000000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact = {(r.query_id, r.vec_id) for r in R.vector_topk(queries, vectors, 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in R.ann_topk(queries, vectors, 10).collect()}
+    assert len(exact & found) / len(exact) >= 0.9 and {x for x in found if x[0] == 10**6} == {(10**6, 10**6), (10**6, 10**6 + 1)}
+    if kind == "clusters":
+        cells = R.fit_cells(v, 10)
+        assert cells.probes < 0.5 * len(cells.centroids) and cells.recall >= 0.95

@@ -15,6 +15,10 @@ PRICE_MISS, PRICE_HIT = 0.27, 0.07
 HALF_LIFE_DAYS, FREQ_PSEUDO, REJECT_COST, FEEDBACK_GAIN, LEAST_WEIGHT = 30.0, 3.0, 2.0, 0.5, 0.001
 
 
+# Where a slice can come from.
+ORIGINS = ("user-curated", "import", "session-auto", "prefetch")
+
+
 def finite(*values: Column) -> Column:
     out = F.lit(True)
     for v in values:

@@ -100,6 +100,12 @@ def task_kind(text: Column) -> Column:
     return out
 
 
+def task_tag(content: Column) -> Column:
+    """What follows task= in a text's first line, of small letters, digits, - and _; empty without a tag."""
+    head = F.substring_index(F.coalesce(content, F.lit("")), "\n", 1)
+    return F.regexp_extract(head, r"task=([-_0-9a-z]*)", 1)
+
+
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a of an ASCII text, as a long."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))

@@ -119,19 +119,64 @@ def generic_query(text: Column) -> Column:
     return F.lower(T.normalized(text)).isin(*GENERIC)
 
 
-def recall(hits: DataFrame, floor: float = 0.24, limit: int = 4) -> DataFrame:
-    """Facts to bring up: two matched terms or more, project ones lifted, stale ones lowered, expired ones dropped.
+#: What stands around a word of a query and isn't part of it.
+_AROUND = "#()[]{}<>,;:'\"`!?=+*/\\|"
 
-    hits has query_id, doc_id, score, n_matched, project, freshness.
+
+def strong_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the terms of queries (query_id, text) that alone make a match worth recalling.
+
+    Long ones of queries with one or two terms; words with a digit, an underscore or a capital inside; and what stands
+    after # or before a full stop.
+    """
+    text = F.coalesce("text", F.lit(""))
+    words = F.transform(F.split(text, r"\s+"), lambda w: F.btrim(w, F.lit(_AROUND)))
+    marked = F.transform(F.filter(words, lambda w: w.rlike(r"\p{Nd}|_|.\p{Lu}")), lambda w: F.lower(w))
+    rows = queries.select("query_id", text.alias("text"), F.array_distinct(T.tokens(F.col("text"))).alias("terms"), marked.alias("marked"))
+    rows = rows.select("query_id", "text", "marked", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    long = (F.col("n") <= 2) & (F.length("term") >= 6)
+    return rows.filter(long | F.array_contains("marked", F.col("term")) | F.contains("text", F.concat(F.lit("#"), "term")) | F.contains("text", F.concat("term", F.lit(".")))).select("query_id", "term")
+
+
+def recall(hits: DataFrame, single: DataFrame | None = None, floor: float = 0.24, limit: int = 4) -> DataFrame:
+    """Facts to bring up: strong matches, project ones lifted, stale ones lowered, expired ones dropped.
+
+    hits has query_id, doc_id, score, n_matched, project, freshness. A match is strong with two terms, or with one if
+    single has its (query_id, doc_id): those that hold one of the strong_terms.
     """
     from tracewell.operators import retrieval as R
 
-    strong = hits.filter((F.col("n_matched") >= 2) & (F.col("freshness") != "expired"))
+    strong = hits.filter("n_matched >= 2")
+    if single is not None:
+        strong = strong.unionByName(hits.filter("n_matched = 1").join(single.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi").select(*hits.columns))
     lifted = F.col("score") * F.when(F.col("project"), 1.08).otherwise(1.0) * F.when(F.col("freshness") == "stale", 0.92).otherwise(1.0)
-    scored = strong.withColumn("score", F.round(lifted, 6))
+    scored = strong.filter("freshness <> 'expired'").withColumn("score", F.round(lifted, 6))
     return R.top(R.floor_by_top(scored, floor, ("query_id",)), limit, by=("query_id",))
 
 
+def clipped(items: DataFrame, budget: int, frame: int, least: int = 24, group: str = "query_id") -> DataFrame:
+    """(group, texts, used, omitted): entries in order of rank in a budget of characters, of which `frame` are taken.
+
+    items has rank, head and body. An entry that doesn't fit has its body cut, with dots after it, to what is left; one
+    that would keep fewer than `least` characters of its body is omitted, and later shorter ones may still fit. A group
+    is the few hits of one query, folded in one expression.
+    """
+    rows = F.sort_array(F.collect_list(F.struct("rank", "head", "body")))
+    start = F.struct(F.lit(frame).alias("used"), F.array().cast("array<string>").alias("texts"), F.lit(0).alias("omitted"))
+
+    def step(acc: Column, x: Column) -> Column:
+        room = F.lit(budget) - acc["used"] - F.length(x["head"])
+        body = F.when(F.length(x["body"]) <= room, x["body"]).when(room >= least + 3, F.concat(F.substring(x["body"], F.lit(1), room - 3), F.lit("...")))
+        entry = F.concat(x["head"], body)
+        return F.struct(
+            (acc["used"] + F.coalesce(F.length(entry), F.lit(0))).alias("used"), F.when(entry.isNull(), acc["texts"]).otherwise(F.concat(acc["texts"], F.array(entry))).alias("texts"),
+            (acc["omitted"] + entry.isNull().cast("int")).alias("omitted"),
+        )
+
+    out = items.groupBy(group).agg(F.aggregate(rows, start, step).alias("p"))
+    return out.select(group, "p.texts", "p.used", "p.omitted")
+
+
 def clusters(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, rep) as a walk by id would give: a row joins the first earlier representative it is like, or is one.
 
@@ -191,9 +236,22 @@ def stage(tool: Column, command: Column, path: Column) -> Column:
     return F.when(t.isin("bash", "shell"), shell).when(t.rlike("read|grep|search|find|list|glob"), "locate").when(t.rlike("edit|write|patch|replace"), edit).otherwise("")
 
 
+def block_item(kind: Column, project: Column, source: Column, commit: Column, origin: Column, status: Column, score: Column, created: Column, historical: Column) -> Column:
+    """The line that says where a slice comes from, and for a historical one that it has to be checked before use."""
+    quoted = lambda c: F.to_json(F.array(F.coalesce(c, F.lit("")))).substr(F.lit(2), F.length(F.to_json(F.array(F.coalesce(c, F.lit(""))))) - 2)
+    verified = F.when(kind == "result", F.coalesce(status, F.lit("probation"))).otherwise("unknown")
+    line = F.concat(F.lit("type="), kind, F.lit(" project="), quoted(project), F.lit(" source="), quoted(source), F.lit(" commit="), quoted(commit), F.lit(" origin="), origin, F.lit(" verified="), verified, F.lit(" score="), F.format_string("%.4f", score), F.lit(" created_at="), created.cast("string"), F.lit("\n"))
+    return F.concat(line, F.when(historical, F.lit("applicability=historical_observation; revalidate_before_use\n")).otherwise(""))
+
+
 def block(items: DataFrame, group: str = "query_id") -> DataFrame:
-    """(group, text): admitted items as one block, verified before grey, by score, then id; markers escaped."""
+    """(group, text): admitted items as one block, verified before grey, by score, then id; markers escaped.
+
+    items has doc_id, zone, score, content and, if it is to be told, provenance (what block_item gives).
+    """
     body = F.replace(F.replace("content", F.lit("<memory"), F.lit("&lt;memory")), F.lit("</memory"), F.lit("&lt;/memory"))
-    line = F.concat(F.lit("[slice "), F.col("doc_id").cast("string"), F.lit(" zone="), "zone", F.lit("]\n"), body)
+    grey = F.when(F.col("zone") == "hit", "").otherwise(" (grey, unverified)")
+    told = F.col("provenance") if "provenance" in items.columns else F.lit("")
+    line = F.concat(F.lit("--- slice "), F.col("doc_id").cast("string"), grey, F.lit(" ---\n"), told, body, F.lit("\n"))
     rows = F.sort_array(F.collect_list(F.struct((F.col("zone") != "hit").alias("g"), (-F.col("score")).alias("s"), "doc_id", line.alias("line"))))
-    return items.groupBy(group).agg(F.concat(F.lit("<memory>\n"), F.array_join(F.transform(rows, lambda x: x["line"]), "\n"), F.lit("\n</memory>")).alias("text"))
+    return items.groupBy(group).agg(F.concat(F.lit("<memory>\n"), F.array_join(F.transform(rows, lambda x: x["line"]), ""), F.lit("</memory>\n")).alias("text"))

@@ -53,6 +53,25 @@ def age_group(ts: Column, now: Column) -> Column:
     return F.when(ts >= day, "today").when(ts >= day - F.expr("interval 1 day"), "yesterday").otherwise("older")
 
 
+def since(ts: Column, now: Column, window: str) -> Column:
+    """Whether a time lies in a window that ends now: today, yesterday, day, week, month, or a span such as 90m, 36h or 2h30m."""
+    import re
+
+    day = F.date_trunc("day", now)
+    if window == "today":
+        return (ts >= day) & (ts <= now)
+    if window == "yesterday":
+        return (ts >= day - F.expr("interval 1 day")) & (ts < day)
+    spans = {"day": "1 day", "week": "7 days", "month": "30 days"}
+    units = {"h": "hours", "m": "minutes", "s": "seconds"}
+    if window not in spans:
+        parts = re.findall(r"(\d+)([hms])", window)
+        if not parts or "".join(map("".join, parts)) != window:
+            raise ValueError(f"not a window of time: {window}")
+        spans = {window: " ".join(f"{n} {units[u]}" for n, u in parts)}
+    return (ts >= now - F.expr(f"interval {spans[window]}")) & (ts <= now)
+
+
 def topics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sessions by topic: counts, first and last activity, the latest title that isn't empty."""
     title = F.max_by(F.when(F.col("title") != "", F.col("title")), F.when(F.col("title") != "", F.struct("at", "id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.ranking import global_rank
+from tracewell.operators.ranking import global_rank, sums_before
 
 
 def chronological(rows: DataFrame, order: list[str], holdout: float, by: list[str] | None = None) -> DataFrame:
@@ -56,10 +56,12 @@ def ranking(rows: DataFrame, k: int) -> DataFrame:
 
 
 def auc(rows: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
-    """Rank AUC with ties at one half, from counts of distinct scores: no row is compared with another."""
+    """Rank AUC with ties at one half, from counts of distinct scores: no row is compared with another.
+
+    Sums over lower scores come from ranges, so a group of any size is ranked by many tasks.
+    """
     counts = rows.groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("p") * (below + F.col("n") / 2))
+    won = sums_before(counts, by, score, F.col("n"), "below").withColumn("won", F.col("p") * (F.col("below") + F.col("n") / 2))
     out = won.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return out.select(*by, F.round(F.try_divide(F.col("won"), (F.col("p") * F.col("n")).cast("double")), 6).alias("auc"))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.ranking import global_rank
+
 # The engine's rates, steps, bounds and windows.
 ALPHA, TAU_STEP, PREFETCH_STEP, MIN_SAMPLES, FREEZE = 0.1, 0.05, 0.05, 20, 60
 MIN_TAU, MAX_TAU = 0.30, 0.80
@@ -85,6 +87,14 @@ def adaptive_tau(rows: DataFrame, key: str, order: list[str], negative: str, pri
     return s.select(key, F.round("s.e", 6).alias("neg_ewma"), "s.pos", "s.neg", F.round(effect, 6).alias("tau_low"), "s.n_adjust")
 
 
+def tau_summary(rows: DataFrame) -> DataFrame:
+    """Least, upper median and greatest threshold of entries (tau_low, n_adjust), their number and adjustments; one row."""
+    ranked = global_rank(rows.select("tau_low", "n_adjust"), ["tau_low"], "_r")
+    ends = ranked.agg(F.count(F.lit(1)).alias("entries"), F.min("tau_low").alias("least"), F.max("tau_low").alias("most"), F.sum("n_adjust").alias("adjustments"))
+    middle = F.max(F.when(F.col("_r") == F.floor(F.col("entries") / 2) + 1, F.col("tau_low"))).alias("median")
+    return ranked.crossJoin(F.broadcast(ends)).groupBy("least", "most", "entries", "adjustments").agg(middle).select("least", "median", "most", "entries", "adjustments")  # one row
+
+
 def evolve(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The engine's parameters after a run of signals (epoch, name, value) for each key.
 

@@ -17,10 +17,14 @@ def matrix(calls: DataFrame) -> DataFrame:
     return n.withColumn("prob", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("prev")), 6))
 
 
-def plan(transitions: DataFrame, allowed: tuple[str, ...] | None, cost: int, budget: int, most: int, least: float = 0.0) -> DataFrame:
-    """The likeliest next tools of each tool that a budget allows, by probability, then name."""
+def plan(transitions: DataFrame, allowed: tuple[str, ...] | None, cost: int, budget: int, most: int, least: float = 0.0, demoted: DataFrame | None = None) -> DataFrame:
+    """The likeliest next tools of each tool that a budget allows, by probability, then name.
+
+    allowed are the tools that only read; demoted (prev, next) are pairs that feedback has ruled out.
+    """
     rows = transitions.filter(F.col("prob") >= least)
     rows = rows if allowed is None else rows.filter(F.col("next").isin(*allowed))
+    rows = rows if demoted is None else rows.join(demoted.select("prev", "next"), ["prev", "next"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("prev").orderBy(F.desc("prob"), "next"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= min(most, budget // cost))
 

@@ -54,6 +54,20 @@ def prune_plan(slices: DataFrame, now: int, older_than_days: int) -> DataFrame:
     return met.select("id", reasons.alias("reasons"), F.when(copy, F.col("rep")).alias("retained")).filter(F.size("reasons") > 0)
 
 
+def protected(now: int, recent_days: int, kinds: tuple[str, ...] = ("prompt", "context", "tool_pattern", "result", "memory")) -> Column:
+    """Whether pruning may not touch a slice: odd, recent, curated, praised or verified ones.
+
+    Of columns kind, created, last_used, hits, injected, origin, feedback, useful and result_status.
+    """
+    cutoff = now - recent_days * 86400
+    origin, status = F.coalesce("origin", F.lit("")), F.coalesce("result_status", F.lit(""))
+    return (
+        ~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)) | (F.col("created") <= 0) | (F.col("created") >= cutoff) | (F.col("last_used") < 0) | (F.col("last_used") >= cutoff)
+        | (((F.col("hits") > 0) | (F.col("injected") > 0)) & (F.col("last_used") == 0)) | (origin == "user-curated") | ~origin.isin("", *S.ORIGINS)
+        | (F.col("feedback") > 0) | ~S.finite(F.col("feedback")) | (F.col("useful") > 0) | ~status.isin("", "probation")
+    )
+
+
 def merge_stats(slices: DataFrame, deltas: DataFrame, counters: tuple[str, ...], last: str = "last_used") -> DataFrame:
     """Adds summed counters of deltas (id, ...) to the rows that exist, and takes the later time."""
     sums = deltas.groupBy("id").agg(*[F.sum(c).alias(f"_{c}") for c in counters], F.max(last).alias("_last"))
@@ -84,6 +98,24 @@ def stale_ids(deps: DataFrame, files: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.bool_or(bad).alias("stale")).filter("stale").select("id")
 
 
+def commit_reason(commit: Column, current: Column) -> Column:
+    """Why a slice's commit keeps it from being used beside the current one; null where it is the same."""
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
+    return F.when(none(current), "current_commit_unknown").when(none(commit), "commit_unknown").when(commit != current, "stale_commit")
+
+
+def first_facts(facts: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
+    """Facts that are the first of their order under each of their identity keys; ones without a key stay.
+
+    A fact that shares any key with an earlier one goes, whether that one stays or not.
+    """
+    key = F.explode(F.array_compact(F.array(*[F.when(F.coalesce(F.trim(k), F.lit("")) != "", F.concat(F.lit(f"{k}:"), F.lower(F.trim(k)))) for k in keys])))
+    rows = facts.select(order, key.alias("key"))
+    first = rows.groupBy("key").agg(F.min(order).alias("_first"))
+    late = rows.join(first, "key").filter(F.col(order) > F.col("_first")).select(order).distinct()
+    return facts.join(late, order, "left_anti")
+
+
 def blacklisted(rejections: DataFrame, now: int, window: int, limit: int) -> DataFrame:
     """Slices with as many rejections within the window."""
     return rejections.filter(F.col("at") >= now - window).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)

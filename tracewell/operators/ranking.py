@@ -4,25 +4,54 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A table of so many narrow rows or fewer is broadcast.
+FEW = 200_000
+
 
 def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir; one of our own where none is set."""
+    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir; one of our own only where all runs in one process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tracewell-"))
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A kept table, marked for broadcast if its rows, counted here, are `most` or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def sums_before(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """Adds the sum of a value over the rows of a group that come before in an order without ties.
+
+    Ranges of (group, order) are summed up alone, then one row a group and range together.
+    """
+    dealt = _ranges(rows.withColumn("_v", value), [*by, order])
+    whole = dealt.groupBy(*by, "_p").agg(F.sum("_v").alias("_s"))
+    upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = whole.select(*by, "_p", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_s"))
+    own = Window.partitionBy(*by, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    met = dealt.withColumn("_own", F.coalesce(F.sum("_v").over(own), F.lit(0))).join(starts, [*by, "_p"])
+    return met.withColumn(name, F.col("_own") + F.col("_s")).drop("_p", "_v", "_own", "_s")
+
+
 def global_rank(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """Adds the place of each row in an ascending order: ranges are ranked alone and offset by their counts.
 
     The dealt rows are written out once, so that counts and places see the same ranges.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = kept(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    dealt = _ranges(rows, order)
     counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # one row a range
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))

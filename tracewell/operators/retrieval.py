@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
-from tracewell.operators.ranking import kept
+from tracewell.operators.ranking import kept, small
 
 K1, B = 1.2, 0.75
 
@@ -24,19 +29,24 @@ def query_terms(queries: DataFrame, tokenize=T.tokens) -> DataFrame:
     return queries.select("query_id", F.array_distinct(tokenize(F.col("text"))).alias("terms")).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame | None = None, tokenize=T.tokens) -> DataFrame:
-    """scope, doc_id, dl, term, tf of docs (scope, doc_id, text); only the asked terms are counted and shuffled."""
-    rows = docs.select("scope", "doc_id", tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens")).filter("dl > 0")
-    rows = rows.select("scope", "doc_id", "dl", F.explode("tokens").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("scope", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: Stands for a document itself among its terms; no tokenizer gives it.
+_WHOLE = "\0"
 
 
-def scope_stats(docs: DataFrame, tokenize=T.tokens) -> DataFrame:
-    """scope, n, avgdl over documents that have a token."""
-    sizes = docs.select("scope", F.size(tokenize(F.col("text"))).alias("dl")).filter("dl > 0")
-    return sizes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+def term_counts(docs: DataFrame, terms: DataFrame, tokenize=T.tokens) -> tuple[DataFrame, DataFrame]:
+    """(scope, doc_id, dl, term, tf) of the asked terms (a column term), and (scope, n, avgdl) over documents with a token.
+
+    Each document of docs (scope, doc_id, text) is tokenized once: only asked terms, and one row that stands for the
+    document, are counted, shuffled and kept.
+    """
+    rows = docs.select("scope", "doc_id", tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens")).filter("dl > 0")
+    rows = rows.select("scope", "doc_id", "dl", F.explode(F.concat(F.array(F.lit(_WHOLE)), "tokens")).alias("term"))
+    whole = terms.sparkSession.range(1).select(F.lit(_WHOLE).alias("term"))
+    asked = small(kept(terms.select("term").distinct().unionByName(whole)))
+    found = kept(rows.join(asked, "term", "left_semi").groupBy("scope", "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    mark = F.col("term") == _WHOLE
+    stats = found.filter(mark).groupBy("scope").agg(F.count(F.lit(1)).alias("n"), (F.sum("dl") / F.count(F.lit(1))).alias("avgdl"))
+    return found.filter(~mark), stats
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -49,11 +59,12 @@ def bm25(docs: DataFrame, queries: DataFrame, tokenize=T.tokens, digits: int = 6
     Statistics are those of the document's scope. Scores are rounded so that ranks don't hang on the order
     of additions.
     """
-    terms = query_terms(queries, tokenize)
-    found = term_counts(docs, terms, tokenize)
-    df = found.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    met = found.join(df, ["scope", "term"]).join(scope_stats(docs, tokenize), "scope").join(terms, "term")
-    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    terms = kept(query_terms(queries, tokenize))
+    found, stats = term_counts(docs, terms, tokenize)
+    # One row a scope and asked term, so a common term is no hot key where these are few.
+    weights = small(kept(found.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df")).join(stats, "scope").select("scope", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")))
+    met = found.join(weights, ["scope", "term"]).join(small(terms), "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "scope", "doc_id").agg(F.round(F.sum(part), digits).alias("score"), F.count(F.lit(1)).alias("n_matched"), F.first("n_terms").alias("n_terms"))
 
 
@@ -108,33 +119,99 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(a) != F.size(b)) | (size == 0), 0.0).otherwise(dot(a, b) / size)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """Exact search: each query (query_id, q) against all vectors (vec_id, embedding) of its dimension.
+def vector_scores(queries: DataFrame, vectors: DataFrame, score) -> DataFrame:
+    """(query_id, vec_id, score): a stated query set (query_id, q) against all vectors (vec_id, embedding) of its dimension.
 
-    A stated query set meets every row once, in as many blocks of vectors as there are partitions: vectors
-    are dealt out by id, queries go to each block. A block's ranks are cut at k before they meet.
+    Each query meets every row once, in as many blocks of vectors as there are partitions: vectors are dealt out
+    by id, queries go to each block.
     """
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = vectors.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"))
     asked = queries.select("query_id", "q", F.size("q").alias("dim"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block"))
-    scored = dealt.join(asked, ["dim", "block"]).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), digits).alias("score"))
-    return top(scored, k, by=("query_id",), tie="vec_id")
+    return dealt.join(asked, ["dim", "block"]).select("query_id", "vec_id", score(F.col("q"), F.col("embedding")).alias("score"))
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """Exact search by scalar products. A block's ranks are cut at k before they meet."""
+    return top(vector_scores(queries, vectors, lambda q, v: F.round(dot(q, v), digits)), k, by=("query_id",), tie="vec_id")
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, dim: int, k: int, tables: int = 48, bits: int = 6, seed: int = 42) -> DataFrame:
-    """Approximate search: sign bits of seeded directions make keys, equal keys meet, candidates are scored exactly."""
-    import random
+class Cells(NamedTuple):
+    """An index by cells: unit centroids, how many cells a query probes, and the recall that gave on the sample."""
 
-    rng = random.Random(seed)
-    planes = [[[rng.gauss(0, 1) for _ in range(dim)] for _ in range(bits)] for _ in range(tables)]
+    centroids: np.ndarray
+    probes: int
+    recall: float
 
-    def keys(v: Column) -> Column:
-        sign = lambda p: F.when(dot(v, F.array(*map(F.lit, p))) >= 0, "1").otherwise("0")
-        return F.explode(F.array(*[F.concat(F.lit(f"{t}:"), *map(sign, ps)) for t, ps in enumerate(planes)])).alias("key")
 
-    left, right = queries.select("query_id", "q", keys(F.col("q"))), vectors.select("vec_id", "embedding", keys(F.col("embedding")))
-    pairs = left.select("query_id", "key").join(right.select("vec_id", "key"), "key").select("query_id", "vec_id").distinct()
-    scored = pairs.join(queries, "query_id").join(vectors, "vec_id").select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
+#: Vectors, those of the least hashed ids, that cells are fitted to, and queries among them that probes are measured with.
+SAMPLE, MEASURED = 20_000, 200
+#: Recall that probes have to reach on the sample; a whole table, in which the nearest are nearer, has more.
+RECALL = 0.95
+
+
+def _nearness(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return rows @ centroids.T
+
+
+def fit_cells(rows: np.ndarray, k: int, recall: float = RECALL, rounds: int = 8) -> Cells:
+    """Spherical k-means over a sample, and the fewest probes that find so much of the exact k best rows of its queries."""
+    n = max(1, min(256, round(len(rows) ** 0.5)))
+    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    centroids = unit[np.linspace(0, len(unit) - 1, n).astype(int)].copy()
+    for _ in range(rounds):
+        home = _nearness(unit, centroids).argmax(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, home, unit)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centroids)
+    home = _nearness(unit, centroids).argmax(axis=1)
+    asked = rows[: min(MEASURED, len(rows))]
+    best = np.argsort(-(asked @ rows.T), axis=1, kind="stable")[:, :k]
+    turn = np.argsort(np.argsort(-_nearness(asked, centroids), axis=1, kind="stable"), axis=1, kind="stable")  # the turn at which a query probes a cell
+    found = np.take_along_axis(turn, home[best], axis=1)
+    for probes in range(1, n + 1):
+        got = float((found < probes).mean())
+        if got >= recall:
+            break
+    return Cells(centroids, probes, got)
+
+
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, sample: int = SAMPLE, recall: float = RECALL, digits: int = 6) -> DataFrame:
+    """Approximate search of each query (query_id, q) in vectors (vec_id, embedding), by cells and with exact scores.
+
+    Cells and probes are fitted to a bounded sample on the driver; every vector is put into its nearest cell, each query
+    goes to the cells that it probes, dealt out in blocks so that a large cell is no hot key. Vectors of another
+    dimension than most of the sample have a cell of their own, which queries of that dimension search in full.
+    """
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = vectors.filter("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()["embedding"]
+    sizes = Counter(map(len, some))
+    dim = max(sizes, key=lambda d: (sizes[d], d), default=0)
+    rows = np.array([x for x in some if len(x) == dim], np.float64).reshape(-1, dim)
+    cells = fit_cells(rows, k, recall) if len(rows) and dim else Cells(np.zeros((1, dim)), 1, 1.0)
+
+    def near(column: str, probes: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [[-1 - len(x)] for x in batch.column(column).to_pylist()]
+                mine = [i for i, x in enumerate(found) if x[0] == -1 - dim]
+                if mine and dim:
+                    flat = batch.column(column).take(pa.array(mine)).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+                    for i, x in zip(mine, np.argsort(-_nearness(flat, cells.centroids), axis=1, kind="stable")[:, :probes].tolist(), strict=True):
+                        found[i] = x
+                yield batch.append_column("cells", pa.array(found, pa.list_(pa.int32())))
+
+        return run
+
+    def placed(df: DataFrame, id_: str, column: str, probes: int) -> DataFrame:
+        narrow = df.select(id_, column).filter(F.col(column).isNotNull())
+        kinds = ", ".join(f"{c} {t}" for c, t in narrow.dtypes)
+        return narrow.mapInArrow(near(column, probes), f"{kinds}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+
+    dealt = placed(vectors, "vec_id", "embedding", 1).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)))
+    asked = placed(queries, "query_id", "q", cells.probes).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    scored = dealt.join(asked, ["cell", "block"]).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), digits).alias("score"))
     return top(scored, k, by=("query_id",), tie="vec_id")
 
 
@@ -172,18 +249,24 @@ def set_members(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Pairs (a, b, jaccard) of documents whose token sets have the likeness, by prefix filtering.
 
-    Tokens are ordered from rare to common; two sets of that likeness share one of their first
-    n - ceil(threshold n) + 1 tokens, so only those meet. Documents with one token set are one row first, the
-    least; set_members has the others.
+    Tokens are ordered from rare to common; of two sets of that likeness the longer one's first n - ceil(threshold n) + 1
+    tokens meet the shorter one's first n - ceil(2 threshold n / (1 + threshold)) + 1, so only those are joined. What
+    follows the first token in common bounds how many there can be, so most pairs fall out in the join. Documents with
+    one token set are one row first, the least; set_members has the others.
     """
     reps = _token_sets(docs).groupBy("set_id", "set_id2").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
     reps = kept(reps.select("doc_id", "tokens"))  # read four times below
     freq = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     ranked = reps.select("doc_id", F.explode("tokens").alias("token")).join(freq, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("order"))
-    keep = (F.size("order") - F.ceil(F.size("order") * threshold) + 1).cast("int")
-    prefix = ranked.select("doc_id", F.size("order").alias("n"), F.explode(F.slice("order", F.lit(1), keep)).alias("t")).select("doc_id", "n", "t.token")
-    a, b = prefix.toDF("a", "na", "token"), prefix.toDF("b", "nb", "token")
-    met = a.join(b, "token").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    head = lambda share: (F.size("order") - F.ceil(F.size("order") * share - 1e-9) + 1).cast("int")
+    first = F.transform(F.slice("order", F.lit(1), head(threshold)), lambda t, i: F.struct(i.alias("at"), F.xxhash64(t["token"]).alias("key")))
+    prefix = kept(ranked.select("doc_id", F.size("order").alias("n"), head(2 * threshold / (1 + threshold)).alias("short"), first.alias("t")))
+    rows = prefix.select("doc_id", "n", "short", F.inline("t"))
+    shorter, longer = rows.filter("at < short").select("key", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix")), rows.select("key", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    in_order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    need = threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-9
+    fits = (F.col("nx") >= threshold * F.col("ny") - 1e-9) & (F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= need)
+    met = shorter.join(longer, "key").filter(in_order & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = reps.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), reps.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     both = met.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
     jaccard = F.col("common") / (F.size("ta") + F.size("tb") - F.col("common"))

@@ -25,8 +25,11 @@ def prompts(lines: DataFrame, session: str = "conv_id", order: str = "turn") ->
 
 
 def results(lines: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Each session's last assistant line."""
-    return lines.filter("role = 'assistant'").groupBy(session).agg(F.max_by("text", order).alias("text"), F.max(order).alias("at"))
+    """Each session's last assistant line without tool calls (column has_calls, where there is one)."""
+    own = F.col("role") == "assistant"
+    if "has_calls" in lines.columns:
+        own = own & ~F.coalesce("has_calls", F.lit(False))
+    return lines.filter(own).groupBy(session).agg(F.max_by("text", order).alias("text"), F.max(order).alias("at"))
 
 
 def last_user_text(lines: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
@@ -69,11 +72,14 @@ def pair_results(tool_calls: DataFrame, found: DataFrame) -> DataFrame:
     return call.join(first, ["session", "call_id"], "left")
 
 
-def latest_verified(events: DataFrame, mutation: Column, check: Column, passed: Column) -> DataFrame:
-    """(session, verified): whether the latest check passed and came after the latest change."""
-    seq = events
-    return seq.groupBy("session").agg(
-        F.max(F.when(mutation, F.col("seq"))).alias("changed"), F.max(F.when(check, F.col("seq"))).alias("checked"), F.max_by(F.when(check, passed), F.when(check, F.col("seq"))).alias("passed")
+def latest_verified(events: DataFrame, mutation: Column, check: Column, passed: Column, pending: Column | None = None) -> DataFrame:
+    """(session, verified): whether the latest check passed, came after the latest change, and no call after it still waits.
+
+    pending tells a call without a result: it may change anything, so a check before it says nothing.
+    """
+    waits = F.lit(False) if pending is None else pending
+    return events.groupBy("session").agg(
+        F.max(F.when(mutation | waits, F.col("seq"))).alias("changed"), F.max(F.when(check & ~waits, F.col("seq"))).alias("checked"), F.max_by(F.when(check & ~waits, passed), F.when(check & ~waits, F.col("seq"))).alias("passed")
     ).select("session", (F.coalesce("passed", F.lit(False)) & (F.coalesce("checked", F.lit(0)) > F.coalesce("changed", F.lit(0)))).alias("verified"))
 
 
@@ -98,6 +104,21 @@ def slices(lines: DataFrame, session: str = "conv_id", order: str = "turn") -> D
     return rows.groupBy("id").agg(F.first("kind").alias("kind"), F.min("session").alias("session"), F.first("content").alias("content"))
 
 
+def history_documents(lines: DataFrame, wrong: Column, session: str = "conv_id", order: str = "turn") -> DataFrame:
+    """(id, session, order, kind, text): what a session's history is searched by: a document a line; a tool line that
+    looks like an error is two, tool_error and tool_output. Ids are of the session, place and kind."""
+    kinds = F.when(wrong, F.array(F.lit("tool_error"), F.lit("tool_output"))).otherwise(F.array("role"))
+    rows = lines.select(F.col(session).alias("session"), F.col(order).alias("order"), F.explode(kinds).alias("kind"), "text")
+    return rows.withColumn("id", F.concat_ws(":", F.col("session").cast("string"), F.col("order").cast("string"), "kind"))
+
+
+def history_filter(docs: DataFrame, kinds: tuple[str, ...] = (), tool: str = "", roots: tuple[str, ...] = (), scope: str = "") -> DataFrame:
+    """History documents of some kinds, one tool, some roots and one scope; what isn't given asks for nothing."""
+    for column, wanted in (("kind", kinds), ("tool", (tool,) if tool else ()), ("root", roots), ("scope", (scope,) if scope else ())):
+        docs = docs.filter(F.col(column).isin(*wanted)) if wanted else docs
+    return docs
+
+
 def pipeline_counts(lines: DataFrame, session: str = "conv_id", order: str = "turn") -> DataFrame:
     """(session, prompts, results): what ingesting a transcript stores of each session."""
     p = prompts(lines, session, order).groupBy(session).agg(F.count(F.lit(1)).alias("prompts"))

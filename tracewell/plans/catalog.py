@@ -34,6 +34,16 @@ def _(t):
     return rows.groupBy(C.age_group(F.col("ts"), F.expr("timestamp_ntz'2024-01-20 15:00:00'")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_NOW = "timestamp '2024-01-20 15:00:00'"
+
+
+@query("time_filters", f"select event_id, ts >= date_trunc('day', {_NOW}) and ts <= {_NOW} \"today\", ts >= date_trunc('day', {_NOW}) - interval 1 day and ts < date_trunc('day', {_NOW}) \"yesterday\", ts >= {_NOW} - interval 7 days and ts <= {_NOW} \"week\", ts >= {_NOW} - interval 30 days and ts <= {_NOW} \"month\", ts >= {_NOW} - interval 150 minutes and ts <= {_NOW} \"span\" from events")
+def _(t):
+    now = F.expr("timestamp_ntz'2024-01-20 15:00:00'")
+    names = {"today": "today", "yesterday": "yesterday", "week": "week", "month": "month", "2h30m": "span"}
+    return t("events").select("event_id", *[C.since(F.col("ts"), now, w).alias(n) for w, n in names.items()])
+
+
 @query("task_filters", "select event_id, user_id from events where event_type in ('error', 'click') and props like '%7%'")
 def _(t):
     return t("events").filter(F.col("event_type").isin("error", "click") & F.col("props").contains("7")).select("event_id", "user_id")

@@ -42,25 +42,58 @@ def _(t):
     return _l3(t).select("query_id", "doc_id", "zone", "reason", "winner")
 
 
-@query("l3_counters", _L3 + " select count(*) candidates, count(*) filter (zone = 'grey') grey, count(*) filter (reason = 'rules_reject') rules_reject, count(*) filter (reason in ('judge_reject', 'no_judge')) judge_reject, count(*) filter (reason = 'isolated') isolated, count(*) filter (reason = 'fingerprint') fingerprint, count(*) filter (winner) reused from l3")
+@query("l3_counters", _L3.replace("l3 as (select query_id, doc_id, zone, reason,", "l3 as (select query_id, doc_id, zone, reason, judge and zone <> 'miss' asked, judged,") + """ select count(*) candidates, count(distinct query_id) lookups, count(*) filter (zone = 'hit') hit, count(*) filter (zone = 'grey') grey, count(*) filter (zone = 'miss') miss, count(*) filter (asked) judge_called, count(*) filter (asked and judged = 'yes') judge_approved,
+count(*) filter (reason = 'judge_reject') judge_reject, 0::bigint judge_error, count(*) filter (reason = 'no_judge') no_judge, count(*) filter (reason = 'rules_reject') rules_reject, count(*) filter (reason = 'isolated') isolated, count(*) filter (reason = 'fingerprint') fingerprint, count(*) filter (winner) reused from l3""")
 def _(t):
-    n = F.count_if
-    return _l3(t).agg(
-        F.count(F.lit(1)).alias("candidates"), n(F.col("zone") == "grey").alias("grey"), n(F.col("reason") == "rules_reject").alias("rules_reject"), n(F.col("reason").isin("judge_reject", "no_judge")).alias("judge_reject"),
-        n(F.col("reason") == "isolated").alias("isolated"), n(F.col("reason") == "fingerprint").alias("fingerprint"), n(F.col("winner")).alias("reused"),
-    )
+    return D.l3_counters(_l3(t))
+
 
+@query("l3_learned_threshold", _L3.replace("zone from g where", "zone0, score / rt share from g where").replace("j as (select *,", "z1 as (select *, case when share < least(0.6 + doc_id % 4 / 10.0::double, 0.8) then 'miss' else zone0 end zone from z), j as (select *,").replace(" judge from z)", " judge from z1)") + " select query_id, doc_id, zone, reason, winner from l3")
+def _(t):
+    """Entries with lower thresholds of their own, as online feedback has learned them."""
+    rows = hits(t).withColumn("created", F.lit(1)).withColumn("lexical", F.col("coverage"))
+    return D.l3_decisions(rows, tau_low=0.6 + F.col("doc_id") % 4 / 10.0).select("query_id", "doc_id", "zone", "reason", "winner")
 
-_ADM = HITS + """, ks as (select kind, count(distinct doc_id) sources from x group by kind), a as (select *, kind in ('result', 'memory') and not (kind = 'result' and status <> 'verified') and origin <> 'import' and not stale eligible from x join ks using (kind)),
+
+_KINDS = f"ks as (select {_KIND} kind, count(*) n, count(distinct source) sources from documents group by 1)"
+_ADM = HITS + f""", {_KINDS}, a as (select x.*, sources, kind in ('result', 'memory') and not (kind = 'result' and status <> 'verified') and origin <> 'import' and not stale eligible from x join ks using (kind)),
 b5 as (select *, row_number() over w rk, sum(eligible::int) over w e from a window w as (partition by query_id order by score desc, doc_id)), c5 as (select *, coalesce(max(score) filter (eligible and e = 1) over (partition by query_id), 0) top1, coalesce(max(score) filter (eligible and e = 1) over (partition by query_id) - max(score) filter (eligible and e = 2) over (partition by query_id), 0) top_margin from b5 where case when eligible then e <= 5 else rk <= 5 end),
 d5 as (select *, case when score <= 0 or top1 <= 0 or top1 < 0.45 then 'miss' when score / top1 >= 0.8 and top1 >= 0.7 then 'hit' when score / top1 >= 0.55 then 'grey' else 'miss' end zone from c5),
 adm as (select query_id, doc_id, score, rk, eligible, round(top_margin, 6) top_margin, zone, case when kind not in ('result', 'memory') then 'type_not_allowed' when kind = 'result' and status <> 'verified' then 'result_probation' when origin = 'import' then 'origin_below_floor' when stale then 'freshness' when sources < 2 then 'type_sources_too_few' when coverage < 0.2 then 'coverage_low' when zone = 'miss' then 'zone_miss' when zone = 'grey' then 'zone_grey' else 'admitted' end reason from d5)"""
 
 
-def _admission(t):
-    h = hits(t)
-    sources = h.groupBy("kind").agg(F.countDistinct("doc_id").alias("sources"))
-    return D.admission(h.join(sources, "kind"), 5, 0.2, 2, ("result", "memory"))
+def _library(t):
+    kind = F.element_at(F.array(*map(F.lit, ("prompt", "result", "memory", "result"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return D.library_gates(t("documents").select(kind.alias("kind"), F.col("source").alias("session")))
+
+
+def _admission(t, gates=D.Gates(("result", "memory"), 2, sources=2, coverage=0.2)):
+    return D.admission(hits(t).join(t("documents").select("doc_id", F.col("text").alias("content")), "doc_id"), _library(t), gates)
+
+
+_STRICT = _ADM.replace("not stale eligible", "not stale and not (kind = 'memory' and doc_id % 8 = 2) eligible").replace("adm as (select", """strict as (select query_id, doc_id, eligible, case when kind not in ('result', 'memory') then 'type_not_allowed' when kind = 'result' and status <> 'verified' then 'result_probation' when origin = 'import' then 'origin_below_floor' when stale then 'freshness'
+when max(case when eligible and e = 2 then 1 else 0 end) over (partition by query_id) = 0 then 'runner_up_missing' when top_margin < 0.5 then 'top_margin_low' when score < 4 then 'below_min_score' when coverage < 0.1 then 'coverage_low' when kind = 'memory' and doc_id % 8 = 2 then 'task_type_mismatch' when zone = 'miss' then 'zone_miss' else 'admitted' end reason from d5),
+adm as (select""")
+
+
+@query("admission_strict", _STRICT + " select query_id, doc_id, eligible, reason from strict")
+def _(t):
+    """All gates at once, grey hits let in: runner-up, margin, score, coverage and the task that a card is tagged with."""
+    tag = F.concat(F.lit("Plan (task="), F.when(F.col("doc_id") % 8 == 2, "docs").otherwise("bugfix"), F.lit("):\n"), "text")
+    rows = hits(t).join(t("documents").select("doc_id", tag.alias("content")), "doc_id")
+    gates = D.Gates(("result", "memory"), 2, "bugfix", 100, 2, True, 0.5, 4.0, 0.1, True)
+    return D.admission(rows, _library(t), gates).select("query_id", "doc_id", "eligible", "reason")
+
+
+@query("library_too_small", _ADM + " select query_id, doc_id, case when reason in ('type_not_allowed', 'result_probation', 'origin_below_floor', 'freshness') then reason else 'library_too_small' end reason from adm")
+def _(t):
+    return _admission(t, D.Gates(("result", "memory"), 2, library=1 << 40)).select("query_id", "doc_id", "reason")
+
+
+@query("task_tags", "select doc_id, case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then 'bug-fix_2' else 'docs' end tag from documents")
+def _(t):
+    head = F.when(F.col("doc_id") % 3 == 0, "No tag").when(F.col("doc_id") % 3 == 1, "Plan (task=bug-fix_2):").otherwise("Outcome task=docs. X")
+    return t("documents").select("doc_id", D.T.task_tag(F.concat(head, F.lit("\ntask=later "), F.coalesce("text", F.lit("")))).alias("tag"))
 
 
 @query("admission_reasons", _ADM + " select query_id, doc_id, eligible, top_margin, zone, reason from adm")

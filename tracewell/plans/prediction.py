@@ -29,6 +29,13 @@ def _(t):
     return P.plan(P.matrix(S.calls(t("events"))), None, 512, 2000, 3, 0.2).select("prev", "next", "prob", "rank")
 
 
+@query("prefetch_read_only", f"with {_M}, d as (select event_type x, 'click' y from events where value > 495 group by 1) select prev, next, prob, (row_number() over (partition by prev order by prob desc, next))::int rank from mp where prob >= 0.15 and next in ('view', 'click', 'error') and (prev, next) not in (select (x, y) from d) qualify rank <= 3")
+def _(t):
+    """Only tools that read, without pairs that feedback has demoted."""
+    bad = t("events").filter("value > 495").select(F.col("event_type").alias("prev"), F.lit("click").alias("next")).distinct()
+    return P.plan(P.matrix(S.calls(t("events"))), ("view", "click", "error"), 512, 2000, 3, 0.15, bad).select("prev", "next", "prob", "rank")
+
+
 @query("prefetch_coverage", f"with {_M}, p as (select prev, next from mp where prob >= 0.2 qualify row_number() over (partition by prev order by prob desc, next) <= 3) select tool, count(*) n, count(p.next) covered, round(count(p.next) / count(*), 6) share from n left join p on tool = prev and nx = p.next where nx is not null group by tool")
 def _(t):
     calls = S.calls(t("events"))
@@ -63,8 +70,7 @@ def _(t):
 def _(t):
     """Least, upper median and greatest learned threshold, and how many entries and adjustments there are."""
     rows = B.adaptive_tau(usage(t).withColumn("bad", F.col("k") % 15 == 0), "session", ["ts", "event_id"], "bad")
-    taus = F.sort_array(F.collect_list("tau_low"))
-    return rows.agg(F.min("tau_low").alias("least"), F.get(taus, F.floor(F.size(taus) / 2).cast("int")).alias("median"), F.max("tau_low").alias("most"), F.count(F.lit(1)).alias("entries"), F.sum("n_adjust").alias("adjustments"))
+    return B.tau_summary(rows)
 
 
 @query("evolve_params")

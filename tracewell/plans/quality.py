@@ -60,6 +60,20 @@ def _(t):
     return Q.prune_plan(rows, NOW, 60).select("id", F.array_join("reasons", ",").alias("reasons"), F.coalesce("retained", F.lit(-1)).alias("retained"))
 
 
+_PROTECTED = f"""{SLICES}, p as (select *, case when id % 23 = 0 then 'odd' else kind end k2, case id % 6 when 0 then 'user-curated' when 1 then 'import' when 2 then 'elsewhere' when 3 then 'session-auto' else '' end origin, case when id % 29 = 0 then 'verified' when id % 31 = 0 then 'lost' when id % 2 = 0 then 'probation' else '' end status, id % 37 = 0 useful from s),
+pr as (select id, k2 = 'odd' or created <= 0 or created >= {NOW} - 30 * 86400 or last_used >= {NOW} - 30 * 86400 or ((hits > 0 or injected > 0) and last_used = 0) or origin in ('user-curated', 'elsewhere') or feedback > 0 or useful or status in ('verified', 'lost') protected from p)"""
+
+
+@query("prune_protected", f"with {_PROTECTED} select id, protected from pr")
+def _(t):
+    """The whole rule of what pruning leaves alone."""
+    i = F.col("id")
+    origin = F.element_at(F.array(*map(F.lit, ("user-curated", "import", "elsewhere", "session-auto", "", ""))), (i % 6 + 1).cast("int"))
+    status = F.when(i % 29 == 0, "verified").when(i % 31 == 0, "lost").when(i % 2 == 0, "probation").otherwise("")
+    rows = slices(t).withColumn("kind", F.when(i % 23 == 0, "odd").otherwise(F.col("kind"))).withColumn("origin", origin).withColumn("result_status", status).withColumn("useful", (i % 37 == 0).cast("int"))
+    return rows.select("id", Q.protected(NOW, 30).alias("protected"))
+
+
 @query("exact_duplicates", "select sha256(coalesce(text, '')) content_sha256, count(*) n, min(doc_id) keep_id from documents group by coalesce(text, '') having count(*) > 1")
 def _(t):
     return t("documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("keep_id")).filter("n > 1")
@@ -122,6 +136,20 @@ def _(t):
     return Q.shadowed(s.filter("(id - 1000000) % 2 = 0"), s, ["name"]).select("id")
 
 
+@query("commit_freshness", "select doc_id, case when doc_id % 5 = 0 then 'commit_unknown' when doc_id % 5 < 3 then 'stale_commit' else 'same' end reason from documents")
+def _(t):
+    i = F.col("doc_id")
+    commit = F.when(i % 5 == 0, "").when(i % 5 < 3, "old").otherwise("new")
+    return t("documents").select("doc_id", F.coalesce(Q.commit_reason(commit, F.lit("new")), F.lit("same")).alias("reason"))
+
+
+@query("first_facts", "with f as (select p_partkey id, lower(p_name) a, p_type b from part), w as (select *, min(id) over (partition by a) x, min(id) over (partition by lower(b), id // 40) y from f) select id from w where id = x and id = y")
+def _(t):
+    """Of parts of one name, or of one type among forty neighbours, the first stays."""
+    b = F.concat_ws("/", "p_type", F.floor(F.col("p_partkey") / 40).cast("string"))
+    return Q.first_facts(t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), b.alias("subject")), ["name", "subject"]).select("id")
+
+
 @query("redact_counts", r"""with r as (select doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9]{20,}', '[REDACTED_KEY]', 'g'), 'AKIA[0-9A-Z]{16}', '[REDACTED_KEY]', 'g'), 'ghp_[A-Za-z0-9]{36}', '[REDACTED_KEY]', 'g'), 'xox[baprs]-[A-Za-z0-9-]{10,}', '[REDACTED_KEY]', 'g'), '(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b', '[REDACTED_EMAIL]', 'g'), '(?:/home|/Users)/[A-Za-z0-9_.\-]+', '[REDACTED_PATH]', 'g'), '(?i)C:\\Users\\[A-Za-z0-9_.\-]+', '[REDACTED_PATH]', 'g') x from documents)
 select doc_id, (length(x) - length(text))::bigint grown, len(regexp_extract_all(x, '\[REDACTED_EMAIL\]'))::bigint n_email, sha256(x) text_sha256 from r where x <> text""")
 def _(t):

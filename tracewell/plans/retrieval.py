@@ -101,14 +101,13 @@ def _(t):
 @query("vector_cosine", VEC + ", s as (select query_id, vec_id, round(list_dot_product(q::double[], embedding::double[]) / (sqrt(list_dot_product(q::double[], q::double[])) * sqrt(list_dot_product(embedding::double[], embedding::double[]))), 6) cosine from q join embeddings on len(q) = len(embedding)) select * from s where cosine >= 0.5")
 def _(t):
     q, v = _vectors(t)
-    met = v.join(q, F.size("q") == F.size("embedding"))
-    return met.select("query_id", "vec_id", F.round(R.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine")).filter("cosine >= 0.5")
+    return R.vector_scores(q, v, lambda a, b: F.round(R.cosine(a, b), 6)).withColumnRenamed("score", "cosine").filter("cosine >= 0.5")
 
 
 @query("vector_ann")
 def _(t):
     q, v = _vectors(t)
-    return R.lsh_topk(q, v, 64, 10)
+    return R.ann_topk(q, v, 10)
 
 
 HASHED = r"""with {q}

@@ -93,12 +93,34 @@ def _(t):
     return S.slices(t("conversations")).select("id", "kind", "session")
 
 
-@query("history_documents", """with k as (select conv_id, turn, text, unnest(case when text like '%error%' or length(text) < 40 then ['tool_error', 'tool_output'] else [role] end) kind from conversations) select kind, count(*) n, sum(length(text))::bigint chars from k group by kind""")
+_HIST = """k as (select conv_id, turn, role, text, unnest(case when text like '%error%' or length(text) < 40 then ['tool_error', 'tool_output'] else [role] end) kind from conversations)"""
+
+
+def _history(t):
+    return S.history_documents(t("conversations"), F.col("text").contains("error") | (F.length("text") < 40))
+
+
+@query("history_documents", f"with {_HIST} select conv_id || ':' || turn || ':' || kind id, conv_id session, turn \"order\", kind, sha256(text) text_sha256 from k")
 def _(t):
     """A line that looks like an error counts both as an error and as output."""
-    wrong = F.col("text").contains("error") | (F.length("text") < 40)
-    kinds = F.when(wrong, F.array(F.lit("tool_error"), F.lit("tool_output"))).otherwise(F.array("role"))
-    return t("conversations").select(F.explode(kinds).alias("kind"), "text").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars"))
+    return _history(t).select("id", "session", "order", "kind", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("history_filter", f"with {_HIST} select conv_id || ':' || turn || ':' || kind id from k where kind in ('user', 'tool_error') and conv_id % 3 in (0, 1) and turn % 2 = 0")
+def _(t):
+    docs = _history(t).withColumn("root", (F.col("session") % 3).cast("string")).withColumn("scope", F.when(F.col("order") % 2 == 0, "project").otherwise("global"))
+    return S.history_filter(docs, ("user", "tool_error"), roots=("0", "1"), scope="project").select("id")
+
+
+@query("final_result_without_calls", "select conv_id, max(turn) line from conversations where role = 'assistant' and turn % 4 <> 1 group by conv_id")
+def _(t):
+    return S.results(t("conversations").withColumn("has_calls", F.col("turn") % 4 == 1)).select("conv_id", F.col("at").alias("line"))
+
+
+@query("verification_with_pending_calls", f"with {_CALLS}, w as (select *, event_id % 9 = 0 p from c), m as (select session, max(seq) filter (tool = 'purchase' or p) changed, max(seq) filter (tool in ('signup', 'error') and not p) checked, arg_max(tool = 'signup', seq) filter (tool in ('signup', 'error') and not p) passed from w group by session) select session, coalesce(passed, false) and coalesce(checked, 0) > coalesce(changed, 0) verified from m")
+def _(t):
+    tool = F.col("tool")
+    return S.latest_verified(S.calls(t("events")), tool == "purchase", tool.isin("signup", "error"), tool == "signup", F.col("event_id") % 9 == 0)
 
 
 @query("library_totals", f"with {_TURNS}, p as (select conv_id, text from t where role = 'user' and trim(text) <> '' qualify row_number() over (partition by conv_id, turn_no order by turn) = 1) select count(distinct text) n_slices, count(distinct conv_id) n_sessions from p")
