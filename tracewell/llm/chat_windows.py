@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sentencepieces
-from .common import ranged, table
+from .common import stored, table
 
 #: Tokens that a window holds, and turns and tokens that it may repeat.
 BUDGET = 1_024
@@ -129,33 +129,47 @@ _WINDOW = "window long, tokens long, n_turns int, text string, mask array<struct
 _KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())]
 
 
-def _costed(rows: DataFrame, model: bytes | None) -> DataFrame:
-    """Adds _cost: a turn's tokens by the model, or by the estimate without one, and its marks'."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = sentencepieces.plain(model)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            yield batch.append_column("_cost", pa.array(pieces.counts(texts) + MARK_TOKENS, pa.int64()))
-
+def _costs(texts: list[str], model: bytes | None) -> list[int]:
+    """Tokens of texts by the model, or an estimate without one, and their marks'."""
     if model is None:
-        words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-        return rows.withColumn("_cost", (F.greatest(words, F.ceil(F.length("text") / 4)) + MARK_TOKENS).cast("long"))
-    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, _cost long")
+        return [max(len(t.split()), -(-len(t) // 4)) + MARK_TOKENS for t in texts]
+    return (sentencepieces.plain(model).counts(texts) + MARK_TOKENS).tolist()
+
 
+def _segments(rows: DataFrame, size: int, model: bytes | None) -> DataFrame:
+    """Adds _cost, _number (a turn's place in its conversation) and _segment; later segments get the system turn (_again) too.
 
-def _segments(rows: DataFrame, size: int) -> DataFrame:
-    """Adds _number, a turn's place in its conversation, and _segment; later segments get the system turn (_again) too."""
+    Rows are dealt out by ranges of the whole order and summed up as they stream by. Only a range's first conversation
+    goes on from the range before, so what comes before it is a row a range at most, and is broadcast.
+    """
     conv, order = ["_none", "_conv"], ["turn", "role", "text"]
-    dealt = ranged(rows.withColumn("_none", F.col("conv_id").isNull()).withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), [*conv, *order])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, k, total = None, 0, 0
+        for batch in batches:
+            costs = _costs(batch.column("text").to_pylist(), model)
+            places, sums = [], []
+            for key, cost in zip(zip(*(batch.column(c).to_pylist() for c in conv), strict=True), costs, strict=True):
+                if key != now:
+                    now, k, total = key, 0, 0
+                places.append(k)
+                sums.append(total)
+                k, total = k + 1, total + cost
+            for name, x in (("_cost", costs), ("_k", places), ("_s", sums)):
+                batch = batch.append_column(name, pa.array(x, pa.int64()))
+            yield batch
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = rows.withColumn("_none", F.col("conv_id").isNull()).withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    dealt = named.repartitionByRange(n, *conv, *order).sortWithinPartitions(*conv, *order).withColumn("_p", F.spark_partition_id())
+    kinds = ", ".join(f"`{c}` {t}" for c, t in dealt.dtypes)
+    dealt = stored(dealt.mapInArrow(run, f"{kinds}, _cost long, _k long, _s long"))
     whole = dealt.groupBy(*conv, "_p").agg(F.count(F.lit(1)).alias("_n"), F.sum("_cost").alias("_sum"))
     upto = Window.partitionBy(*conv).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = whole.select(*conv, "_p", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("_n", "_sum")])
-    own = Window.partitionBy(*conv, "_p").orderBy(*order)
-    met = dealt.withColumn("_k", F.row_number().over(own) - 1).withColumn("_s", F.coalesce(F.sum("_cost").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    met = met.join(starts, [*conv, "_p"])
-    out = met.select(*rows.columns, *conv, (F.col("_k") + F.col("_n")).alias("_number"), F.floor((F.col("_s") + F.col("_sum")) / size).alias("_segment"), F.lit(False).alias("_again"))
+    starts = whole.select(*conv, "_p", *[F.sum(c).over(upto).alias(c) for c in ("_n", "_sum")]).filter("_n > 0")
+    met = dealt.join(F.broadcast(starts), [*conv, "_p"], "left")
+    before = lambda c: F.coalesce(c, F.lit(0))
+    out = met.select(*rows.columns, "_cost", *conv, (F.col("_k") + before("_n")).alias("_number"), F.floor((F.col("_s") + before("_sum")) / size).alias("_segment"), F.lit(False).alias("_again"))
     later = out.filter("_segment > 0").select(*conv, "_segment").distinct()
     system = out.filter("_number = 0 and role = 'system'").drop("_segment", "_again").join(later, conv).withColumn("_again", F.lit(True))
     return out.unionByName(system)
@@ -207,7 +221,7 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, histo
             yield flush()
 
     role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
-    cut = _segments(_costed(rows.select("conv_id", "turn", role, text), model), size)
+    cut = _segments(rows.select("conv_id", "turn", role, text), size, model)
     dealt = cut.repartition("_none", "_conv", "_segment").sortWithinPartitions("_none", "_conv", "_segment", "_number")
     return dealt.select("conv_id", "_segment", "_number", "role", "text", "_cost", "_again").mapInArrow(run, f"conv_id {kind}, {_WINDOW}")
 
