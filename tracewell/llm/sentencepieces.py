@@ -73,12 +73,13 @@ class _Pairs:
         """Order (_LAST where there is no such piece) and piece."""
         keys = left.astype(np.uint64) * self.n + right.astype(np.uint64)
         at = self._at(keys)
-        rest = np.flatnonzero((self.key[at] != keys) & (self.key[at] != _WHOLE))
+        held = self.key[at]
+        rest = np.flatnonzero((held != keys) & (held != _WHOLE))
         while len(rest):
             at[rest] = at[rest] + 1 & self.mask
-            k = self.key[at[rest]]
+            held[rest] = k = self.key[at[rest]]
             rest = rest[(k != keys[rest]) & (k != _WHOLE)]
-        none = (left < 0) | (right < 0) | (self.key[at] != keys)
+        none = (left < 0) | (right < 0) | (held != keys)
         return np.where(none, _LAST, self.order[at]), self.piece[at]
 
 
@@ -92,9 +93,14 @@ def _salts(at: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return at.astype(np.uint64) * np.uint64(_PLACE) + piece.astype(np.uint64) * np.uint64(_PIECE)
 
 
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the numbers of runs are: each run's start and what follows it, run after run."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 def _draws(keys: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
     """One draw for each place of each text."""
-    place = np.arange(counts.sum(), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
+    place = _within(np.zeros(len(counts), np.int64), counts)
     x = np.repeat(keys, counts) ^ np.uint64(xxhash.xxh64_intdigest(str(seed)))
     x = x + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_PLACE)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -122,27 +128,45 @@ class _Rows:
     def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the numbers of some rows are, and how many each row has."""
         n = self.sizes[rows]
-        return np.arange(n.sum()) + np.repeat(self.starts[rows] - (np.cumsum(n) - n), n), n
+        return _within(self.starts[rows], n), n
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of some rows, and how many each row has."""
+        where, n = self.places(rows)
+        return self.data[where], n
 
 
 class _Splits:
-    """Splits by number: their ids, the salts of the candidates that each met, and those that it leaves out."""
+    """Splits by number: their chunks, ids, the salts of the candidates that each met, and those that it leaves out."""
 
     def __init__(self, sign: list[int]):
-        self.ids, self.met = _Rows(np.int32), _Rows(np.uint64)
-        self.chunk: list[str] = []
-        self.left_out: list[bytes] = []
+        self.ids, self.met, self.left_out, self.chars = _Rows(np.int32), _Rows(np.uint64), _Rows(np.uint64), _Rows(np.uint32)
+        self.chunk = np.zeros(1024, np.int64)
         self.plain: dict[str, int] = {}
         self.next: dict[int, int] = {}
-        self.add([""], [b""], np.array(sign, np.int32), np.array([len(sign)]), np.empty(0, np.uint64), np.zeros(1, np.int64))
-
-    def add(self, chunks: list[str], left_out: list[bytes], ids: np.ndarray, n_ids: np.ndarray, met: np.ndarray, n_met: np.ndarray) -> range:
-        first = self.ids.n
-        self.chunk += chunks
-        self.left_out += left_out
+        self.fixed(np.array(sign, np.int32))
+
+    def chunks(self, new: list[str]) -> np.ndarray:
+        """The numbers of new chunks, by which their characters are found."""
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        first = self.chars.n
+        self.chars.add(np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32), sizes)
+        return np.arange(first, self.chars.n)
+
+    def add(self, chunks: np.ndarray, left_out: np.ndarray, n_left_out: np.ndarray, ids: np.ndarray, n_ids: np.ndarray, met: np.ndarray, n_met: np.ndarray) -> np.ndarray:
+        first, end = self.ids.n, self.ids.n + len(chunks)
+        if end > len(self.chunk):
+            self.chunk = np.concatenate((self.chunk, np.zeros(end, np.int64)))
+        self.chunk[first:end] = chunks
+        self.left_out.add(left_out, n_left_out)
         self.ids.add(ids, n_ids)
         self.met.add(met, n_met)
-        return range(first, self.ids.n)
+        return np.arange(first, end)
+
+    def fixed(self, ids: np.ndarray) -> int:
+        """The number of a split that no draw changes."""
+        none, zero = np.empty(0, np.uint64), np.zeros(1, np.int64)
+        return int(self.add(zero, none, zero, ids, np.array([len(ids)]), none, zero)[0])
 
 
 class Pieces:
@@ -176,32 +200,39 @@ class Pieces:
     def _bytes(self, chars: str) -> list[int]:
         return [self.byte[b] for b in chars.encode()]
 
-    def _learn(self, chunks: list[str], left_out: list[bytes]) -> list[int]:
-        """The numbers of new splits: chunks, and the salts of the candidates that are left out of each.
+    def _learn(self, chunks: np.ndarray, left_out: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of new splits: of chunks by number, and the salts of the candidates that are left out of each.
 
-        They merge in step, each its first candidate, which gives what agendas give.
+        They merge in step, each its first candidate, which gives what agendas give. Either all leave out some
+        candidate or none does.
         """
         numbers = np.zeros(len(chunks), np.int64)
-        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        lengths, starts = self.known.chars.sizes[chunks], np.cumsum(sizes) - sizes
         below = 0
         for width in (4, 8, 12, 16, 24, 40, _STEPPED):
             picked = np.flatnonzero((lengths > below) & (lengths <= width))
             below = width
             for at in range(0, len(picked), 50_000):
                 some = picked[at : at + 50_000]
-                c, out = [chunks[i] for i in some.tolist()], [left_out[i] for i in some.tolist()]
-                numbers[some] = self.known.add(c, out, *self._in_step(c, out, lengths[some], width))
-        return numbers.tolist()
+                given = chunks[some], left_out[_within(starts[some], sizes[some])], sizes[some]
+                numbers[some] = self.known.add(*given, *self._in_step(*given, width))
+        return numbers
 
-    def _in_step(self, chunks: list[str], without: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _in_step(self, chunks: np.ndarray, without: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids, their number for each chunk, salts of the candidates met, and their number for each chunk."""
         n = len(chunks)
         met: list[tuple[np.ndarray, np.ndarray]] = []
         # The salts left out, one row a split; short rows repeat their first.
-        sizes = np.fromiter((len(x) // 8 for x in without), np.int64, n)
         most = int(sizes.max(initial=0))
-        left_out = np.frombuffer(b"".join(x + x[:8] * (most - len(x) // 8) if x else bytes(8 * most) for x in without), np.uint64).reshape(n, most)
-        chars = np.frombuffer("".join(x.ljust(width) for x in chunks).encode("utf-32-le"), np.uint32).reshape(n, width)
+        if most:
+            starts = np.cumsum(sizes) - sizes
+            left_out = np.repeat(without[starts], most)
+            left_out[_within(np.arange(n) * most, sizes)] = without
+            left_out = left_out.reshape(n, most)
+        codes, lengths = self.known.chars.take(chunks)
+        chars = np.zeros(n * width, np.uint32)
+        chars[_within(np.arange(n) * width, lengths)] = codes
+        chars = chars.reshape(n, width)
         # Places are numbered over all chunks; those beyond a chunk hold no symbol, so they end in no piece.
         there = np.arange(width) < lengths[:, None]
         symbol = np.where(there, self.char[chars], -1).ravel()
@@ -216,7 +247,7 @@ class Pieces:
                 k = np.flatnonzero(found < _LAST)
                 salts, who = _salts(at[k], p[k]), row[k]
                 if most:
-                    out = (left_out[who] == salts[:, None]).any(axis=1) & (sizes[who] > 0)
+                    out = (left_out[who] == salts[:, None]).any(axis=1)
                     found[k[out]] = _LAST
                     who, salts = who[~out], salts[~out]
                 met.append((who, salts))
@@ -296,7 +327,7 @@ class Pieces:
         at = np.fromiter(map(plain.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(at < 0).tolist()
         new = list(dict.fromkeys(c for c in map(chunks.__getitem__, missing) if len(c) <= _STEPPED))
-        plain.update(zip(new, self._learn(new, [b""] * len(new)), strict=True))
+        plain.update(zip(new, self._learn(self.known.chunks(new), np.empty(0, np.uint64), np.zeros(len(new), np.int64)).tolist(), strict=True))
         at[missing] = [plain.get(chunks[i], -1) for i in missing]
         return at
 
@@ -320,12 +351,15 @@ class Pieces:
             names = names.tolist()
             new = [j for j, x in enumerate(names) if x not in known.next]
             if new:
-                ends, chunks, left_out = np.concatenate((first[1:], [len(owner)])), [], []
-                for i in lead[new].tolist():
-                    k = at[going[i]]
-                    chunks.append(known.chunk[k])
-                    left_out.append(known.left_out[k] + salts[first[i] : ends[i]].tobytes())
-                known.next.update(zip([names[j] for j in new], self._learn(chunks, left_out), strict=True))
+                who = lead[new]
+                sizes = (np.append(first[1:], len(owner)) - first)[who]
+                before, n_before = known.left_out.take(at[going[who]])
+                n = n_before + sizes
+                left_out, starts = np.empty(n.sum(), np.uint64), np.cumsum(n) - n
+                left_out[_within(starts, n_before)] = before
+                left_out[_within(starts + n_before, sizes)] = salts[_within(first[who], sizes)]
+                learned = self._learn(known.chunk[at[going[who]]], left_out, n)
+                known.next.update(zip([names[j] for j in new], learned.tolist(), strict=True))
             at[going] = np.fromiter(map(known.next.__getitem__, names), np.int64, len(names))[group]
         return at
 
@@ -349,7 +383,7 @@ class Pieces:
         at[few] = self._dropped(at[few], drawn[few])
         for i in np.flatnonzero(at < 0).tolist():
             ids = np.frombuffer(self._chunk(flat[i], int(drawn[i])), np.int32)
-            at[i] = self.known.add([""], [b""], ids, np.array([len(ids)]), np.empty(0, np.uint64), np.zeros(1, np.int64))[0]
+            at[i] = self.known.fixed(ids)
         if parted:
             ends = np.cumsum(counts) - counts
             signs = [(int(ends[i]) + sum(map(len, parts[: k + 1])), i) for i, parts in parted.items() for k in range(len(parts) - 1)]
