@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, line_dedup, mixing, ordinal, packing, parsing, quality_rules, secret_scan, sentencepieces, simhash, url_filter
+from . import chat_windows, hard_negatives, line_dedup, mixing, ordinal, packing, parsing, quality_rules, secret_scan, sentencepieces, simhash, spelling, url_filter
 
 _ALL = {
     "op1_sentencepieces": sentencepieces,
@@ -19,6 +19,8 @@ _ALL = {
     "op8_simhash": simhash,
     "op9_line_dedup": line_dedup,
     "op10_chat_windows": chat_windows,
+    "op11_spelling": spelling,
+    "op12_hard_negatives": hard_negatives,
     "op13_packing": packing,
 }
 
