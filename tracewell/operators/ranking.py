@@ -32,18 +32,23 @@ def _ranges(rows: DataFrame, order: list[str]) -> DataFrame:
     return kept(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
 
 
-def sums_before(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
-    """Adds the sum of a value over the rows of a group that come before in an order without ties.
+def running(rows: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """Replaces values by their sums over the rows of a group that come before in an order without ties.
 
     Ranges of (group, order) are summed up alone, then one row a group and range together.
     """
-    dealt = _ranges(rows.withColumn("_v", value), [*by, order])
-    whole = dealt.groupBy(*by, "_p").agg(F.sum("_v").alias("_s"))
+    dealt = _ranges(rows, [*by, order])
+    whole = dealt.groupBy(*by, "_p").agg(*[F.sum(v).alias(v) for v in values])
     upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = whole.select(*by, "_p", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_s"))
+    starts = whole.select(*by, "_p", *[F.coalesce(F.sum(v).over(upto), F.lit(0)).alias(f"_s{i}") for i, v in enumerate(values)])
     own = Window.partitionBy(*by, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    met = dealt.withColumn("_own", F.coalesce(F.sum("_v").over(own), F.lit(0))).join(starts, [*by, "_p"])
-    return met.withColumn(name, F.col("_own") + F.col("_s")).drop("_p", "_v", "_own", "_s")
+    met = dealt.withColumns({v: F.coalesce(F.sum(v).over(own), F.lit(0)) for v in values}).join(starts, [*by, "_p"])
+    return met.withColumns({v: F.col(v) + F.col(f"_s{i}") for i, v in enumerate(values)}).select(*rows.columns)
+
+
+def sums_before(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """Adds the sum of a value over the rows of a group that come before in an order without ties."""
+    return running(rows.withColumn(name, value), by, order, [name])
 
 
 def global_rank(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:

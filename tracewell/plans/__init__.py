@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with SQL of equal results where SQL can express it."""
 
-from . import cards, catalog, decisions, evaluation, learning, prediction, quality, retrieval, sessions, usage
+from . import cards, catalog, decisions, evaluation, learning, prediction, probing, quality, retrieval, sessions, usage
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "cards", "catalog", "decisions", "evaluation", "prediction", "learning", "quality", "retrieval", "sessions", "usage"]
+__all__ = ["QUERIES", "SQL", "cards", "catalog", "decisions", "evaluation", "prediction", "probing", "learning", "quality", "retrieval", "sessions", "usage"]
