@@ -3,25 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A table of so many narrow rows or fewer is broadcast.
 FEW = 200_000
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster names in spark.checkpoint.dir; one of our own only where all runs in one process."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where all runs in one process."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and sc.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tracewell-"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path for tables in the shared folder that nothing else uses."""
+    return f"{_shared(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, most: int = FEW) -> DataFrame:
     """A kept table, marked for broadcast if its rows, counted here, are `most` or fewer."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
