@@ -16,11 +16,13 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,54 +38,60 @@ END = 1
 SIZE = 2_048
 #: Chunks whose ids a worker remembers; then it starts anew.
 REMEMBERED = 1_500_000
-#: Bytes of tokens in an output batch.
-_BATCH = 8_000_000
+#: Bytes of text or tokens that a task works on together, and chunks of a call.
+_BATCH, _CHUNKS = 4_000_000, 5_000
 
-_models: dict[str, Callable[[bytes], bytes]] = {}
+_models: dict[str, Callable[[list[bytes]], list[bytes]]] = {}
 
 
-def tokenizer(model: str) -> Callable[[bytes], bytes]:
-    """A function from a UTF-8 text to its ids, four bytes each with the lowest first; `model` is a vocabulary file's content.
+def tokenizer(model: str) -> Callable[[list[bytes]], list[bytes]]:
+    """A function from UTF-8 texts to their ids, four bytes each with the lowest first; `model` is a vocabulary file's content.
 
     No pre-token of this kind of vocabulary holds white space and no normal form reaches over it, so what stands between
-    white space is encoded once and remembered. Unknown chunks of a text are encoded in one call, between special tokens.
+    white space is encoded once and remembered. The texts' unknown chunks are encoded in one call, between special tokens.
     """
     if model in _models:
         return _models[model]
     encoder = Tokenizer.from_str(model)
-    special = {i: t.content for i, t in encoder.get_added_tokens_decoder().items()}
-    border, mark = max(special.items(), default=(-1, ""))
+    border, mark = max(((i, t.content) for i, t in encoder.get_added_tokens_decoder().items()), default=(-1, ""))
     known: dict[bytes, bytes] = {}
-    packed = lambda ids: np.array(ids, "<u4").tobytes()
 
     def learn(chunks: list[bytes]) -> None:
-        texts = [c.decode() for c in chunks]
-        plain = [i for i, t in enumerate(texts) if mark and "<|" not in t]
-        if len(plain) > 1:
-            ids = np.array(encoder.encode(mark.join(texts[i] for i in plain), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == border)
-            found = ids.tobytes()
-            for i, a, b in zip(plain, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(found)], strict=True):
-                known[chunks[i]] = found[a:b]
-        for c, t in zip(chunks, texts, strict=True):
+        plain = [c for c in chunks if b"<|" not in c] if mark else []
+        for at in range(0, len(plain), _CHUNKS):
+            some = plain[at : at + _CHUNKS]
+            ids = np.array(encoder.encode(mark.join([c.decode() for c in some]), add_special_tokens=False).ids, "<u4")
+            cuts, found = 4 * np.flatnonzero(ids == border), ids.tobytes()
+            for c, i, j in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(found)], strict=True):
+                known[c] = found[i:j]
+        for c in chunks:
             if c not in known:
-                known[c] = packed(encoder.encode(t, add_special_tokens=False).ids)
-
-    def ids(text: bytes) -> bytes:
-        chunks = text.split()
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            learn([c for c in dict.fromkeys(chunks) if c not in known])
-            return b"".join(map(known.__getitem__, chunks))
+                known[c] = np.array(encoder.encode(c.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        if len(known) > REMEMBERED:
+            known.clear()
+        learn(list(set(chain.from_iterable(split)).difference(known)))
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
 
     _models.clear()
     _models[model] = ids
     return ids
 
 
+def _groups(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Places (from, to) of rows whose sizes come to `most` together, or a single row's."""
+    start = held = at = 0
+    for at, n in enumerate(sizes, 1):
+        held += n
+        if held > most:
+            yield start, at
+            start, held = at, 0
+    if at > start:
+        yield start, at
+
+
 class Pattern(NamedTuple):
     """`count` packs of `filled` tokens, each holding documents of the same lengths: (length, times), longest first."""
 
@@ -234,19 +242,15 @@ def _tokens(model, size: int, end: int):
 
         for batch in batches:
             keys, texts = batch.columns
-            rows, held, at = [], 0, 0
-            for i, x in enumerate(texts):
-                ids = encode(x.as_py() or b"") + last
-                n, rest = divmod(len(ids) // 4, size)
-                rows.append((rest, seen[rest], whole, n, ids))
-                seen[rest] += 1
-                whole += n
-                held += len(ids)
-                if held > _BATCH:
-                    yield table_of(rows, keys.slice(at, len(rows)))
-                    rows, held, at = [], 0, i + 1
-            if rows:
-                yield table_of(rows, keys.slice(at))
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for i, j in _groups(sizes, _BATCH):
+                rows = []
+                for ids in encode([x or b"" for x in texts.slice(i, j - i).to_pylist()]):
+                    n, rest = divmod(len(ids) // 4 + 1, size)
+                    rows.append((rest, seen[rest], whole, n, ids + last))
+                    seen[rest] += 1
+                    whole += n
+                yield table_of(rows, keys.slice(i, j - i))
 
     return run
 
@@ -257,29 +261,21 @@ def _cut(plan, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = plan.value
         for batch in batches:
-            keys = batch.column(0)
-            found, rows, held = [], [], 0
-
-            def out() -> pa.RecordBatch:
-                starts, lengths, ids, tokens, sequences, offsets = zip(*rows, strict=True)
-                long = lambda x: pa.array(x, pa.int64())
-                columns = [keys.take(pa.array(found, pa.int64())), long(starts), long(lengths), pa.array(ids, pa.binary()), long(tokens), long(sequences), long(offsets)]
-                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-            for i, (rest, rank, first, ids) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                n, whole = len(ids) // 4, len(ids) // 4 // size
-                pieces = [(k * size, size, where.sequences + first + k, 0) for k in range(whole)]
-                if rest:
-                    pieces += [(whole * size + start, length, sequence, offset) for start, length, sequence, offset in where.of(rest, rank)]
-                for start, length, sequence, offset in pieces:
-                    found.append(i)
-                    rows.append((start, length, ids[4 * start : 4 * (start + length)], n, sequence, offset))
-                held += len(ids)
-                if held > _BATCH:
-                    yield out()
-                    found, rows, held = [], [], 0
-            if rows:
-                yield out()
+            keys, *columns = batch.columns
+            for i, j in _groups(pc.binary_length(columns[-1]).to_pylist(), _BATCH):
+                found, rows = [], []
+                for at, (rest, rank, first, ids) in enumerate(zip(*(c.slice(i, j - i).to_pylist() for c in columns), strict=True), i):
+                    n = len(ids) // 4
+                    whole = n // size
+                    pieces = [(k * size, size, where.sequences + first + k, 0) for k in range(whole)]
+                    if rest:
+                        pieces += [(whole * size + start, *piece) for start, *piece in where.of(rest, rank)]
+                    for start, length, sequence, offset in pieces:
+                        found.append(at)
+                        rows.append((start, length, ids[4 * start : 4 * (start + length)], n, sequence, offset))
+                kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3]
+                out = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(found, pa.int64())), *out], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
