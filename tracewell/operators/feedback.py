@@ -8,24 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.folds import ALPHA, ENGINE, START_TAU, adaptive, folded
 from tracewell.operators.ranking import global_rank
 
-# The engine's rates, steps, bounds and windows.
-ALPHA, TAU_STEP, PREFETCH_STEP, MIN_SAMPLES, FREEZE = 0.1, 0.05, 0.05, 20, 60
-MIN_TAU, MAX_TAU = 0.30, 0.80
-POLLUTION_RISE, POLLUTION_LOW, HIT_TARGET = 0.10, 0.05, 0.70
+# Rates of decay.
 POSTERIOR_DECAY, WILSON_Z = 0.8, 1.645
 TIER_ALPHA = 0.2
 
 
-def ordered(rows: DataFrame, key: str, order: list[str], *values: str) -> DataFrame:
-    """(key, items): a key's events as an array in order, for states that branch: one key's history is one row.
-
-    The streaming forms keep such states in bounded space; use them where one key's history is very long.
-    """
-    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("items"))
-
-
 def aged(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds age, 0 for a key's latest event, and n, its events. Rows stay rows: a long history spills, it isn't gathered."""
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
@@ -56,35 +46,9 @@ def beta(rows: DataFrame, key: str, order: list[str], hit: str) -> DataFrame:
     return got.select(key, F.round(h, 6).alias("hits"), F.round(w, 6).alias("wastes"), F.round(mean, 6).alias("mean"), F.when(low < 5e-7, 0.0).otherwise(F.round(low, 6)).alias("wilson_low"), (mean < 0.25).alias("demoted"))
 
 
-# An entry's threshold: fixed values.
-ADAPT_ALPHA, ADAPT_STEP, ADAPT_BOUND, ADAPT_SAMPLES, ADAPT_FREEZE, ADAPT_HITS = 0.1, 0.02, 0.05, 20, 60, 5
-
-
-def adaptive_tau(rows: DataFrame, key: str, order: list[str], negative: str, prior: float = 0.55) -> DataFrame:
-    """Each entry's learned threshold: tightened while the mean of negatives is high, relaxed while it is low.
-
-    An adjustment freezes the entry for ADAPT_FREEZE observations, which are counted but don't adjust. A
-    relaxed threshold is in effect only after ADAPT_HITS good ones; tau is null where nothing was learned.
-    """
-    start = F.struct(F.lit(0.0).alias("e"), F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(0).alias("frozen"), F.lit(0.0).alias("tau"), F.lit(False).alias("relaxed"), F.lit(0).alias("n_adjust"))
-
-    def step(a: Column, x: Column) -> Column:
-        bad = x[negative]
-        e = (1 - ADAPT_ALPHA) * a["e"] + F.when(bad, ADAPT_ALPHA).otherwise(0.0)
-        pos, neg = a["pos"] + F.when(bad, 0).otherwise(1), a["neg"] + F.when(bad, 1).otherwise(0)
-        base = F.when(a["tau"] > 0, a["tau"]).otherwise(F.lit(prior))
-        open_ = (a["frozen"] == 0) & (pos + neg >= ADAPT_SAMPLES)
-        up, down = open_ & (e > ADAPT_BOUND), open_ & (e < ADAPT_BOUND / 2) & (pos >= ADAPT_SAMPLES)
-        new = F.least(F.greatest(base + F.when(up, ADAPT_STEP).when(down, -ADAPT_STEP).otherwise(0.0), F.lit(MIN_TAU)), F.lit(MAX_TAU))
-        moved = open_ & (new != base)
-        return F.struct(
-            e.alias("e"), pos.alias("pos"), neg.alias("neg"), F.when(moved, ADAPT_FREEZE).when(a["frozen"] > 0, a["frozen"] - 1).otherwise(0).alias("frozen"),
-            F.when(moved, new).otherwise(a["tau"]).alias("tau"), F.when(moved, ~up).otherwise(a["relaxed"]).alias("relaxed"), (a["n_adjust"] + moved.cast("int")).alias("n_adjust"),
-        )
-
-    s = ordered(rows, key, order, negative).select(key, F.aggregate("items", start, step).alias("s"))
-    effect = F.when((F.col("s.tau") <= 0) | (F.col("s.relaxed") & (F.col("s.pos") < ADAPT_HITS)), prior).otherwise(F.col("s.tau"))
-    return s.select(key, F.round("s.e", 6).alias("neg_ewma"), "s.pos", "s.neg", F.round(effect, 6).alias("tau_low"), "s.n_adjust")
+def adaptive_tau(rows: DataFrame, key: str, order: list[str], negative: str, prior: float = START_TAU) -> DataFrame:
+    """Each entry's learned threshold after its observations; see `folds.adaptive`."""
+    return folded(rows, key, order, adaptive(negative, prior))
 
 
 def tau_summary(rows: DataFrame) -> DataFrame:
@@ -96,31 +60,5 @@ def tau_summary(rows: DataFrame) -> DataFrame:
 
 
 def evolve(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The engine's parameters after a run of signals (epoch, name, value) for each key.
-
-    Late epochs and values that aren't finite are rejected. After MIN_SAMPLES and the first FREEZE epochs,
-    the threshold moves by pollution and hits, and the prefetch confidence by hits and wastes; a threshold
-    that moved is frozen for FREEZE epochs.
-    """
-    zero = lambda n: F.lit(0.0).alias(n)
-    start = F.struct(zero("hit"), zero("pol"), zero("pre"), zero("waste"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("until"), F.lit(0.55).alias("tau"), F.lit(0.5).alias("conf"))
-
-    def step(a: Column, x: Column) -> Column:
-        v, name = F.least(F.greatest(x["v"], F.lit(0.0)), F.lit(1.0)), x["name"]
-        mean = lambda c, on, off: F.when(on, ALPHA * v + (1 - ALPHA) * a[c]).when(off, (1 - ALPHA) * a[c]).otherwise(a[c])
-        no = F.lit(False)
-        hit, pol = mean("hit", name.isin("cache_hit", "success"), no), mean("pol", name == "inject_pollution", no)
-        pre, waste = mean("pre", name == "prefetch_hit", name == "prefetch_waste"), mean("waste", name == "prefetch_waste", name == "prefetch_hit")
-        n, epoch = a["n"] + 1, F.greatest(a["epoch"], x["epoch"])
-        known = name.isin("cache_hit", "success", "inject_pollution", "prefetch_hit", "prefetch_waste")
-        ready = known & (n >= MIN_SAMPLES) & (epoch >= FREEZE)
-        move = F.when(pol >= POLLUTION_RISE, TAU_STEP).when((hit >= HIT_TARGET) & (pol <= POLLUTION_LOW), -TAU_STEP).otherwise(0.0)
-        tau = F.when(ready & (epoch >= a["until"]), F.least(F.greatest(a["tau"] + move, F.lit(MIN_TAU)), F.lit(MAX_TAU))).otherwise(a["tau"])
-        lean = F.when(waste > pre, PREFETCH_STEP).when(pre > waste, -PREFETCH_STEP).otherwise(0.0)
-        conf = F.when(ready, F.least(F.greatest(a["conf"] + lean, F.lit(0.05)), F.lit(0.95))).otherwise(a["conf"])
-        until = F.when(tau != a["tau"], epoch + FREEZE).otherwise(a["until"])
-        new = F.struct(hit.alias("hit"), pol.alias("pol"), pre.alias("pre"), waste.alias("waste"), n.alias("n"), epoch.alias("epoch"), until.alias("until"), tau.alias("tau"), conf.alias("conf"))
-        return F.when((x["epoch"] < a["epoch"]) | F.isnan(x["v"]) | x["v"].isNull(), a).otherwise(new)
-
-    s = ordered(rows, key, order, "epoch", "name", "v").select(key, F.aggregate("items", start, step).alias("s"))
-    return s.select(key, "s.n", *[F.round(f"s.{c}", 6).alias(c) for c in ("hit", "pol", "pre", "waste", "tau", "conf")])
+    """The engine's parameters after a run of signals (epoch, name, v) for each key; see `folds.ENGINE`."""
+    return folded(rows, key, order, ENGINE)
