@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import scores as S
+from tracewell.operators import hooks
 from tracewell.operators.evaluation import auc
 
 # Factors that a fit tries, and how far a parameter may move at once.
@@ -80,22 +81,14 @@ def judged(zone: Column, stale: Column, verdict: Column) -> Column:
 def rerank(hits: DataFrame, score: Callable[[pd.DataFrame], pd.Series], most: int = 20, k: int = 5) -> DataFrame:
     """The best `most` hits scored again from outside, clamped to [0, 1]; a query whose scorer fails keeps its order.
 
-    hits has query_id, doc_id, score, rank.
+    hits has query_id, doc_id, score, rank; see `hooks.reranked`.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        try:
-            got = score(rows)
-            if len(got) != len(rows) or got.isna().any():
-                raise ValueError("a score is missing")
-            rows = rows.assign(score=got.clip(0, 1).astype(float)).sort_values(["score", "doc_id"], ascending=[False, True])
-        except Exception:  # noqa: BLE001 - whatever an outside scorer raises, the inner order holds
-            pass
-        return rows.head(k).assign(rank=range(1, min(k, len(rows)) + 1))
-
-    top = hits.filter(F.col("rank") <= most).select("query_id", "doc_id", "score", "rank")
-    return top.groupBy("query_id").applyInPandas(run, top.schema)
+    def scorer(query_id: object, found: list[dict]) -> list[tuple]:
+        got = score(pd.DataFrame(found).assign(query_id=query_id))
+        return list(zip((h["doc_id"] for h in found), got, strict=True))
+
+    return hooks.reranked(hits, scorer, most, k, ("score", "rank")).drop("reranked")
 
 
 def probes(plans: DataFrame, demoted: DataFrame, every: int = 10) -> DataFrame:

@@ -152,6 +152,29 @@ def _(t):
     return D.tiers(rows).select("session", "round", "n", "tier")
 
 
+_LEARNED = f"""with {_ROUND}, n as (select session, round, min(seq) at, count(*) n, arg_min(tool, seq) filter (tool = 'purchase') writer from rd group by all),
+o as (select session, seq at, case tool when 'click' then 'flash' else 'pro' end tier, seq % 9 <> 4 success, (seq * 37) % 11 * (case tool when 'click' then 1 else 2 end) tokens from c where tool in ('click', 'error')),
+l as (select n.session, round, list(success::int::double order by o.at) filter (tier = 'flash') s, list(tokens::double order by o.at) filter (tier = 'flash' and tokens > 0) c, list(tokens::double order by o.at) filter (tier = 'pro' and tokens > 0) p from n left join o on o.session = n.session and o.at < n.at group by all),
+m as (select session, round, coalesce(len(s), 0) k, list_reduce(s, lambda a, v: 0.2::double * v + 0.8::double * a) s, list_reduce(c, lambda a, v: 0.2::double * v + 0.8::double * a) c, list_reduce(p, lambda a, v: 0.2::double * v + 0.8::double * a) p from l),
+r as (select session, round, n, k, round(s, 6) success, case when session % 13 = 0 and round % 3 = 0 then 'intent:mutation' when writer is not null then 'writer:' || writer when n <= 3 then 'default' when k < 10 then 'complex:' || n
+  when s >= 0.7 and (c is null or p is null or c <= p) then 'learned:complex-cheap-ok' else 'learned:complex-needs-pro' end reason from n join m using (session, round))"""
+
+
+@query("tiers_learned", _LEARNED + " select *, case when reason in ('default', 'learned:complex-cheap-ok') then 'flash' else 'pro' end tier from r")
+def _(t):
+    """Rounds' tiers with what the session's outcomes before them have taught."""
+    from tracewell.operators import tiers as M
+
+    w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    calls = S.calls(t("events")).withColumn("round", F.sum((F.col("tool") == "signup").cast("int")).over(w))
+    rounds = calls.groupBy("session", "round").agg(F.min("seq").cast("long").alias("at"), F.count(F.lit(1)).alias("n"), F.min_by("tool", F.when(F.col("tool") == "purchase", F.col("seq"))).alias("writer"))
+    rounds = rounds.withColumn("writer", F.when(F.col("writer") == "purchase", F.col("writer"))).withColumn("intent", F.when((F.col("session") % 13 == 0) & (F.col("round") % 3 == 0), " Mutation "))
+    click, seq = F.col("tool") == "click", F.col("seq").cast("long")
+    outcomes = calls.filter("tool in ('click', 'error')").select("session", seq.alias("at"), F.when(click, "flash").otherwise("pro").alias("tier"), (seq % 9 != 4).alias("success"), ((seq * 37) % 11 * F.when(click, 1).otherwise(2)).alias("tokens"))
+    out = M.decided(M.learned_until(rounds, outcomes))
+    return out.select("session", "round", "n", F.coalesce("learned.n", F.lit(0)).cast("long").alias("k"), F.round("learned.success", 6).alias("success"), "reason", "tier")
+
+
 @query("parallel_groups", f"with {_ROUND}, p as (select *, tool in ('view', 'click') p from c), s as (select *, (not p or not coalesce(lag(p) over (partition by session order by seq), false))::int st from p), g as (select *, sum(st) over (partition by session order by seq) run from s), k as (select *, (row_number() over (partition by session, run order by seq) - 1) // 8 chunk from g) select session, min(seq) first_seq, count(*) n from k group by session, run, chunk")
 def _(t):
     out = D.parallel_groups(S.calls(t("events")), F.col("tool").isin("view", "click"))

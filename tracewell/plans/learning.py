@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import catalog as C
+from tracewell.operators import hooks as H
 from tracewell.operators import learning as L
 from tracewell.operators import retrieval as R
 
@@ -28,13 +29,24 @@ def _(t):
     return L.lookup(hits).select("query_id", "doc_id", "score", "zone")
 
 
-@query("reranked")
+_ANEW = """, g as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) k from r), n as (select *, count(*) over (partition by query_id) > 1{} ok from g where k <= 20),
+s as (select query_id, doc_id, case when ok then 1 / (1 + doc_id % 7)::double else score end score, ok reranked, row_number() over (partition by query_id order by case when ok then doc_id % 7 else k end, doc_id)::int "rank" from n) select {} from s where "rank" <= 5"""
+
+
+@query("reranked", _sql(BENCH) + _ANEW.format("", 'query_id, doc_id, score, "rank"'))
 def _(t):
     """Hits scored again by a stand-in for an outside model: the share of terms found."""
     hits = R.top(R.bm25(_docs(t), _bench(t)), 20, by=("query_id",))
     return L.rerank(hits, lambda rows: 1 / (1 + rows["doc_id"] % 7))
 
 
+@query("reranked_guarded", _sql(BENCH) + _ANEW.format(" and query_id % 5 <> 0", 'query_id, doc_id, score, reranked, "rank"'))
+def _(t):
+    """A stand-in for an outside model forgets a hit of every fifth query, which keeps its order."""
+    hits = R.top(R.bm25(_docs(t), _bench(t)), 20, by=("query_id",))
+    return H.reranked(hits, lambda q, found: [(h["doc_id"], 1 / (1 + h["doc_id"] % 7)) for h in found[q % 5 == 0 :]])
+
+
 @query("verdict_cache", f"with {USAGE}, q as (select distinct 'q' || k % 50 query, session slice_id from u), c as (select 'q' || k % 50 query, session slice_id, arg_max(case when k % 2 = 0 then 'yes' else 'no' end, event_id) verdict from u where event_id > 3000 group by 1, 2) select query, slice_id, verdict from q left join c using (query, slice_id)")
 def _(t):
     q = F.concat(F.lit("q"), (F.col("k") % 50).cast("string"))
