@@ -60,7 +60,8 @@ def tokenizer(model: str) -> Callable[[list[bytes]], list[bytes]]:
         plain = [c for c in chunks if b"<|" not in c] if mark else []
         for at in range(0, len(plain), _CHUNKS):
             some = plain[at : at + _CHUNKS]
-            ids = np.array(encoder.encode(mark.join([c.decode() for c in some]), add_special_tokens=False).ids, "<u4")
+            (found,) = encoder.encode_batch_fast([mark.join([c.decode() for c in some])], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
             cuts, found = 4 * np.flatnonzero(ids == border), ids.tobytes()
             for c, i, j in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(found)], strict=True):
                 known[c] = found[i:j]
