@@ -1,5 +1,6 @@
 import hashlib
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,28 +57,53 @@ def test_mixed_rows_repeat(spark):
     assert len(rows) == want > len(set(rows))
 
 
-@pytest.mark.parametrize("top", [1, 7])
-def test_places_from_ranges_are_places_by_hand(spark, monkeypatch, top):
-    monkeypatch.setattr(mixing, "TOP", top)
+def crossed(mine, large, seed=mixing.SEED, most=3):
+    """A source's rows in order, their expected copies and the integers that the running sum crosses, by hand."""
+    mine = sorted(mine, key=lambda r: (-r.size, r.doc_id is None, r.doc_id or 0))
+    total, source = sum(r.size for r in mine), mine[0].source
+    rate = min(most, mine[0].target / total) if total else 0
+    offset = Fraction(int(hashlib.md5(f"{seed}:{chr(0) if source is None else source}".encode()).hexdigest()[:8], 16) % 1_000_000, 10**6)
+    big = [r for r in mine if r.size * large > total]
+    expected, left = [], 0.0
+    for r in big:
+        want = left + rate * r.size
+        n = min(max(math.floor(want / r.size + float(offset)), math.floor(rate)), math.ceil(rate), most)
+        expected.append(Fraction(n))
+        left = want - n * r.size
+    small = sum(r.size for r in mine) - sum(r.size for r in big)
+    rest = min(most, max(0, rate + left / small)) if small else 0
+    expected += [Fraction(round(rest * 10**12), 10**12) if r.size else Fraction(0) for r in mine[len(big) :]]
+    at, out = offset, []
+    for e in expected:
+        out.append(math.floor(at + e) - math.floor(at))
+        at += e
+    return mine, expected, out
+
+
+@pytest.mark.parametrize("large", [3, 20, 256])
+def test_copies_are_the_borders_crossed(spark, monkeypatch, large):
+    monkeypatch.setattr(mixing, "LARGE", large)
     rows = mixing.copies(mixing.sized(spark.createDataFrame(corpus(), SCHEMA), "doc_id")).collect()
-    assert len(rows) == len(corpus()) and all(0 <= r.copies <= 3 for r in rows)
+    assert len(rows) == len(corpus())
+    for s in {r.source for r in rows}:
+        mine, expected, want = crossed([r for r in rows if r.source == s], large)
+        assert [r.copies for r in mine] == want
+        assert all(math.floor(e) <= r.copies <= math.ceil(e) and (r.copies == e or e.denominator > 1) for r, e in zip(mine, expected, strict=True))
+
+
+def test_copies_of_the_test_table_are_the_borders_crossed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.copies(mixing.sized(docs, "doc_id")).collect()
+    smaller = 0
     for s in {r.source for r in rows}:
-        mine = sorted((r for r in rows if r.source == s), key=lambda r: (-r.size, r.doc_id is None, r.doc_id or 0))
-        left, share = 0.0, mine[0].target / max(1, mine[0].source_size)
-        offset = int(hashlib.md5(f"{mixing.SEED}:{chr(0) if s is None else s}".encode()).hexdigest()[:8], 16) % 1_000_000 / 1e6
-        for r in mine[:top]:
-            want = left + share * r.size
-            n = min(3, max(0, math.floor(want / r.size + offset))) if r.size else 0
-            assert r.copies == n
-            left = want - n * r.size
-        small = sum(r.size for r in mine[top:])
-        rate = min(3, max(0, share + left / small)) if small else 0
-        for i, r in enumerate(mine[top:], 1):
-            assert not r.size or abs(r.copies - rate) < 1 + 1e-9
-        words, took = 0, 0
-        for r in mine[top:]:
-            words, took = words + rate * r.size, took + r.copies * r.size
-            assert abs(words - took) <= 2 * mine[top].size
+        mine, expected, want = crossed([r for r in rows if r.source == s], mixing.LARGE)
+        assert [r.copies for r in mine] == want
+        smaller += sum(e.denominator > 1 for e in expected)
+        taken = sum(r.size * r.copies for r in mine)
+        assert abs(taken - mine[0].target) <= 0.01 * mine[0].target, (s, taken, mine[0].target)
+        share = mine[0].target / mine[0].source_size
+        assert all(math.floor(share) <= r.copies <= math.ceil(share) for r in mine if r.size * mixing.LARGE > r.source_size)
+    assert smaller > 50
 
 
 def test_sources_of_the_test_table_come_near_their_targets(spark):

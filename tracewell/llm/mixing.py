@@ -1,10 +1,12 @@
 """Mixing sources to target weights by systematic sampling.
 
-Each document expects target / source size copies. Within a source documents descend by size; the running sum of
-expected copies plus one random offset crosses integers, and a document is taken once for each. For a source's TOP
-largest documents the running sum is kept in words, so that what one of them takes too much or too little moves the
-expectation of the next; what is left after them moves the rate of all smaller ones. So a source is out by about the
-size of its largest smaller document, however long its longest is.
+Each document has expected copies. Within a source documents descend by size; the running sum of expected copies plus
+one random offset crosses integers, and a document is taken once for each that it crosses.
+
+A document that holds more than one LARGE-th of its source's words would put the source off its target by its own size.
+Such documents, fewer than LARGE in a source, have whole numbers of expected copies, next to target / source size, so
+that the words expected up to each of them stay near that share; what they leave sets the rate of all smaller ones,
+which is the same for each. So a source is out by about the size of its largest smaller document.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from .common import WORD, guarded, hash2, ranged, stored, table
 WEIGHTS = (5, 2, 1)
 #: No source gives more than so many times its size, no document more than so many copies.
 MOST = 3
-#: Documents of a source, the largest, over which words are balanced one by one.
-TOP = 64
+#: A document is large if it holds more than one in so many words of its source.
+LARGE = 256
 SEED = 20_240_229
 
 
@@ -59,15 +61,19 @@ def sized(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, "source", F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(body).alias("_tie"))
 
 
-def _balanced(sizes: Column, rate: Column, offset: Column, most: float) -> Column:
-    """Copies of a few documents by descending size, and the words (left) that they took too few (or, below 0, too many)."""
+def _whole(sizes: Column, rate: Column, offset: Column, most: float) -> Column:
+    """Whole expected copies of large documents by descending size: next to the rate, so that the words expected stay near its share.
+
+    sums are the running sums of the copies, left the words that they are too few (or, below 0, too many).
+    """
+    least, top = F.floor(rate), F.least(F.ceil(rate), F.lit(int(most)).cast("long"))
 
     def step(acc: Column, size: Column) -> Column:
         want = acc["left"] + rate * size
-        n = F.when(size > 0, F.least(F.greatest(F.floor(want / size + offset), F.lit(0).cast("long")), F.lit(int(most)).cast("long"))).otherwise(F.lit(0).cast("long"))
-        return F.struct((want - n * size).alias("left"), F.concat(acc["copies"], F.array(n)).alias("copies"))
+        n = F.least(F.greatest(F.floor(want / size + offset), least), top)
+        return F.struct((want - n * size).alias("left"), F.concat(acc["sums"], F.array(F.element_at(acc["sums"], -1) + n)).alias("sums"))
 
-    return F.aggregate(sizes, F.struct(F.lit(0.0).alias("left"), F.array().cast("array<bigint>").alias("copies")), step)
+    return F.aggregate(sizes, F.struct(F.lit(0.0).alias("left"), F.array(F.lit(0).cast("long")).alias("sums")), step)
 
 
 def copies(rows: DataFrame, seed: int = SEED, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -83,28 +89,29 @@ def copies(rows: DataFrame, seed: int = SEED, weights: Sequence[float] = WEIGHTS
     order = ["_src", F.desc("size"), F.col("doc_id").asc_nulls_last(), "_tie"]
     dealt = ranged(rows.withColumn("_src", key), order)
     block = ["_src", "_p"]
-    counts = stored(dealt.groupBy(*block, "source").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words")))
-    goals = targets(counts.groupBy("_src", "source").agg(F.sum("_words").alias("source_size")), weights, most)
+    counts = stored(dealt.groupBy(*block, "source").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_words"), F.max("size").alias("_top")))
+    goals = stored(targets(counts.groupBy("_src", "source").agg(F.sum("_words").alias("source_size")), weights, most).drop("source"))
     before = F.sum("_n").over(Window.partitionBy("_src").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*block, F.coalesce(before, F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy(*block).orderBy(*order[1:]))
-    placed = dealt.withColumn("_rank", rank).join(starts, block).withColumn("_rank", F.col("_start") + F.col("_rank")).drop("_start")
-    # Only the blocks at a source's head can have its largest documents.
-    head = dealt.join(starts.filter(F.col("_start") < TOP), block).withColumn("_rank", F.col("_start") + rank).filter(F.col("_rank") <= TOP)
-    top = head.groupBy("_src").agg(F.transform(F.sort_array(F.collect_list(F.struct("_rank", "size"))), lambda x: x["size"]).alias("_top"))
+    # Only a block whose largest document is large has large ones.
+    large = F.col("size") * LARGE > F.col("source_size")
+    heads = counts.join(goals, "_src").filter(F.col("_top") * LARGE > F.col("source_size")).select(*block, "source_size")
+    top = dealt.join(heads, block).filter(large).groupBy("_src").agg(F.sort_array(F.collect_list("size"), asc=False).alias("_sizes"))  # fewer than LARGE
     offset = digest(F.concat(F.lit(f"{seed}:"), F.col("_src")).cast("binary")) % 1_000_000 / F.lit(1e6)
-    share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    plan = goals.join(top, "_src").withColumn("_u", offset).withColumn("_b", _balanced(F.col("_top"), share, F.col("_u"), most))
-    small = F.col("source_size") - F.aggregate("_top", F.lit(0).cast("long"), lambda a, x: a + x)
+    share = F.least(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)), F.lit(float(most)))
+    sizes = F.coalesce("_sizes", F.array().cast("array<bigint>"))
+    plan = goals.join(top, "_src", "left").withColumn("_sizes", sizes).withColumn("_u", offset).withColumn("_b", _whole(F.col("_sizes"), share, F.col("_u"), most))
+    small = F.col("source_size") - F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
     rate = F.coalesce(share + F.try_divide(F.col("_b.left"), small.cast("double")), F.lit(0.0))
     rate = F.least(F.greatest(rate, F.lit(0.0)), F.lit(float(most))).cast("decimal(20,12)")
-    plan = stored(plan.select("_src", "source_size", "target", F.col("_b.copies").alias("_top"), F.col("_u").cast("decimal(7,6)").alias("_u"), rate.alias("_rate")))
+    plan = plan.select("_src", "source_size", "target", F.col("_b.sums").alias("_sums"), F.col("_u").cast("decimal(7,6)").alias("_u"), rate.alias("_rate"))
     # One row a source and range, so a source's rows don't meet its plan in one task.
-    plans = counts.select(*block).join(plan, "_src")
-    met = placed.join(plans, block).withColumn("_i", (F.col("_rank") - TOP).cast("decimal(18,0)"))
-    crossed = lambda i: F.floor(F.col("_u") + i * F.col("_rate"))
-    later = F.when(F.col("size") > 0, crossed(F.col("_i")) - crossed(F.col("_i") - 1)).otherwise(0)
-    n = F.when(F.col("_rank") <= TOP, F.get("_top", (F.col("_rank") - 1).cast("int"))).otherwise(later)
+    met = dealt.join(starts.join(plan, "_src"), block)
+    met = met.withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy(*block).orderBy(*order[1:])))
+    smaller = lambda i: F.greatest(i - F.size("_sums") + 1, F.lit(0)).cast("decimal(18,0)") * F.col("_rate")
+    expected = lambda i: F.element_at("_sums", F.least(i + 1, F.size("_sums")).cast("int")).cast("decimal(18,0)") + smaller(i)
+    crossed = lambda i: F.floor(F.col("_u") + expected(i))
+    n = F.when(F.col("size") > 0, crossed(F.col("_rank")) - crossed(F.col("_rank") - 1)).otherwise(0)
     return met.withColumn("copies", n.cast("int")).select(*rows.columns, "source_size", "target", "copies")
 
 
@@ -134,13 +141,14 @@ w as (select *, [{", ".join(f"{w:.1f}" for w in map(float, WEIGHTS))}][1 + (row_
 v as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0.0::double))
              / sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) lv from w),
 t as (select s, source_size, least(cap, coalesce(max(case when lv <= cap / w then lv end) over () * w, cap)) target from v),
-g as (select *, coalesce(target / nullif(source_size, 0), 0)::double share, ({_DIGEST.format(f"'{SEED}:' || s")} % 1000000) / 1e6::double u from t),
-r as (select *, row_number() over (partition by s order by size desc, doc_id nulls last) k from d),
+g as (select *, least(coalesce(target / nullif(source_size, 0), 0), {MOST})::double share, ({_DIGEST.format(f"'{SEED}:' || s")} % 1000000) / 1e6::double u from t),
+r as (select d.s, doc_id, size, row_number() over (partition by d.s order by size desc, doc_id nulls last) k, size * {LARGE} > source_size large from d join z using (s)),
 f(s, k, rest, size, n) as (select s, 0::bigint, 0.0::double, 0::bigint, 0::bigint from g union all
-  select r.s, r.k, f.rest + share * r.size - x.n * r.size, r.size, x.n from f join r on r.s = f.s and r.k = f.k + 1 and r.k <= {TOP} join g on g.s = f.s,
-    lateral (select case when r.size > 0 then least(greatest(floor((f.rest + share * r.size) / r.size + u), 0), {MOST})::bigint else 0 end n) x),
+  select r.s, r.k, f.rest + share * r.size - x.n * r.size, r.size, x.n from f join r on r.s = f.s and r.k = f.k + 1 and r.large join g on g.s = f.s,
+    lateral (select least(greatest(floor((f.rest + share * r.size) / r.size + u), floor(share)), ceil(share), {MOST})::bigint n) x),
 e as (select s, arg_max(rest, k) rest, sum(size)::bigint words from f group by s),
-p as (select g.s, source_size, target, u::decimal(7, 6) u, least(greatest(coalesce(share + rest / nullif(source_size - words, 0), 0), 0), {MOST})::decimal(20, 12) rate from g join e using (s))
-select doc_id, r.size, source_size, target, (r.size * coalesce(f.n, floor(u + (k - {TOP})::decimal(18, 0) * rate) - floor(u + (k - {TOP} - 1)::decimal(18, 0) * rate)))::bigint taken
-from r join p using (s) left join f using (s, k)
+p as (select g.s, source_size, target, u::decimal(7, 6) u, least(greatest(coalesce(share + rest / nullif(source_size - words, 0), 0), 0), {MOST})::decimal(20, 12) rate from g join e using (s)),
+c as (select doc_id, r.size, source_size, target, u, case when r.size = 0 then 0::decimal(20, 12) when large then f.n::decimal(20, 12) else rate end expected, r.s, k from r join p using (s) left join f using (s, k)),
+b as (select *, u + sum(expected) over (partition by s order by k) upto from c)
+select doc_id, size, source_size, target, (size * (floor(upto) - floor(upto - expected)))::bigint taken from b
 """
