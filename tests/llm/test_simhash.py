@@ -82,6 +82,22 @@ def test_large_shards_are_dealt_again(spark):
     assert found[4] == found[10**6] and found[4]
 
 
+def test_fingerprints_close_together_stay_one_shard(spark):
+    """Dealing out doesn't multiply what no distance tells apart; random ones it does deal out, at most 1.5 times each a round."""
+    rng = np.random.default_rng(2)
+    centre = 0x123456789ABCDEF
+    close = sorted({centre ^ sum(1 << int(b) for b in rng.choice(62, 3, replace=False)) for _ in range(400)})
+    wide = sorted({int(x) for x in rng.integers(0, 1 << 62, 300, np.int64)})
+    shards = spark.createDataFrame([(1, p) for p in close] + [(2, p) for p in wide], "shard long, fp long")
+    sizes = [r["count"] for r in simhash._dealt(shards, 50).groupBy("shard").count().collect()]
+    assert len(close) in sizes and sum(sizes) <= 3 * (len(close) + len(wide))
+    points = np.array(close, np.uint64)
+    got = components.components(simhash.near_links(spark.createDataFrame([(p,) for p in close], "fp long"), len(close), 50)).collect()
+    near = np.bitwise_count(points[:, None] ^ points[None, :]) <= simhash.RADIUS
+    want = simhash._forest(np.stack(np.nonzero(np.triu(near, 1))), len(points))
+    assert len(got) == want.shape[1] > 100
+
+
 def test_branches_are_pruned_on_the_query_s_own_table(spark):
     rows = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").select("fp").distinct().collect()
     points = np.unique(np.array([r.fp for r in rows], np.int64).view(np.uint64))

@@ -6,8 +6,8 @@ within RADIUS differ by at most RADIUS in that distance: pairs further apart in
 * First the fingerprints are partitioned. Two within four bits agree on one of five blocks of bits, so a block's
   values are vantage points at whose distance 0 both stand: each fingerprint goes to a shard a block, of about
   TARGET fingerprints (finer for more: two blocks of six, three of seven, four of eight). A shard that is still too
-  large is dealt out again over the cluster by rings of whole distance to its least fingerprint; where a ball crosses
-  a ring's border the fingerprint goes to the next ring too.
+  large is dealt out again over the cluster by rings of whole distance to one of its fingerprints, if that halves it;
+  where a ball crosses a ring's border the fingerprint goes to the next ring too.
 * A shard's tree then splits at the median distance to a vantage point into an inner and an outer part, and goes on
   with each. Pairs across the border are searched between the strips within RADIUS of it only, by further vantage
   points. Leaves of LEAF fingerprints are compared.
@@ -36,6 +36,8 @@ RADIUS = 4
 RING = 8
 #: Fingerprints that a shard of random ones has at most, and from which a shard is dealt out again over the cluster.
 TARGET, SHARD = 2_048, 20_000
+#: Rounds in which large shards are dealt out again.
+ROUNDS = 3
 #: Fingerprints of a tree's leaf.
 LEAF = 32
 
@@ -203,18 +205,28 @@ def _masks(n: int) -> list[int]:
     return [sum(c) - (1 << 64 if sum(c) >> 63 else 0) for c in combinations(block, more + 1)]
 
 
-def _dealt(shards: DataFrame, largest: int, depth: int = 6) -> DataFrame:
-    """Deals shards over `largest` rows out by rings of whole distance to their least fingerprint."""
-    for _ in range(depth):
-        big = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("at")).filter(F.col("n") > largest)
-        big = stored(big)
+def _dealt(shards: DataFrame, largest: int, rounds: int = ROUNDS) -> DataFrame:
+    """Deals shards over `largest` rows out by rings of whole distance to a fingerprint of theirs, another one in each round.
+
+    A shard is dealt out only where that halves it at least and repeats no more than every second row, so rows grow by
+    1.5 a round at most; fingerprints close together, which no distance tells apart, stay one shard, whose tree finds them.
+    """
+    dense = None
+    for i in range(rounds):
+        big = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(i))).alias("at")).filter(F.col("n") > largest)
+        big = stored(big if dense is None else big.join(dense, "shard", "left_anti"))
         if big.isEmpty():
             break
         far = F.bit_count(F.col("fp").bitwiseXOR(F.col("at")))
         ring = lambda d: F.floor(d / RING)
         split = shards.join(big, "shard").withColumn("ring", F.explode(F.array_distinct(F.array(ring(far), ring(far + RADIUS)))))
-        split = split.select(F.xxhash64("shard", "ring").alias("shard"), "fp")
-        shards = stored(shards.join(big, "shard", "left_anti").unionByName(split))
+        sizes = split.groupBy("shard", "n", "ring").agg(F.count(F.lit(1)).alias("m")).groupBy("shard", "n").agg(F.max("m").alias("most"), F.sum("m").alias("all"))
+        apart = stored(sizes.filter("2 * most <= n and 2 * all <= 3 * n").select("shard"))
+        still = big.join(apart, "shard", "left_anti").select("shard")
+        dense = stored(still if dense is None else dense.unionByName(still))
+        if not apart.isEmpty():
+            parts = split.join(apart, "shard", "left_semi").select(F.xxhash64("shard", "ring").alias("shard"), "fp")
+            shards = stored(shards.join(apart, "shard", "left_anti").unionByName(parts))
     return shards
 
 
