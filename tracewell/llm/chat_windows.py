@@ -1,17 +1,19 @@
 """Chat formatting in budgeted windows.
 
 Turns of a conversation get prefix sums of their tokens. Windows are turn-aligned spans that fit the budget:
-the system turn is retained in each, a window after the first repeats up to HISTORY of the turns before it,
-and each assistant turn is a target once: where it is repeated, or is history, the loss mask leaves it out.
+the system turn is retained wherever it and the window's first new turn fit, a window after the first repeats up to
+HISTORY of the turns before it, and each assistant turn is a target once: where it is repeated, the loss mask leaves
+it out.
 
 A conversation is cut at the turns where its prefix sum passes multiples of SEGMENT budgets. Segments are windowed
-alone, so one very long conversation spreads over tasks; nothing is repeated over such a cut but the system turn.
+alone, so one very long conversation spreads over tasks; each gets the system turn and the turns that it may repeat.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sentencepieces
-from .common import stored, table
+from .common import FEW, stored, table
 
 #: Tokens that a window holds, and turns and tokens that it may repeat.
 BUDGET = 1_024
@@ -85,44 +87,50 @@ def parsed(window: str) -> list[tuple[str, str, int, int]]:
 
 
 class _Windows:
-    """Cuts one segment's turns, which come in order, into windows; holds one window and its history."""
+    """Cuts one segment's turns, which come in order, into windows; holds one window and what the next may repeat."""
 
     def __init__(self, budget: int, history: int, history_tokens: int):
-        self.budget, self.history, self.history_tokens = budget, history, history_tokens
+        self.budget, self.history_tokens = budget, history_tokens
         self.system: Turn | None = None
         self.kept = 0  # the system turn's tokens
+        self.shown = False  # whether a window has had the system turn
+        self.past: deque[tuple[Turn, int]] = deque(maxlen=history)
         self.span: list[Turn] = []
-        self.sums = [0]  # prefix sums of the span's tokens
-        self.repeated = 0
+        self.head = self.sum = self.fresh = 0  # tokens of the system turn in this window and of the span; new turns in it
 
     def add(self, turn: Turn, cost: int, again: bool) -> list[tuple[list[Turn], int]]:
         """A turn; gives the windows that it closes, if any, with their tokens. again: it stands in an earlier segment too."""
-        out = []
+        out: list[tuple[list[Turn], int]] = []
         if turn.number == 0 and turn.role == "system":
-            if 2 * cost <= self.budget:
-                self.system, self.kept = turn, cost
-            elif not again:
-                out.append(([turn], cost))
+            self.system, self.kept, self.shown = turn, cost, again
             return out
-        if len(self.span) > self.repeated and self.kept + self.sums[-1] + cost > self.budget:
-            out.append(self.window())
-            room = min(self.history_tokens, self.budget - self.kept - cost)
-            first = len(self.span)
-            while first > max(0, len(self.span) - self.history) and self.sums[-1] - self.sums[first - 1] <= room:
-                first -= 1
-            base = self.sums[first]
-            self.span = [t._replace(target=False) for t in self.span[first:]]
-            self.sums = [s - base for s in self.sums[first:]]
-            self.repeated = len(self.span)
-        self.span.append(turn)
-        self.sums.append(self.sums[-1] + cost)
+        if not again:
+            if not self.fresh or self.head + self.sum + cost > self.budget:
+                out = [*self.rest(), *self.begin(cost)] if self.fresh else self.begin(cost)
+            self.span.append(turn)
+            self.sum += cost
+            self.fresh += 1
+        self.past.append((turn, cost))
         return out
 
-    def window(self) -> tuple[list[Turn], int]:
-        return [*([self.system] if self.system else []), *self.span], self.kept + self.sums[-1]
+    def begin(self, cost: int) -> list[tuple[list[Turn], int]]:
+        """Starts a window whose first new turn has that cost; a system turn that no window has had and that doesn't fit is one of its own."""
+        fits = self.system is not None and self.kept + cost <= self.budget
+        alone = [([self.system], self.kept)] if self.system and not fits and not self.shown else []
+        self.shown = True
+        self.head, self.span, self.sum, self.fresh = self.kept if fits else 0, [], 0, 0
+        for turn, n in reversed(self.past):
+            if self.sum + n > min(self.history_tokens, self.budget - self.head - cost):
+                break
+            self.span.insert(0, turn._replace(target=False))
+            self.sum += n
+        return alone
 
     def rest(self) -> list[tuple[list[Turn], int]]:
-        return [self.window()] if self.system or self.span else []
+        """The window as it is, if it has a new turn; else a system turn that no window has had."""
+        if self.fresh:
+            return [([self.system, *self.span] if self.system and self.head else self.span, self.head + self.sum)]
+        return [([self.system], self.kept)] if self.system and not self.shown else []
 
 
 _WINDOW = "window long, tokens long, n_turns int, text string, mask array<struct<start:int,end:int>>, turns array<long>"
@@ -136,8 +144,8 @@ def _costs(texts: list[str], model: bytes | None) -> list[int]:
     return (sentencepieces.plain(model).counts(texts) + MARK_TOKENS).tolist()
 
 
-def _segments(rows: DataFrame, size: int, model: bytes | None) -> DataFrame:
-    """Adds _cost, _number (a turn's place in its conversation) and _segment; later segments get the system turn (_again) too.
+def _segments(rows: DataFrame, size: int, history: int, model: bytes | None) -> DataFrame:
+    """Adds _cost, _number (a turn's place in its conversation) and _segment; later segments get the system turn and the `history` turns before them (_again) too.
 
     Rows are dealt out by ranges of the whole order and summed up as they stream by. Only a range's first conversation
     goes on from the range before, so what comes before it is a row a range at most, and is broadcast.
@@ -170,9 +178,15 @@ def _segments(rows: DataFrame, size: int, model: bytes | None) -> DataFrame:
     met = dealt.join(F.broadcast(starts), [*conv, "_p"], "left")
     before = lambda c: F.coalesce(c, F.lit(0))
     out = met.select(*rows.columns, "_cost", *conv, (F.col("_k") + before("_n")).alias("_number"), F.floor((F.col("_s") + before("_sum")) / size).alias("_segment"), F.lit(False).alias("_again"))
-    later = out.filter("_segment > 0").select(*conv, "_segment").distinct()
-    system = out.filter("_number = 0 and role = 'system'").drop("_segment", "_again").join(later, conv).withColumn("_again", F.lit(True))
-    return out.unionByName(system)
+    later = out.filter("_segment > 0").groupBy(*conv, "_segment").agg(F.min("_number").alias("_first"))
+    given, system = out.drop("_segment", "_again"), "_number = 0 and role = 'system'"
+    again = given.filter(system).join(later.drop("_first"), conv)
+    if history:
+        before = F.explode(F.sequence(F.greatest(F.col("_first") - history, F.lit(0)), F.col("_first") - 1)).alias("_number")
+        past = stored(later.select(*conv, "_segment", before))  # `history` rows a segment
+        few = past.limit(FEW + 1).count() <= FEW
+        again = again.unionByName(given.filter(f"not ({system})").join(F.broadcast(past) if few else past, [*conv, "_number"]))
+    return out.unionByName(again.withColumn("_again", F.lit(True)))
 
 
 def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS, model: bytes | None = None) -> DataFrame:
@@ -180,9 +194,9 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, histo
 
     text is the formatted window, mask its spans under the loss, turns the numbers of its turns in order of
     (turn, role, text), null turns first; tokens and n_turns count them; window ascends within a conversation.
-    Tokens are pieces of the model, or else an estimate. A turn over the budget is a window of its own (with the
-    system turn). A system turn is retained where it comes first and takes half the budget or less; a longer one
-    stands once, in a window of its own before the others. Null roles and texts are empty; a null conv_id is one
+    Tokens are pieces of the model, or else an estimate. A turn over the budget is a window of its own. A system turn
+    that comes first is retained in each window in which it and the first new turn keep to the budget; where the
+    first window hasn't room for it, it stands once in a window of its own before. Null roles and texts are empty; a null conv_id is one
     conversation; rows alike in all are turns each. A segment's rows go to one task sorted and stream through it,
     so no task holds more than a window, or the rows of one conversation alone.
     """
@@ -221,7 +235,7 @@ def windows(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, histo
             yield flush()
 
     role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
-    cut = _segments(rows.select("conv_id", "turn", role, text), size, model)
+    cut = _segments(rows.select("conv_id", "turn", role, text), size, history, model)
     dealt = cut.repartition("_none", "_conv", "_segment").sortWithinPartitions("_none", "_conv", "_segment", "_number")
     return dealt.select("conv_id", "_segment", "_number", "role", "text", "_cost", "_again").mapInArrow(run, f"conv_id {kind}, {_WINDOW}")
 
