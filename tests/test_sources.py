@@ -72,3 +72,11 @@ def test_rollup_days_are_replaced_alone(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "arc")).count() == 1 and spark.read.parquet(str(tmp_path / "kept")).count() == 1
     sinks.audit(rows, "evict", str(tmp_path / "audit"))
     assert spark.read.json(str(tmp_path / "audit")).filter("action = 'evict'").count() == 2
+
+
+def test_skipped_lines_are_counted(spark, tmp_path):
+    lines = ['{"ID": "a", "Type": 0}', "", "  ", "not json", '{"Type": 1}', '{"ID": "", "Type": 1}', '{"ID": "b"}', '{"ID": "c", "Content": "' + "x" * readers.LOG_LINE + '"}']
+    (tmp_path / "export.jsonl").write_text("\n".join(lines))
+    path = str(tmp_path / "export.jsonl")
+    assert readers.export_counts(spark, path).first().asDict() == {"taken": 2, "oversized": 1, "malformed": 1, "nameless": 2}
+    assert sorted(r.ID for r in readers.slice_export(spark, path).select("ID").collect()) == ["a", "b"]

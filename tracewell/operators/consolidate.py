@@ -94,10 +94,15 @@ def merged_facts(cards: DataFrame, groups: DataFrame, sums: list[str], latest: s
     return out.filter("_n > 1").drop("_n")
 
 
-def context_card(counts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, content): cards of counts (by, title, entry, n), sections by title, entries by count, then value, ENTRIES at most."""
+def _order(title: Column, titles: tuple[str, ...]) -> Column:
+    at = F.array_position(F.array(*map(F.lit, titles)), title) if titles else F.lit(0)
+    return F.when(at > 0, at).otherwise(F.lit(len(titles) + 1))
+
+
+def context_card(counts: DataFrame, by: list[str], titles: tuple[str, ...] = (), most: int = ENTRIES) -> DataFrame:
+    """(by, content): cards of counts (by, title, entry, n), sections in the order of titles, then by name; entries by count, then value, `most` at most."""
     place = F.row_number().over(Window.partitionBy(*by, "title").orderBy(F.desc("n"), "entry"))
     line = F.concat(F.lit("- "), "entry", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
-    best = counts.withColumn("_p", place).filter(F.col("_p") <= ENTRIES).groupBy(*by, "title").agg(F.sort_array(F.collect_list(F.struct("_p", line.alias("line")))).alias("_l"))
+    best = counts.withColumn("_p", place).filter(F.col("_p") <= most).groupBy(*by, "title").agg(F.sort_array(F.collect_list(F.struct("_p", line.alias("line")))).alias("_l"))
     part = F.concat_ws("\n", "title", F.transform("_l", lambda x: x["line"]))
-    return best.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("title", part.alias("part")))).alias("_s")).select(*by, F.concat_ws("\n", F.lit(TITLE), F.transform("_s", lambda x: x["part"])).alias("content"))
+    return best.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(_order(F.col("title"), titles).alias("order"), "title", part.alias("part")))).alias("_s")).select(*by, F.concat_ws("\n", F.lit(TITLE), F.transform("_s", lambda x: x["part"])).alias("content"))

@@ -133,6 +133,20 @@ def false_hits(requests: DataFrame, threshold: float = 0.6) -> DataFrame:
     return rows.withColumn("likeness", F.round(S.likeness(F.col("before"), F.col("query")), 6)).filter(F.col("reused") & (F.col("likeness") >= threshold))
 
 
+def with_provenance(decided: DataFrame, slices: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Decisions with what is known of their slices (by, once each, and columns of provenance); of unknown ones all null, and known is false."""
+    return decided.join(slices.withColumn("known", F.lit(True)), by, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+#: Kinds of prefetch tasks that only warm what they touch: nothing of them is stored.
+WARMING = ("embedding", "file")
+
+
+def prefetch_outcomes(tasks: DataFrame) -> DataFrame:
+    """Adds outcome to prefetch tasks (kind, locality): blocked unless local, warmed where nothing is stored, else stored."""
+    return tasks.withColumn("outcome", F.when(F.coalesce("locality", F.lit("")) != "local", "blocked").when(F.col("kind").isin(*WARMING), "warmed").otherwise("stored"))
+
+
 def tiers(calls: DataFrame, most: int = 3) -> DataFrame:
     """(round keys, tier, n): pro where a round has a writer or more than `most` calls, else flash."""
     n, writer = F.count(F.lit(1)), F.bool_or(~F.col("read_only"))

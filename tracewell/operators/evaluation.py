@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.ranking import global_rank, sums_before
+from tracewell.operators.ranking import global_rank, kept, small, sums_before
 
 
 def chronological(rows: DataFrame, order: list[str], holdout: float, by: list[str] | None = None) -> DataFrame:
@@ -67,12 +67,28 @@ def auc(rows: DataFrame, score: str, positive: str, by: list[str]) -> DataFrame:
 
 
 def distribution(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Mean and interpolated median, p75 and p90; and the upper median, which is an element."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    out = rows.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), q.alias("q"))
-    n = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    upper = n.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*by, F.col(value).alias("upper_median"))
-    return out.join(upper, by).select(*by, "mean", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("median", "p75", "p90"))], "upper_median")
+    """Mean and interpolated median, p75 and p90; and the upper median, which is an element. Nulls aren't counted.
+
+    Places come from counts of distinct values and their sums in ranges, so a group of any size is ranked by many tasks.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = kept(sums_before(counts, by, "_v", F.col("_c"), "_below"))
+    whole = placed.groupBy(*by).agg(F.sum("_c").alias("_n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_mean"))
+    shares = {"median": 0.5, "p75": 0.75, "p90": 0.9}
+    met = placed.join(small(kept(whole)), by)
+    here = lambda i: F.max(F.when((F.col("_below") <= i) & (i < F.col("_below") + F.col("_c")), F.col("_v")))
+    at = lambda share: F.lit(share) * (F.col("_n") - 1)
+    ends = [x for k, s in shares.items() for x in (here(F.floor(at(s))).alias(f"_{k}0"), here(F.ceil(at(s))).alias(f"_{k}1"))]
+    out = met.groupBy(*by, "_n", "_mean").agg(*ends, here(F.floor(F.col("_n") / 2)).alias("upper_median"))
+    part = lambda k, s: F.col(f"_{k}0") + (F.col(f"_{k}1") - F.col(f"_{k}0")) * (at(s) - F.floor(at(s)))
+    return out.select(*by, F.round("_mean", 6).alias("mean"), *[F.round(part(k, s), 6).alias(k) for k, s in shares.items()], "upper_median")
+
+
+def unpaired(rows: DataFrame, arm: str, base: str) -> DataFrame:
+    """(instance, missing): instances that only one of two arms has, and the arm that lacks them; arms are comparable where there are none."""
+    has = lambda a: F.bool_or(F.col("arm") == a)
+    sides = rows.filter(F.col("arm").isin(arm, base)).groupBy("instance").agg(has(arm).alias("a"), has(base).alias("b")).filter("a <> b")
+    return sides.select("instance", F.when(F.col("a"), base).otherwise(arm).alias("missing"))
 
 
 def paired(rows: DataFrame, arm: str, base: str, value: str) -> DataFrame:

@@ -69,16 +69,22 @@ def bm25(docs: DataFrame, queries: DataFrame, tokenize=T.tokens, digits: int = 6
 
 
 def bm25f(docs: DataFrame, queries: DataFrame, weights: dict[str, float], digits: int = 6) -> DataFrame:
-    """BM25 over weighted fields: a token counts its field's weight, in term frequency and in length. One scope."""
-    terms = query_terms(queries, T.symbol_tokens)
-    fields = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), T.symbol_tokens(F.col(c)).alias("tokens")) for c, w in weights.items()])).alias("f")
-    rows = docs.select("doc_id", fields).select("doc_id", "f.w", F.explode("f.tokens").alias("term"))
-    counts = rows.groupBy("doc_id", "term").agg(F.sum("w").alias("tf"))
-    sizes = rows.groupBy("doc_id").agg(F.sum("w").alias("dl"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    asked = counts.join(terms.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    met = asked.join(df, "term").join(sizes, "doc_id").join(terms, "term").crossJoin(F.broadcast(stats))  # one row
+    """BM25 over weighted fields: a token counts its field's weight, in term frequency and in length. One scope.
+
+    Fields are tokenized once; only asked terms, and one row that stands for the document, are counted and shuffled.
+    """
+    terms = kept(query_terms(queries, T.symbol_tokens))
+    fields = F.array(*[F.struct(F.lit(float(w)).alias("w"), T.symbol_tokens(F.col(c)).alias("tokens")) for c, w in weights.items()])
+    rows = docs.select("doc_id", fields.alias("f")).withColumn("dl", F.aggregate("f", F.lit(0.0), lambda s, f: s + f["w"] * F.size(f["tokens"]))).filter("dl > 0")
+    whole = F.array(F.struct(F.lit(_WHOLE).alias("term"), F.lit(0.0).alias("w")))
+    every = F.concat(whole, F.flatten(F.transform("f", lambda f: F.transform(f["tokens"], lambda x: F.struct(x.alias("term"), f["w"].alias("w"))))))
+    mark = terms.sparkSession.range(1).select(F.lit(_WHOLE).alias("term"))
+    asked = small(kept(terms.select("term").distinct().unionByName(mark)))
+    found = kept(rows.select("doc_id", "dl", F.inline(every)).join(asked, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.sum("w").alias("tf")))
+    stats = found.filter(F.col("term") == _WHOLE).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    found = found.filter(F.col("term") != _WHOLE)
+    df = small(kept(found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))))
+    met = found.join(df, "term").join(small(terms), "term").crossJoin(F.broadcast(stats))  # one row
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), digits).alias("score"))
 
@@ -103,10 +109,21 @@ def hash_embedding(rows: DataFrame, key: str, dim: int = 256, text: str = "text"
     return slots.select(key, "slot", (F.col("v") / norm).alias("v"))
 
 
-def sparse_dot(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
-    """query_id, doc_id, score of sparse vectors that share a slot."""
-    met = right.withColumnRenamed("v", "w").join(left, "slot")
-    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("v") * F.col("w")), digits).alias("score"))
+def sparse_dot(left: DataFrame, right: DataFrame, digits: int = 6, dim: int = 256) -> DataFrame:
+    """query_id, doc_id, score of sparse vectors (left: query_id, slot, v; right: doc_id, slot, v) that share a slot.
+
+    Each document is one row with its few entries, each query one with `dim` values; documents are dealt out by id and
+    queries go to each block, so a pair meets once and no slot is a hot key.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = F.map_from_entries(F.collect_list(F.struct("slot", "v")))  # dim at most
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.try_element_at("m", i))
+    asked = left.groupBy("query_id").agg(entries.alias("m")).select("query_id", dense.alias("q"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    dealt = right.groupBy("doc_id").agg(F.collect_list(F.struct("slot", "v")).alias("e")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("long"))
+    both = F.filter(F.transform("e", lambda x: x["v"] * F.get("q", x["slot"].cast("int"))), lambda x: x.isNotNull())
+    met = dealt.join(asked, "block").select("query_id", "doc_id", both.alias("p")).filter(F.size("p") > 0)
+    return met.select("query_id", "doc_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), digits).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

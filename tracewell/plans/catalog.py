@@ -97,7 +97,7 @@ def _(t):
     return t("events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"), F.when(has("error"), "failed").when(has("purchase"), "done").otherwise("open").alias("state"))
 
 
-@query("lineage_promotion", """with l as (select conv_id // 3 g, conv_id id, list(left(text, 12) order by turn) m from conversations group by 1, 2), b as (select g, arg_max(id, (len(m), -id)) best, arg_max(m, (len(m), -id)) a from l group by g), p as (select l.g, id, best, a[: len(m)] = m pre from l join b using (g))
+@query("lineage_promotion", """with l as (select conv_id // 3 g, conv_id id, list(md5(text) order by turn) m from conversations group by 1, 2), b as (select g, arg_max(id, (len(m), -id)) best, arg_max(m, (len(m), -id)) a from l group by g), p as (select l.g, id, best, a[: len(m)] = m pre from l join b using (g))
 select g::bigint "group", id, case when not bool_and(pre) over (partition by g) then 'diverged' when id = best then 'adopted' else 'covered_copy' end state from p""")
 def _(t):
     m = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.md5("text").alias("x")))), lambda x: x["x"])

@@ -106,6 +106,22 @@ def _(t):
     return _admission(t).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("n_queries"), F.round(F.avg("score"), 5).alias("mean_score"))
 
 
+@query("retrieval_provenance", _ADM + " select a.reason, d.source, d.doc_id is not null known, count(*) n, count(distinct query_id) n_queries from adm a left join (select * from documents where doc_id % 10 <> 3) d using (doc_id) group by all")
+def _(t):
+    """Decisions by where their slices come from; some slices are gone from the library."""
+    known = t("documents").filter("doc_id % 10 <> 3").select("doc_id", "source")
+    rows = D.with_provenance(_admission(t).select("query_id", "doc_id", "reason"), known)
+    return rows.groupBy("reason", "source", "known").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query_id").alias("n_queries"))
+
+
+@query("prefetch_outcomes", "select event_type kind, case when user_id % 3 = 0 then 'blocked' when event_type in ('view', 'click') then 'warmed' else 'stored' end outcome, count(*) n from events group by all")
+def _(t):
+    """Tasks of three localities: what isn't local is blocked, and counted."""
+    kind = F.when(F.col("event_type") == "view", "embedding").when(F.col("event_type") == "click", "file").otherwise(F.col("event_type"))
+    tasks = t("events").select("event_type", kind.alias("kind"), F.when(F.col("user_id") % 3 == 0, F.when(F.col("user_id") % 2 == 0, "remote")).otherwise("local").alias("locality"))
+    return D.prefetch_outcomes(tasks).groupBy(F.col("event_type").alias("kind"), "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("injection_packing")
 def _(t):
     """Admitted texts packed into a budget of bytes, best first; one that doesn't fit is passed over."""
@@ -125,10 +141,10 @@ def _(t):
     return _admission(t).groupBy("query_id").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list("doc_id")), 1, 3), lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("false_hit_retry", "with u as (select conv_id, turn, row_number() over (partition by conv_id order by turn) seq, left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 60) q from conversations where role = 'user'), l as (select *, lag(q) over (partition by conv_id order by seq) b, coalesce(lag(seq % 2 = 1) over (partition by conv_id order by seq), false) reused from u), s as (select conv_id, turn, round(1 - levenshtein(b, q) / nullif(greatest(length(b), length(q)), 0)::double, 6) likeness, reused from l) select conv_id, turn, likeness from s where reused and likeness >= 0.2")
+@query("false_hit_retry", "with u as (select conv_id, turn, row_number() over (partition by conv_id order by turn) seq, regexp_replace(text, '[^A-Za-z ]', '', 'g') q from conversations where role = 'user'), l as (select *, lag(q) over (partition by conv_id order by seq) b, coalesce(lag(seq % 2 = 1) over (partition by conv_id order by seq), false) reused from u), s as (select conv_id, turn, case when greatest(length(b), length(q)) > 2048 then 0 else round(1 - levenshtein(b, q) / nullif(greatest(length(b), length(q)), 0)::double, 6) end likeness, reused from l) select conv_id, turn, likeness from s where reused and likeness >= 0.2")
 def _(t):
-    """Prompts that resemble the one before; ASCII letters only, as edit distances count bytes elsewhere."""
-    q = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 60)
+    """Prompts that resemble the one before by all their ASCII letters and blanks, as edit distances count bytes elsewhere."""
+    q = F.regexp_replace("text", "[^A-Za-z ]", "")
     rows = t("conversations").filter("role = 'user'").withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     rows = rows.select(F.col("conv_id").alias("session"), "turn", "seq", q.alias("query"), (F.col("seq") % 2 == 1).alias("l3_reuse")).filter("true")
     return D.false_hits(rows, 0.2).filter(F.greatest(F.length("before"), F.length("query")) > 0).select(F.col("session").alias("conv_id"), "turn", "likeness")
@@ -136,7 +152,7 @@ def _(t):
 
 @query("false_hit_whole")
 def _(t):
-    """Prompts that resemble the one before over their whole texts; false_hit_retry and its SQL see 60 letters of each."""
+    """Prompts that resemble the one before over their whole texts; false_hit_retry and its SQL see their ASCII letters."""
     rows = t("conversations").filter("role = 'user'").withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     rows = rows.select(F.col("conv_id").alias("session"), "turn", "seq", F.col("text").alias("query"), (F.col("seq") % 2 == 1).alias("l3_reuse"))
     return D.false_hits(rows, 0.2).select(F.col("session").alias("conv_id"), "turn", "likeness")
@@ -152,9 +168,9 @@ def _(t):
     return D.tiers(rows).select("session", "round", "n", "tier")
 
 
-_LEARNED = f"""with {_ROUND}, n as (select session, round, min(seq) at, count(*) n, arg_min(tool, seq) filter (tool = 'purchase') writer from rd group by all),
-o as (select session, seq at, case tool when 'click' then 'flash' else 'pro' end tier, seq % 9 <> 4 success, (seq * 37) % 11 * (case tool when 'click' then 1 else 2 end) tokens from c where tool in ('click', 'error')),
-l as (select n.session, round, list(success::int::double order by o.at) filter (tier = 'flash') s, list(tokens::double order by o.at) filter (tier = 'flash' and tokens > 0) c, list(tokens::double order by o.at) filter (tier = 'pro' and tokens > 0) p from n left join o on o.session = n.session and o.at < n.at group by all),
+_LEARNED = f"""with {_ROUND}, n as (select session, round, min(seq) moment, count(*) n, arg_min(tool, seq) filter (tool = 'purchase') writer from rd group by all),
+o as (select session, seq moment, case tool when 'click' then 'flash' else 'pro' end tier, seq % 9 <> 4 success, (seq * 37) % 11 * (case tool when 'click' then 1 else 2 end) tokens from c where tool in ('click', 'error')),
+l as (select n.session, round, list(success::int::double order by o.moment) filter (tier = 'flash') s, list(tokens::double order by o.moment) filter (tier = 'flash' and tokens > 0) c, list(tokens::double order by o.moment) filter (tier = 'pro' and tokens > 0) p from n left join o on o.session = n.session and o.moment < n.moment group by all),
 m as (select session, round, coalesce(len(s), 0) k, list_reduce(s, lambda a, v: 0.2::double * v + 0.8::double * a) s, list_reduce(c, lambda a, v: 0.2::double * v + 0.8::double * a) c, list_reduce(p, lambda a, v: 0.2::double * v + 0.8::double * a) p from l),
 r as (select session, round, n, k, round(s, 6) success, case when session % 13 = 0 and round % 3 = 0 then 'intent:mutation' when writer is not null then 'writer:' || writer when n <= 3 then 'default' when k < 10 then 'complex:' || n
   when s >= 0.7 and (c is null or p is null or c <= p) then 'learned:complex-cheap-ok' else 'learned:complex-needs-pro' end reason from n join m using (session, round))"""

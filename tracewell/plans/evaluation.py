@@ -101,6 +101,12 @@ def _(t):
     return E.paired(rows, "view", "click", "v")
 
 
+@query("unpaired_arms", "select user_id instance, case when bool_or(event_type = 'view') then 'click' else 'view' end missing from events where event_type in ('view', 'click') and value > 60 group by user_id having bool_or(event_type = 'view') <> bool_or(event_type = 'click')")
+def _(t):
+    """Users with large views or large clicks, but not both."""
+    return E.unpaired(t("events").filter("value > 60").select(F.col("user_id").alias("instance"), F.col("event_type").alias("arm")), "view", "click")
+
+
 @query("run_report", "select user_id, map_extract_value(m, 'view') n_view, map_extract_value(m, 'click') n_click, total, round(coalesce(map_extract_value(m, 'error'), 0) / total, 6) error_share from (select user_id, map(list(event_type), list(n)) m, sum(n)::bigint total from (select user_id, event_type, count(*) n from events group by all) group by user_id)")
 def _(t):
     """Counts by name merged into a map for each run."""

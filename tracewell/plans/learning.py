@@ -30,7 +30,7 @@ def _(t):
 
 
 _ANEW = """, g as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) k from r), n as (select *, count(*) over (partition by query_id) > 1{} ok from g where k <= 20),
-s as (select query_id, doc_id, case when ok then 1 / (1 + doc_id % 7)::double else score end score, ok reranked, row_number() over (partition by query_id order by case when ok then doc_id % 7 else k end, doc_id)::int "rank" from n) select {} from s where "rank" <= 5"""
+y as (select query_id, doc_id, case when ok then 1 / (1 + doc_id % 7)::double else score end score, ok reranked, row_number() over (partition by query_id order by case when ok then doc_id % 7 else k end, doc_id)::int "rank" from n) select {} from y where "rank" <= 5"""
 
 
 @query("reranked", _sql(BENCH) + _ANEW.format("", 'query_id, doc_id, score, "rank"'))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import scores, text
 from tracewell.operators import retrieval as R
+from tracewell.operators.ranking import kept, small
 
 from .registry import query
 
@@ -209,5 +210,6 @@ def _(t):
     split = lambda c: F.array_distinct(F.split(F.lower(F.trim(c)), r"\s+"))
     q = _bench(t).select("query_id", split(F.col("text")).alias("w")).select("query_id", F.size("w").alias("m"), F.explode("w").alias("x"))
     d = t("documents").select("doc_id", F.explode(split(F.col("text"))).alias("x"))
-    c = d.join(q, "x").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m"))
+    # Only asked words of documents go on.
+    c = d.join(small(kept(q.select("x").distinct())), "x", "left_semi").join(q, "x").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("m").alias("m"))
     return R.top(c.select("query_id", "doc_id", F.round(F.col("n") / F.col("m"), 6).alias("score")), 5, by=("query_id",))

@@ -73,6 +73,16 @@ def slice_export(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return rows.withColumn("Content", F.decode(F.unbase64("Content"), "UTF-8"))
 
 
+def export_counts(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(taken, oversized, malformed, nameless): lines of an export that slice_export takes, and why it skips others; one row. Blank lines aren't counted."""
+    bad = "_corrupt"
+    lines = spark.read.text(paths).filter(F.trim("value") != "").select(F.when(F.octet_length("value") <= LOG_LINE, F.col("value")).alias("value"))
+    rows = lines.withColumn("j", F.from_json("value", f"{SLICE}, {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    large, wrong = F.col("value").isNull(), F.col("j").isNull() | F.col(f"j.{bad}").isNotNull()
+    none = F.coalesce(F.col("j.ID"), F.lit("")) == ""
+    return rows.agg(F.count_if(~large & ~wrong & ~none).alias("taken"), F.count_if(large).alias("oversized"), F.count_if(~large & wrong).alias("malformed"), F.count_if(~large & ~wrong & none).alias("nameless"))
+
+
 def imported(slices: DataFrame, origin: str = "import") -> DataFrame:
     """Slices as an import takes them: their origin forced, results on probation, one row an id."""
     status = F.when(F.col("Type") == 3, "probation").otherwise(F.col("Meta.result_status"))
