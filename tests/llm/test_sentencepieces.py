@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -109,3 +110,95 @@ def test_copies_are_split_in_their_own_ways(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (1, text), (None, text), (None, text + "x")], "doc_id long, text string")
     assert len({tuple(r.ids) for r in s.encode(docs, MODEL, copies=True).collect()}) == 5
     assert len({tuple(r.ids) for r in s.encode(docs, MODEL).collect()}) == 3
+
+
+M64 = (1 << 64) - 1
+
+
+def plainly(text, key, vocabulary, dropout=s.DROPOUT, seed=s.SEED):
+    """Merge-dropout without an agenda: every pair of neighbours is looked at before each merge.
+
+    vocabulary has (score, id) of the library's pieces, blanks for their sign. Nothing of the operator is called.
+    """
+    if not text:
+        return []
+    spans, out, place = [], [], 0
+    for k, part in enumerate((" " + text).split("▁")):
+        spans += [None] * (k > 0)
+        at = 0
+        while at < len(part):  # blanks and what follows them, a line end alone
+            end = at
+            if part[at] == "\n":
+                end = at + 1
+            else:
+                while end < len(part) and part[end] == " ":
+                    end += 1
+                while end < len(part) and part[end] not in " \n":
+                    end += 1
+            spans.append(part[at:end])
+            at = end
+    for chunk in spans:
+        if chunk is None:
+            out += vocabulary["bytes", "▁"]
+            continue
+        x = ((key ^ xxhash.xxh64_intdigest(str(seed))) + (place + 1) * 0x9E3779B97F4A7C15) & M64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+        draw, place = x ^ x >> 31, place + 1
+
+        def falls_out(left, piece):
+            m = (draw ^ (left * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F) & M64) * 0xFF51AFD7ED558CCD & M64  # noqa: B023
+            return ((m ^ m >> 29) * 0x9FB21C651E98DF25 & M64) >> 24 & 0xFFFFFFFF < int(dropout * 2**32)
+
+        symbols, starts = list(chunk), list(range(len(chunk)))
+        while True:
+            found = []
+            for i in range(len(symbols) - 1):
+                if piece := vocabulary.get(symbols[i] + symbols[i + 1]):
+                    if not falls_out(starts[i], piece[1]):
+                        found.append((-piece[0], starts[i], i))
+            if not found:
+                break
+            i = min(found)[2]
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del starts[i + 1]
+        for x in symbols:
+            out += [vocabulary[x][1]] if x in vocabulary else vocabulary["bytes", x] if ("bytes", x) in vocabulary else [vocabulary["byte", b] for b in x.encode()]
+    return out
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    p = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    out = {}
+    for i in range(p.get_piece_size()):
+        if p.is_byte(i):
+            out["byte", int(p.id_to_piece(i)[3:5], 16)] = i
+        elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
+            out[p.id_to_piece(i).replace("▁", " ")] = (p.get_score(i), i)
+    out["bytes", "▁"] = [out["byte", b] for b in "▁".encode()]
+    return out
+
+
+def test_the_model_s_pieces_fit_the_chunks(vocabulary):
+    """No piece has a blank or a line end after another character, so none reaches over two chunks."""
+    words = [x for x in vocabulary if isinstance(x, str)]
+    assert len(words) > 30_000 and all(" " not in x.lstrip(" ") and ("\n" not in x or x == "\n") for x in words)
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_splits_are_a_plain_loop_s(vocabulary, dropout):
+    pieces = s.Pieces(MODEL, dropout)
+    texts = [*TEXTS, "international considerations of tokenization " * 12, "a▁b Überraschung é中🙂 ▁ " + "y" * 90]
+    for key, t in enumerate(texts):
+        assert ids(pieces.encode(t, key)) == plainly(t, key, vocabulary, dropout)
+
+
+def test_the_table_s_ids_are_a_plain_loop_s(spark, sf, vocabulary):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: list(r.ids) for r in s.encode(docs, MODEL).select("doc_id", "ids").collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        key = xxhash.xxh64_intdigest(f"{r.doc_id} 0 {xxhash.xxh64_hexdigest(r.text)}", s.SEED)
+        assert got[r.doc_id] == plainly(r.text, key, vocabulary), r.doc_id
