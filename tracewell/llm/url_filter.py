@@ -36,8 +36,10 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits and hashes for each key of the first level, and of the others.
 FIRST, LATER = (10, 7), (4, 3)
-#: Keys of a shard's first level: its cascade then has a few MB; more keys make more shards, one pass each.
+#: Keys of whose bits a shard's first two levels have as many: its cascade then has a few MB; more make more shards, one pass each.
 SHARD_KEYS = 1 << 22
+#: Unlisted keys of which the first level lets one through; the second level encodes those.
+PASSES = 120
 MOST_LEVELS = 60
 
 
@@ -119,18 +121,29 @@ def cascade(listed: DataFrame, others: DataFrame) -> list[Level]:
     return levels
 
 
-def cascades(universe: DataFrame, listed: DataFrame) -> list[list[Level]]:
-    """One cascade for each shard of keys by hash. universe and listed have keys (h1, h2), repeats and all."""
+def shards_of(listed: int, others: int) -> int:
+    """Shards of which each has SHARD_KEYS listed keys or fewer, counting the bits of the false positives that its second level encodes."""
+    bits = FIRST[0] * listed + LATER[0] * -(-others // PASSES)
+    return max(1, -(-bits // (FIRST[0] * SHARD_KEYS)))
+
+
+def cascades(universe: DataFrame, listed: DataFrame) -> tuple[int, Iterator[list[Level]]]:
+    """How many shards of keys there are by hash, and each one's cascade, built when it is asked for. universe and listed have keys (h1, h2), repeats and all."""
     rows = universe.select("h1", "h2", F.lit(False).alias("l")).distinct().unionByName(listed.select("h1", "h2", F.lit(True).alias("l")))
     marked = rows.groupBy("h1", "h2").agg(F.bool_or("l").alias("l"), F.bool_or(~F.col("l")).alias("asked")).filter("asked")
     marked = stored(marked.select("h1", "h2", "l"))
-    shards = max(1, -(-marked.filter("l").count() // SHARD_KEYS))
-    return [cascade(part.filter("l"), part.filter("not l")) for part in (marked.filter(F.pmod(F.col("h1"), F.lit(shards)) == s) for s in range(shards))]
+    n = marked.agg(F.count_if("l").alias("listed"), F.count_if(~F.col("l")).alias("others")).first()
+    shards = shards_of(n["listed"], n["others"])
+    parts = (marked.filter(F.pmod(F.col("h1"), F.lit(shards)) == s) for s in range(shards))
+    return shards, (cascade(part.filter("l"), part.filter("not l")) for part in parts)
 
 
-def answered(rows: DataFrame, keys: str, built: list[list[Level]]) -> DataFrame:
-    """Adds `_in`, an array of booleans beside the array column keys of (h1, h2): which keys are listed."""
-    out, shards = rows.withColumn("_in", F.transform(keys, lambda x: F.lit(False))), len(built)
+def answered(rows: DataFrame, keys: str, shards: int, built: Iterator[list[Level]]) -> DataFrame:
+    """Adds `_in`, an array of booleans beside the array column keys of (h1, h2): which keys are listed.
+
+    Shards are built, asked and let go one after the other, so the driver and each executor hold one's levels.
+    """
+    out = rows.withColumn("_in", F.transform(keys, lambda x: F.lit(False)))
     for s, levels in enumerate(built):
         held = rows.sparkSession.sparkContext.broadcast(levels)
         at = out.columns.index(keys)
@@ -147,7 +160,9 @@ def answered(rows: DataFrame, keys: str, built: list[list[Level]]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(counts), pa.array(hit))], names=batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
-        out = stored(out) if shards > 1 else out
+        if shards > 1:
+            out = stored(out)
+            held.destroy()
     return out
 
 
@@ -193,7 +208,7 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule] = RULES, blocked: DataFra
     listed = spark.createDataFrame(text, "kind string, text string").unionByName(blocked.select(F.lit("host").alias("kind"), F.translate("host", UPPER, LOWER).alias("text")))
     h1, h2 = hash2(F.col("kind"), F.col("text"))
     built = cascades(rows.select(F.explode("_keys").alias("k")).select("k.h1", "k.h2"), listed.select(h1.alias("h1"), h2.alias("h2")))
-    rows = answered(rows, "_keys", built)
+    rows = answered(rows, "_keys", *built)
     hits = F.transform(F.filter(F.arrays_zip(F.col("_keys").alias("k"), F.col("_in").alias("i")), lambda x: x["i"]), lambda x: x["k"])
     rows = rows.withColumn("_hits", hits)
     rank = F.transform(F.filter("_hits", lambda x: x["kind"] != "host"), lambda x: F.struct(F.length(x["text"]).alias("n"), F.instr(x["text"], "/").alias("m"), x["text"].alias("text"), x["kind"].alias("kind")))
