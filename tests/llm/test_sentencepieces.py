@@ -68,6 +68,13 @@ def test_tables(spark):
     assert s.encode(docs.limit(0), MODEL).count() == 0 and s.round_trip(docs.limit(0), MODEL).count() == 0
 
 
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("a", "one text"), (None, "none"), ("b", None)], "doc_id string, text string")
+    enc = s.encode(docs, MODEL, copies=True)
+    assert {r.doc_id: r.text for r in s.decode(enc, MODEL).collect()} == {"a": "one text", None: "none", "b": ""}
+    assert {r.doc_id for r in s.round_trip(docs, MODEL).collect() if r.lossless} == {"a", None, "b"}
+
+
 def test_query_is_lossless(spark, sf):
     import hashlib
 

@@ -446,6 +446,11 @@ def _slices(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[int, list[str],
         yield first, texts, keys
 
 
+def _id(rows: DataFrame) -> str:
+    """doc_id and its type, which may be any."""
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"
+
+
 def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int = SEED, text: str = "text", copies: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (array<int>) of each row; a null or empty text has no ids.
 
@@ -465,7 +470,7 @@ def encode(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int =
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n.astype(np.int32)), lists], names=["doc_id", "n_tokens", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens int, ids array<int>")
+    return rows.mapInArrow(run, f"{_id(docs)}, n_tokens int, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -477,7 +482,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
             texts = [None if x is None else pieces.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"{_id(encoded)}, text string")
 
 
 def round_trip(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: int = SEED, text: str = "text") -> DataFrame:
@@ -501,7 +506,7 @@ def round_trip(docs: DataFrame, model: bytes, dropout: float = DROPOUT, seed: in
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *cols], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
 
-    return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(run, "doc_id long, n_tokens int, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(run, f"{_id(docs)}, n_tokens int, ids_sha256 string, decoded_sha256 string, lossless boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
