@@ -29,3 +29,9 @@ def test_directories_are_carried_on(spark):
     assert got == {("s", 1): None, ("s", 2): None, ("s", 3): "/a/b", ("s", 4): "/a/b", ("s", 5): "/a/c", ("s", 6): "/a/c", ("s", 7): "/a/c/d", ("s", 8): "/z", ("s", 9): "/", ("t", 1): None, ("t", 2): "x", ("t", 3): "x/y"}
     one = spark.createDataFrame([("/a", "b"), (None, "b"), ("/a", "/c"), ("/a/b", "../c"), ("/a", r"d\e")], "cwd string, p string")
     assert [r[0] for r in one.select(E.resolved(F.col("p"), F.col("cwd"))).collect()] == ["/a/b", "b", "/c", "/a/c", "/a/d/e"]
+
+
+def test_directories_back_at_the_start_are_not_the_root(spark):
+    calls = [(1, "cd lib"), (2, "cd .."), (3, "cd lib"), (4, "cd ../.."), (5, "cd x"), (6, "ls")]
+    got = {r.seq: r.cwd for r in E.current_directory(spark.createDataFrame([("s", *c) for c in calls], "session string, seq int, command string")).collect()}
+    assert got == {1: None, 2: "lib", 3: "", 4: "lib", 5: "..", 6: "../x"}

@@ -54,14 +54,19 @@ def _gone_to(now: str | None, target: str) -> str:
     return normal_path(target if absolute or now is None else f"{now}/{target}")
 
 
+def _moved(now: str | None, target: str) -> str:
+    """Where a cd leads. Steps that have led back to where a session without an absolute directory began count as none: "" isn't the root."""
+    return _gone_to(now or None, target)
+
+
 def current_directory(calls: DataFrame, session: str = "session", order: str = "seq", command: str = "command") -> DataFrame:
     """Adds cwd to calls: where the session's last cd before this call has led, null before the first.
 
-    A relative target goes on from there; `..` and `.` are resolved. Calls that aren't a cd leave it as it is. An order has
+    A relative target goes on from there; `..` and `.` are resolved, an empty cwd is where the session began. Calls that aren't a cd leave it as it is. An order has
     one call. Only the calls that are a cd are walked one by one.
     """
     moves = calls.select(session, order, slashed(cd_target(F.col(command))).alias("_to")).filter("_to is not null")
-    led = scanned(moves, session, [order], "_to", _gone_to, "_dir string")
+    led = scanned(moves, session, [order], "_to", _moved, "_dir string")
     before = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return calls.join(led, [session, order], "left").withColumn("cwd", F.last("_dir", ignorenulls=True).over(before)).select(*calls.columns, "cwd")
 
