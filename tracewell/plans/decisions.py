@@ -21,7 +21,7 @@ x as (select *, {_KIND} kind, case doc_id % 3 when 0 then 'import' when 1 then '
 def hits(t):
     i = F.col("doc_id")
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (i % len(v) + 1).cast("int"))
-    h = R.top(R.bm25(_docs(t), _bench(t)), 20, by=("query_id",))
+    h = R.bm25_top(_docs(t), _bench(t), 20, by=("query_id",))
     return h.select(
         "query_id", "doc_id", "score", (F.col("n_matched") / F.col("n_terms")).alias("coverage"), pick("prompt", "result", "memory", "result").alias("kind"), pick("import", "session-auto", "user-curated").alias("origin"),
         F.when(i % 5 == 0, "probation").otherwise("verified").alias("status"), (i % 7 == 0).alias("stale"), (i % 6 != 0).alias("context_ok"), pick(None, "yes", None, "no").alias("judged"),

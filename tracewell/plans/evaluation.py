@@ -33,7 +33,7 @@ _TOP2 = _sql(BENCH) + """, m as (select query_id, max(score) filter (g = 1) top1
 
 
 def _top2(t):
-    hits = R.top(R.bm25(_docs(t), _bench(t)), 2, by=("query_id",))
+    hits = R.bm25_top(_docs(t), _bench(t), 2, by=("query_id",))
     pick = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
     out = hits.groupBy("query_id").agg(pick(1, "score").alias("top1"), F.coalesce(pick(2, "score"), F.lit(0.0)).alias("top2"), pick(1, "doc_id").alias("doc_id"))
     return out.withColumn("ratio", F.col("top2") / F.col("top1")).withColumn("relevant", F.col("doc_id") % 3 != 0)
@@ -69,7 +69,7 @@ _RANKED = _sql(BENCH) + ", k as (select query_id, doc_id, score, row_number() ov
 
 
 def _ranked(t):
-    return R.top(R.bm25(_docs(t), _bench(t)), 20, by=("query_id",)).withColumn("relevant", F.col("doc_id") % 4 == F.col("query_id") % 4)
+    return R.bm25_top(_docs(t), _bench(t), 20, by=("query_id",)).withColumn("relevant", F.col("doc_id") % 4 == F.col("query_id") % 4)
 
 
 @query("ndcg_mrr", _RANKED + ", g as (select query_id, sum(case when relevant and rank <= 10 then 1 / log2(rank + 1) else 0 end) gain, count(*) filter (relevant) n, min(rank) filter (relevant and rank <= 10) f from j group by query_id having n > 0) select query_id, round(gain / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6) ndcg, round(coalesce(1 / f, 0), 6) rr from g")
@@ -158,6 +158,5 @@ def _(t):
 
 @query("zone_by_type", _sql(BENCH) + f", z as (select doc_id % 3 kind, {ZONE.format(s='score', t='max(score) over (partition by query_id, scope)')} zone from r) select kind, count(*) filter (zone = 'hit') hit, count(*) filter (zone = 'grey') grey, count(*) filter (zone = 'miss') miss from z group by kind")
 def _(t):
-    top1 = F.max("score").over(Window.partitionBy("query_id", "scope"))
-    z = R.bm25(_docs(t), _bench(t)).select((F.col("doc_id") % 3).alias("kind"), scores.zone(F.col("score"), top1).alias("zone"))
+    z = R.with_top(R.bm25(_docs(t), _bench(t))).select((F.col("doc_id") % 3).alias("kind"), scores.zone(F.col("score"), F.col("top1")).alias("zone"))
     return z.groupBy("kind").agg(*[F.count_if(F.col("zone") == x).alias(x) for x in ("hit", "grey", "miss")])

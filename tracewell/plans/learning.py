@@ -25,7 +25,7 @@ def _(t):
 
 @query("lookup", _sql(BENCH) + f", g as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) rank, max(score) over (partition by query_id) t from r) select query_id, doc_id, score, {ZONE.format(s='score', t='t')} zone from g where rank <= 5")
 def _(t):
-    hits = R.top(R.bm25(_docs(t), _bench(t)), 50, by=("query_id",))
+    hits = R.bm25_top(_docs(t), _bench(t), 50, by=("query_id",))
     return L.lookup(hits).select("query_id", "doc_id", "score", "zone")
 
 
@@ -36,14 +36,14 @@ y as (select query_id, doc_id, case when ok then 1 / (1 + doc_id % 7)::double el
 @query("reranked", _sql(BENCH) + _ANEW.format("", 'query_id, doc_id, score, "rank"'))
 def _(t):
     """Hits scored again by a stand-in for an outside model: the share of terms found."""
-    hits = R.top(R.bm25(_docs(t), _bench(t)), 20, by=("query_id",))
+    hits = R.bm25_top(_docs(t), _bench(t), 20, by=("query_id",))
     return L.rerank(hits, lambda rows: 1 / (1 + rows["doc_id"] % 7))
 
 
 @query("reranked_guarded", _sql(BENCH) + _ANEW.format(" and query_id % 5 <> 0", 'query_id, doc_id, score, reranked, "rank"'))
 def _(t):
     """A stand-in for an outside model forgets a hit of every fifth query, which keeps its order."""
-    hits = R.top(R.bm25(_docs(t), _bench(t)), 20, by=("query_id",))
+    hits = R.bm25_top(_docs(t), _bench(t), 20, by=("query_id",))
     return H.reranked(hits, lambda q, found: [(h["doc_id"], 1 / (1 + h["doc_id"] % 7)) for h in found[q % 5 == 0 :]])
 
 
