@@ -49,3 +49,27 @@ def test_false_hits_compare_whole_prompts(spark, tmp_path):
     got = {r.conv_id: r.likeness for r in plans.QUERIES["false_hit_whole"](spark, path).collect()}
     want = {i: round(0.0 if max(map(len, p)) > 2048 else 1 - edits(*p) / max(map(len, p)), 6) for i, p in enumerate(texts)}
     assert got == {i: x for i, x in want.items() if x >= 0.2} and 0 not in got and 4 not in got
+
+
+def test_clusters_of_a_long_chain_and_random_likes(spark, monkeypatch):
+    """Rows whose likes are out already don't wait for the chain; before, likes were searched anew in each round."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tracewell.operators import cards
+
+    rng = random.Random(4)
+    pairs = {(i, i + 1) for i in range(6)} | {tuple(sorted(rng.sample(range(10, 50), 2))) for _ in range(90)}
+    want = {}
+    for i in range(52):
+        want[i] = next((r for r in range(i) if want[r] == r and (r, i) in pairs), i)
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(a):
+        made.add(1)
+        return a
+
+    df = spark.createDataFrame(sorted(pairs), "a long, b long")
+    got = cards.clusters(df.withColumn("a", F.udf(seen, "long")("a")), spark.range(52).coalesce(1))
+    assert {r.id: r.rep for r in got.collect()} == want and made.value == len(pairs)
