@@ -74,3 +74,17 @@ def test_on_the_tables(spark):
 def test_odd_rows(spark):
     rows = [(1, "a b"), (2, "A  b"), (3, None), (4, ""), (5, " \t"), (6, "a b c"), (6, "a b c")]
     assert run(spark, rows) == [1, 3, 6] and run(spark, []) == []
+
+
+def test_trees_over_fingerprints_find_links_of_their_own(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(400)]
+    docs = [(0, " ".join(words)), (1, " ".join([*words, "end"])), (2, " ".join([*(f"s{i}" for i in range(8)), *words])), (3, " ".join(words[:200])), (4, "a b c d e"), (5, "f g h i j")]
+    fps = [c.fingerprint(c.shingles(t.encode())) for _, t in docs]
+    far = [int.bit_count((fps[0] ^ x) % 2**64) for x in fps[1:3]]
+    assert 0 < max(far) <= 4
+    assert c.alike(*(c.shingles(docs[i][1].encode()) for i in (0, 1))) and not c.alike(*(c.shingles(docs[i][1].encode()) for i in (0, 3)))
+    # No band is drawn: what is left is what SimHash and the check on whole sets link.
+    monkeypatch.setattr(c, "_shards", lambda sets: c.stored(sets.select(F.col("set_id").alias("shard"), "set_id").limit(0)))
+    assert run(spark, docs) == [0, 3, 4, 5]

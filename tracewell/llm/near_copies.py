@@ -1,9 +1,11 @@
-"""Near-dedup by MinHash: texts whose sets of 5-word shingles are alike to 0.8 or more (Jaccard) are linked.
-
-Each distinct set draws BANDS keys of ROWS least hashes; sets that share a key meet. A pair alike to 0.8 shares
-none with a chance of (1 - 0.8 ** ROWS) ** BANDS = 0.0002. What meets is compared on the whole sets. Keys that the
-very same sets share are one shard. Within a shard a search from set to set emits a forest of links, never all
-pairs; a shard's sets are held by one task.
+"""Near-dedup: texts whose sets of 5-word shingles are alike to 0.8 or more (Jaccard) are linked, by SimHash first.
+
+Each distinct set has a SimHash, and vantage-point trees (see simhash) find those within RADIUS bits of each other. That
+is a forest of fingerprints; its links hold where the whole sets are alike. At a likeness of 0.8 most SimHashes differ in
+more bits, so what trees can't reach goes another way: each set draws BANDS keys of ROWS least hashes, and sets that
+share a key meet. A pair alike to 0.8 shares none with a chance of (1 - 0.8 ** ROWS) ** BANDS = 0.0002. What meets is
+compared on the whole sets. Keys that the very same sets share are one shard. Within a shard a search from set to set
+emits a forest of links, never all pairs; a shard's sets are held by one task.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import guarded, hash2, stored
 from .components import components
 
@@ -55,17 +58,30 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(least[at : at + ROWS].tobytes(), at) for at in range(0, len(least), ROWS)], np.uint64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles, 0 of an empty set."""
+    votes = sum((simhash.votes(found[at : at + _DRAWN]) for at in range(0, len(found), _DRAWN)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * votes > len(found), bitorder="little").view(np.int64)[0])
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the likeness of two sets is 0.8 or more."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return COMMON * common >= ALL * (len(a) + len(b) - common)
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         *keys, texts = batch.columns
-        sets, bands = [], []
+        sets, bands, fps = [], [], []
         for x in texts:
             found = shingles(x.as_py())
             sets.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
             bands.append(band_keys(found).view(np.int64))
+            fps.append(fingerprint(found))
         offsets = np.cumsum([0, *map(len, bands)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *bands])))
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(sets, np.uint64).view(np.int64)), lists], names=[*batch.schema.names[:-1], "set_id", "bands"])
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(sets, np.uint64).view(np.int64)), lists, pa.array(fps, pa.int64())], names=[*batch.schema.names[:-1], "set_id", "bands", "fp"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +140,22 @@ def _shards(sets: DataFrame) -> DataFrame:
     return stored(flat.join(once, ["band", "key"]).select(F.xxhash64("band", "key").alias("shard"), "set_id"))
 
 
+def _near_fingerprints(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose SimHashes are equal, each with the least of them, or linked by vantage-point trees, the least of either."""
+    of = stored(sets.groupBy("fp").agg(F.min("set_id").alias("least")))
+    equal = sets.join(of, "fp").filter("set_id <> least").select(F.col("least").alias("a"), F.col("set_id").alias("b"))
+    linked = simhash.near_links(of.select("fp"), of.count())
+    ends = [of.select(F.col("fp").alias(f), F.col("least").alias(c)) for f, c in (("x", "a"), ("y", "b"))]
+    return stored(equal.unionByName(linked.toDF("x", "y").join(ends[0], "x").join(ends[1], "y").select("a", "b")).distinct())
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of whole sets (ha, hb) that are alike."""
+    for batch in batches:
+        ok = [alike(*(np.frombuffer(x.as_py(), np.uint64) for x in pair)) for pair in zip(batch.column(2), batch.column(3), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 @guarded
 def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs without all but one of each group: the least doc_id (null last), then text hash, stays.
@@ -134,15 +166,18 @@ def near_dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     given = docs.columns
     k1, k2 = hash2(F.col("doc_id"), F.col("doc_id").isNull(), F.coalesce(F.col(text), F.lit("")))
     rows = docs.withColumn("_k1", k1).withColumn("_k2", k2)
-    keyed = rows.select("doc_id", "_k1", "_k2", F.col(text).cast("binary").alias("_text")).mapInArrow(_keyed, "doc_id long, _k1 long, _k2 long, set_id long, bands array<long>")
+    keyed = rows.select("doc_id", "_k1", "_k2", F.col(text).cast("binary").alias("_text")).mapInArrow(_keyed, "doc_id long, _k1 long, _k2 long, set_id long, bands array<long>, fp long")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_k1"), F.col("_k2"))
-    sets = stored(stored(keyed).groupBy("set_id").agg(F.min(place).alias("first"), F.first("bands").alias("bands")))
-    shards = _shards(sets)
-    asked = sets.join(shards.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "first._k1", "first._k2")
+    sets = stored(stored(keyed).groupBy("set_id").agg(F.min(place).alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
+    shards, near = _shards(sets), _near_fingerprints(sets)
+    met = shards.select("set_id").union(near.select("a")).union(near.select("b")).distinct()
+    asked = sets.join(met, "set_id", "left_semi").select("set_id", "first._k1", "first._k2")
     texts = rows.select("_k1", "_k2", F.col(text).cast("binary").alias("_text")).join(asked, ["_k1", "_k2"]).dropDuplicates(["set_id"]).select("set_id", "_text")
     hashed = stored(texts.mapInArrow(_hashed, "set_id long, hashes binary"))
+    sides = [hashed.select(F.col("set_id").alias(c), F.col("hashes").alias(f"h{c}")) for c in ("a", "b")]
+    by_simhash = near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "ha", "hb").mapInArrow(_alike, "a long, b long")
     met = shards.join(hashed, "set_id").select("shard", "set_id", "hashes").repartition("shard").sortWithinPartitions("shard")
-    roots = components(met.mapInArrow(_shard_links, "a long, b long"))
+    roots = components(by_simhash.unionByName(met.mapInArrow(_shard_links, "a long, b long")))
     rooted = sets.select("set_id", "first").join(roots, F.col("set_id") == F.col("node"), "left").select("first", F.coalesce("root", "set_id").alias("root"))
     stay = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first._k1", "first._k2").distinct())
     # Both steps need rows by the two hashes only, so the texts are shuffled once.

@@ -42,7 +42,8 @@ ROUNDS = 3
 LEAF = 32
 
 
-def _votes(hashes: np.ndarray) -> np.ndarray:
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """For each bit the hashes that have it set."""
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
@@ -59,11 +60,11 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[min(width, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    votes, total = np.zeros(64, np.int64), len(last)
+    cast, total = np.zeros(64, np.int64), len(last)
     for at in range(0, total, 65_536):
         cuts = zip(starts[at : at + 65_536].tolist(), last[at : at + 65_536].tolist(), strict=False)
-        votes += _votes(np.array([digest(joined[a:b], SEED) for a, b in cuts], np.uint64))
-    return int(np.packbits(2 * votes > total, bitorder="little").view(np.uint64)[0])
+        cast += votes(np.array([digest(joined[a:b], SEED) for a, b in cuts], np.uint64))
+    return int(np.packbits(2 * cast > total, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
