@@ -1,7 +1,11 @@
 """What queries cost as tables grow, shown by plans."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
+from tracewell import plans
 from tracewell.operators import cards as K
 
 
@@ -11,3 +15,15 @@ def test_a_lift_reads_freshness_once(spark):
     got = {(r.p, r.f): r.x for r in rows.select("p", "f", K.lift(F.col("p"), F.col("f")).alias("x")).collect()}
     assert got == {(p, f): None if f in ("expired", None) else (1.08 if p else 1.0) * (0.92 if f == "stale" else 1.0) for p, f in got}
     assert len(got) == 18
+
+
+@pytest.mark.parametrize("name", ["recall_block", "injection_order", "injection_packing", "retrieval_provenance", "library_too_small", "canonical_ids", "admission_strict", "top_sources"])
+def test_texts_are_not_shuffled_for_few_hits(spark, sf, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all tables were large
+    try:
+        plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"SortMergeJoin\(?.*\[(doc_id|id)#.*Inner", plan)
+    assert re.search(r"BroadcastHashJoin \[(doc_id|id)#.*Inner", plan)

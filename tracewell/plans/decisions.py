@@ -68,7 +68,7 @@ def _library(t):
 
 
 def _admission(t, gates=D.Gates(("result", "memory"), 2, sources=2, coverage=0.2)):
-    return D.admission(hits(t).join(t("documents").select("doc_id", F.col("text").alias("content")), "doc_id"), _library(t), gates)
+    return D.admission(R.beside(hits(t), t("documents").select("doc_id", F.col("text").alias("content"))), _library(t), gates)
 
 
 _STRICT = _ADM.replace("not stale eligible", "not stale and not (kind = 'memory' and doc_id % 8 = 2) eligible").replace("adm as (select", """strict as (select query_id, doc_id, eligible, case when kind not in ('result', 'memory') then 'type_not_allowed' when kind = 'result' and status <> 'verified' then 'result_probation' when origin = 'import' then 'origin_below_floor' when stale then 'freshness'
@@ -80,7 +80,7 @@ adm as (select""")
 def _(t):
     """All gates at once, grey hits let in: runner-up, margin, score, coverage and the task that a card is tagged with."""
     tag = F.concat(F.lit("Plan (task="), F.when(F.col("doc_id") % 8 == 2, "docs").otherwise("bugfix"), F.lit("):\n"), "text")
-    rows = hits(t).join(t("documents").select("doc_id", tag.alias("content")), "doc_id")
+    rows = R.beside(hits(t), t("documents").select("doc_id", tag.alias("content")))
     gates = D.Gates(("result", "memory"), 2, "bugfix", 100, 2, True, 0.5, 4.0, 0.1, True)
     return D.admission(rows, _library(t), gates).select("query_id", "doc_id", "eligible", "reason")
 
@@ -126,7 +126,7 @@ def _(t):
 def _(t):
     """Admitted texts packed into a budget of bytes, best first; one that doesn't fit is passed over."""
     rows = _admission(t).filter("reason = 'admitted'").select("query_id", "rank", F.col("doc_id").alias("id"))
-    sized = rows.join(t("documents").select(F.col("doc_id").alias("id"), F.octet_length("text").alias("size")), "id")
+    sized = R.beside(rows, t("documents").select(F.col("doc_id").alias("id"), F.octet_length("text").alias("size")), "id")
     return D.packed(sized, 4096).select("query_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "used")
 
 

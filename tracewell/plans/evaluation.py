@@ -152,7 +152,7 @@ def _(t):
 @query("top_sources", _RANKED + ", so as (select query_id, source, count(*) n, min(rank) pos from j join documents using (doc_id) group by all) select query_id, source, n, row_number() over (partition by query_id order by n desc, pos) place from so qualify place <= 3")
 def _(t):
     """The sources with most hits; ties go to the one seen first."""
-    s = _ranked(t).join(t("documents").select("doc_id", "source"), "doc_id").groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("pos"))
+    s = R.beside(_ranked(t), t("documents").select("doc_id", "source")).groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("pos"))
     return s.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "pos"))).filter("place <= 3").drop("pos")
 
 
