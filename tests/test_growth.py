@@ -57,7 +57,7 @@ def shuffled(spark, run) -> int:
     return rows() - before
 
 
-@pytest.mark.parametrize("name", ["injection_order", "l3_counters", "l3_learned_threshold", "eval_single_vs_three", "lookup", "zone_by_type", "reranked"])
+@pytest.mark.parametrize("name", ["injection_order", "l3_counters", "l3_learned_threshold", "eval_single_vs_three", "lookup", "zone_by_type", "reranked", "ndcg_mrr"])
 def test_what_is_shuffled_does_not_grow_with_documents(spark, copies, name):
     """Before, each term of a document, then each pair, was gathered in tasks whose memory grew with the documents."""
     before = spark.conf.get("spark.sql.files.minPartitionNum", None)
