@@ -1,6 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
+from tracewell import plans
 from tracewell.operators import edits as E
+from tracewell.plans import edits as edit_plans
 
 
 def test_receipts(spark):
@@ -35,3 +38,13 @@ def test_directories_back_at_the_start_are_not_the_root(spark):
     calls = [(1, "cd lib"), (2, "cd .."), (3, "cd lib"), (4, "cd ../.."), (5, "cd x"), (6, "ls")]
     got = {r.seq: r.cwd for r in E.current_directory(spark.createDataFrame([("s", *c) for c in calls], "session string, seq int, command string")).collect()}
     assert got == {1: None, 2: "lib", 3: "", 4: "lib", 5: "..", 6: "../x"}
+
+
+@pytest.mark.parametrize("name", ["edit_directories", "edit_receipts"])
+def test_every_line_of_a_result_is_looked_at(spark, monkeypatch, name):
+    """Before, lines from the fourth on were taken as one."""
+    calls = [("s", 1, "cd /w", None), ("s", 2, None, "one\ntwo\nthree\nedited d\n\nedited e \nx\nwrote 3 bytes to /w/f"), ("s", 3, None, "edited a"), ("s", 4, None, None)]
+    monkeypatch.setattr(edit_plans, "_calls", lambda t: spark.createDataFrame(calls, "session string, seq int, command string, result string"))
+    got = sorted((r.seq, r.path) for r in plans.QUERIES[name](spark, "none").collect())
+    below = "/w/" if name == "edit_directories" else ""
+    assert got == sorted([(2, f"{below}d"), (2, f"{below}e"), (2, "/w/f"), (3, f"{below}a")])

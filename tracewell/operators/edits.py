@@ -12,12 +12,17 @@ from tracewell.operators.folds import scanned
 
 #: Parts of a result that are looked at: three lines, and the rest as one.
 PARTS = 4
+#: Instead of that: all lines of a result.
+EVERY = -1
 
 
-def receipt_paths(result: Column) -> Column:
-    """Paths that a result reports as edited or written, in order: `edited <path>` and `wrote <n> bytes to <path>`."""
+def receipt_paths(result: Column, parts: int = PARTS) -> Column:
+    """Paths that a result reports as edited or written, in order: `edited <path>` and `wrote <n> bytes to <path>`.
+
+    A result is looked at in so many parts at most, by lines; with EVERY, each of its lines is.
+    """
     line = lambda x: F.btrim(x, F.lit(" \t\r\n"))
-    parts = F.transform(F.split(F.coalesce(result, F.lit("")), "\n", PARTS), line)
+    parts = F.transform(F.split(F.coalesce(result, F.lit("")), "\n", parts), line)
     edited = lambda x: F.when(F.startswith(x, F.lit("edited ")), line(F.substr(x, F.lit(8))))
     wrote = lambda x: F.when(F.startswith(x, F.lit("wrote ")) & F.contains(x, F.lit(" bytes to ")), line(F.substr(x, F.locate(" bytes to ", x) + 10)))
     return F.filter(F.transform(parts, lambda x: F.coalesce(edited(x), wrote(x))), lambda x: x.isNotNull())

@@ -32,7 +32,7 @@ def _calls(t):
 def _(t):
     """Paths of edits below the session's longest root."""
     calls = _calls(t)
-    paths = calls.select("session", "seq", F.explode(E.receipt_paths(F.col("result"))).alias("path"))
+    paths = calls.select("session", "seq", F.explode(E.receipt_paths(F.col("result"), E.EVERY)).alias("path"))
     return E.stripped(paths, E.roots(calls))
 
 
@@ -49,5 +49,5 @@ x as (select w.session, w.seq, path, last_value(dir ignore nulls) over (partitio
 def _(t):
     """Where a session's commands have led when it edits, and the path that this makes."""
     calls = E.current_directory(_calls(t))
-    rows = calls.select("session", "seq", "cwd", F.explode(E.receipt_paths(F.col("result"))).alias("path"))
+    rows = calls.select("session", "seq", "cwd", F.explode(E.receipt_paths(F.col("result"), E.EVERY)).alias("path"))
     return rows.withColumn("path", E.resolved(F.col("path"), F.col("cwd")))
