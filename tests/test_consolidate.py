@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell import plans
@@ -101,3 +102,23 @@ def test_merged_context_query(spark, sf):
             want[rep] = (len(ids), digest, sum(r.hits for r in some), max(r.created for r in some), len({r.source for r in some}))
     got = {r.rep: (r.n, r.content_sha256, r.hits, r.created, r.n_sources) for r in plans.QUERIES["merged_context"](spark, sf).collect()}
     assert got == want and len(got) > 3
+
+
+@pytest.mark.parametrize("led", [1, 7, 40])
+@pytest.mark.parametrize("settled", [0.0, 2.0])
+def test_leaders_are_the_plain_walk_s_without_all_pairs(spark, monkeypatch, led, settled):
+    """Before, all alike pairs were made and stored, which grow with the square of what is alike."""
+    from tracewell.operators import cards as K
+
+    rng = random.Random(led)
+    sets = {frozenset(rng.sample(range(12), rng.randint(1, 6))): None for _ in range(160)}
+    sets = dict(enumerate(sets, 5))
+    want, reps = {}, []
+    for i, s in sets.items():
+        want[i] = next((r for r in reps if len(s & sets[r]) / len(s | sets[r]) >= 0.6), i)
+        reps += [i] if want[i] == i else []
+    monkeypatch.setattr(K, "LED", led)
+    monkeypatch.setattr(K, "SETTLED", settled)  # 2: the second round's rest by pairs
+    monkeypatch.setattr(K, "WORDS", 5 if led == 7 else 2_048)
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, words array<long>").repartition(3)
+    assert {r.id: r.rep for r in K.led(df, 0.6).collect()} == want

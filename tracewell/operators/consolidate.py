@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.cards import clusters
-from tracewell.operators.ranking import kept
-from tracewell.operators.retrieval import near_duplicates, set_members
+from tracewell.operators.cards import led
+from tracewell.operators.ranking import kept, small
 
 #: Likeness of two cards' entries from which they are merged, and entries of a section.
 ALIKE, ENTRIES = 0.6, 8
@@ -38,20 +37,21 @@ def card_tokens(card: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(bare, lambda x: F.split(F.lower(x), r"\s+"))), lambda w: w != ""))
 
 
-def sections(cards: DataFrame, id_: str = "id", card: str = "content") -> DataFrame:
-    """(id, line, title, entry, n): a card's entries in order with their section and count, 1 where none is told."""
-    rows = cards.select(F.col(id_).alias("id"), F.posexplode(_lines(F.col(card))).alias("line", "text"))
-    title = F.endswith("text", F.lit(":")) & ~F.startswith("text", F.lit("- "))
-    upto = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("title", F.last(F.when(title, F.col("text")), ignorenulls=True).over(upto))
-    rows = rows.withColumn("first", F.last(F.when(title, F.col("line")), ignorenulls=True).over(upto)).filter(F.col("title").isNotNull())
+def sections(cards: DataFrame, id_: str = "id", card: str = "content", more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, more, line, title, entry, n): a card's entries in order with their section and count, 1 where none is told. No row is shuffled."""
+    titled = lambda x: F.endswith(x, F.lit(":")) & ~F.startswith(x, F.lit("- "))
+    rows = cards.select(F.col(id_).alias("id"), *more, F.explode(F.array(_lines(F.col(card)))).alias("_lines"))
+    titles = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("first"), x.alias("title"))), lambda t: titled(t["title"]))
+    rows = rows.withColumn("_titles", titles).select("id", *more, "_titles", F.posexplode("_lines").alias("line", "text"))
+    rows = rows.withColumn("_t", F.try_element_at(F.filter("_titles", lambda t: t["first"] <= F.col("line")), F.lit(-1))).filter("_t is not null")
+    rows = rows.select("id", *more, "line", "text", F.col("_t.title").alias("title"), F.col("_t.first").alias("first"))
     body = F.substr("text", F.lit(3))
     bare, told = _cut(body)
     number = F.regexp_extract(F.coalesce(told, F.lit("")), r"^[+]?([0-9]{1,18})", 1)
     n = F.when(number != "", number.cast("long"))
     counted = n.isNotNull() & (n > 0)
     entry = F.startswith("text", F.lit("- "))
-    return rows.select("id", "line", "title", "first", F.when(entry, F.when(counted, bare).otherwise(body)).alias("entry"), F.when(entry, F.when(counted, n).otherwise(F.lit(1).cast("long"))).alias("n"))
+    return rows.select("id", *more, "line", "title", "first", F.when(entry, F.when(counted, bare).otherwise(body)).alias("entry"), F.when(entry, F.when(counted, n).otherwise(F.lit(1).cast("long"))).alias("n"))
 
 
 def merge_groups(cards: DataFrame, same: list[str], id_: str = "id", card: str = "content", threshold: float = ALIKE) -> DataFrame:
@@ -61,11 +61,13 @@ def merge_groups(cards: DataFrame, same: list[str], id_: str = "id", card: str =
     """
     key = F.xxhash64(*[x for c in same for x in (F.col(c).isNull(), F.col(c))]) if same else F.lit(0).cast("long")
     # Words are named together with the columns that have to be equal, so unlike cards share none.
-    words = F.transform(card_tokens(F.col(card)), lambda w: F.concat(F.lit("h"), F.lower(F.hex(F.xxhash64(key, w))), F.lower(F.hex(F.xxhash64(F.lit(7), key, w)))))
-    docs = kept(cards.select(F.col(id_).alias("doc_id"), F.array_join(words, " ").alias("text")))
-    members = kept(set_members(docs))
-    reps = clusters(near_duplicates(docs, threshold), members.select(F.col("representative").alias("id")).distinct())
-    return members.join(reps.withColumnRenamed("id", "representative"), "representative").select(F.col("doc_id").alias("id"), "rep")
+    words = F.sort_array(F.array_distinct(F.transform(card_tokens(F.col(card)), lambda w: F.xxhash64(key, w))))
+    sets = lambda rows: rows.select(F.col(id_).alias("id"), F.explode(F.array(words)).alias("words")).filter(F.size("words") > 0)
+    named = kept(sets(cards).select("id", F.xxhash64("words").alias("set_id"), F.xxhash64(F.lit(7), F.col("words")).alias("set_id2")))
+    least = kept(named.groupBy("set_id", "set_id2").agg(F.min("id").alias("representative")))
+    members = named.join(least, ["set_id", "set_id2"]).select("id", "representative")
+    reps = led(sets(cards.join(small(least.select(F.col("representative").alias(id_))), id_, "left_semi")), threshold)
+    return kept(members.join(small(kept(reps)).withColumnRenamed("id", "representative"), "representative").select("id", "rep"))
 
 
 def merged_cards(cards: DataFrame, groups: DataFrame, id_: str = "id", card: str = "content") -> DataFrame:
@@ -75,7 +77,8 @@ def merged_cards(cards: DataFrame, groups: DataFrame, id_: str = "id", card: str
     ENTRIES at most. A group whose cards have no section gives no row. Ids are whole numbers, one a card.
     """
     sizes = groups.groupBy("rep").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    rows = sections(cards, id_, card).join(groups.join(sizes, "rep"), "id")
+    met = cards.select(F.col(id_).alias("id"), F.col(card).alias("content")).join(groups.join(small(kept(sizes)), "rep"), "id")
+    rows = sections(met, more=("rep", "members"))
     order = rows.groupBy("rep", "members", "title").agg(F.min(F.struct("id", "first")).alias("at"))
     sums = rows.filter("entry is not null").groupBy("rep", "title", "entry").agg(F.sum("n").alias("n"))
     best = sums.withColumn("place", F.row_number().over(Window.partitionBy("rep", "title").orderBy(F.desc("n"), "entry"))).filter(F.col("place") <= ENTRIES)

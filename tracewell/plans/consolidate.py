@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import consolidate as C
+from tracewell.operators.ranking import kept
 
 from .registry import query
 
@@ -38,7 +39,7 @@ def cards(t):
 @query("merged_context")
 def _(t):
     """Cards of one scope whose entries are alike, as one card with the sums of their facts."""
-    rows = cards(t)
+    rows = kept(cards(t))
     groups = C.merge_groups(rows, ["scope"])
     facts = C.merged_facts(rows, groups, ["hits"], "created", "source")
     return C.merged_cards(rows, groups).drop("content").join(facts, "rep")
